@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import near_duplicates
+from weftgraph.llm import history, near_duplicates, shared_spans
 from weftgraph.sources import read_table
 
 #: TESTDATA.md's similarity: three consecutive tokens, 0.6; segments of at least 40 tokens.
@@ -29,9 +29,48 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(_alike_segments(spark, folder)).withColumnRenamed("id", "segment_id")
 
 
+#: TESTDATA.md's similarity for documents.
+ALIKE_DOCUMENTS = near_duplicates.Similarity(threshold=0.6, words=3)
+
+
+def _accepted(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents")
+    return documents.select(F.col("doc_id").alias("id"), F.col("ingest_batch").alias("batch"), "text", "content_hash", "normalized_hash")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document and every fetched task the accepted documents of older batches that it repeats."""
+    documents = _accepted(spark, folder)
+    tasks = read_table(spark, folder, "crawl_tasks").where("status = 'fetched'").select(F.col("task_id").alias("id"), "content_hash")
+    found = history.replay(documents, ALIKE_DOCUMENTS).where("accepted_id < new_id").select(F.lit("document").alias("new_kind"), "accepted_id", "new_id")
+    fetched = history.same_digest(tasks, documents.where("id is not null")).select(F.lit("task").alias("new_kind"), "accepted_id", "new_id")
+    return found.union(fetched).withColumnRenamed("accepted_id", "accepted_doc_id")
+
+
+#: TESTDATA.md's span length in characters.
+SPAN = 300
+
+
+def _spans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return shared_spans.span_pairs(read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"), SPAN)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents with a verbatim common span of at least 300 characters."""
+    return shared_spans.expanded_pairs(*_spans(spark, folder), SPAN).toDF("doc_id_a", "doc_id_b")
+
+
+def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document, how much of it stands elsewhere too."""
+    return shared_spans.shared_share(*_spans(spark, folder), SPAN).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p10_found": p10_found,
+    "p10_shared": p10_shared,
 }
 
 ORACLES: dict[str, str] = {}
