@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import history, near_duplicates, shared_spans
+from weftgraph.llm import history, near_duplicates, nearest_vectors, shared_spans, site_lines, splitting
 from weftgraph.sources import read_table
 
 #: TESTDATA.md's similarity: three consecutive tokens, 0.6; segments of at least 40 tokens.
@@ -47,6 +47,59 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.union(fetched).withColumnRenamed("accepted_id", "accepted_doc_id")
 
 
+#: TESTDATA.md's problem 3: lines of at least 20 letters in at least 6 documents of a site.
+LEAST_DOCUMENTS, LEAST_LETTERS = 6, 20
+
+
+def _segment_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "segments").select("segment_id", F.col("source_doc_id").alias("doc_id"), "site_key", "raw_text")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of segments that stand in at least 6 documents of their site."""
+    return site_lines.repeated_lines(_segment_lines(spark, folder), LEAST_DOCUMENTS, LEAST_LETTERS)[0]
+
+
+def p3_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """The templates of each site's repeated lines with the documents and lines they cover."""
+    return site_lines.repeated_lines(_segment_lines(spark, folder), LEAST_DOCUMENTS, LEAST_LETTERS)[1]
+
+
+def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment without its site's repeated lines."""
+    segments = _segment_lines(spark, folder)
+    return site_lines.without_lines(segments, site_lines.repeated_lines(segments, LEAST_DOCUMENTS, LEAST_LETTERS)[0])
+
+
+#: TESTDATA.md's problem 4: the 5 most similar of a cosine of at least 0.85, in each field.
+VECTOR_FIELDS, NEIGHBOURS, LEAST_COSINE = ("embedding", "title_vec", "content_vec"), 5, 0.85
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar other segments of each segment and field, as far as their cosine is at least 0.85."""
+    segments = read_table(spark, folder, "segments").select("segment_id", *VECTOR_FIELDS)
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("vec")) for f in VECTOR_FIELDS])
+    vectors = segments.select(F.col("segment_id").alias("id"), F.explode(entries).alias("v")).select("v.field", "id", "v.vec")
+    members, pairs = nearest_vectors.similar_pairs(vectors, LEAST_COSINE)
+    best = nearest_vectors.most_similar(members, pairs, NEIGHBOURS)
+    return best.select(F.col("field").alias("vec_field"), F.col("id").alias("segment_id"), F.col("neighbour").alias("neighbour_id"))
+
+
+#: TESTDATA.md's problem 5.
+PIECE_TOKENS, PIECE_OVERLAP = 1024, 64
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The segments of more than 1 024 tokens, found by cutting them."""
+    return splitting.oversized(read_table(spark, folder, "segments").select("segment_id", "raw_text"), PIECE_TOKENS, PIECE_OVERLAP)
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment as pieces of at most 1 024 tokens, numbered within its document."""
+    segments = read_table(spark, folder, "segments").select("segment_id", F.col("source_doc_id").alias("doc_id"), "segment_index", "raw_text")
+    return splitting.pieces(segments, PIECE_TOKENS, PIECE_OVERLAP)
+
+
 #: TESTDATA.md's span length in characters.
 SPAN = 300
 
@@ -69,6 +122,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_templates": p3_templates,
+    "p3_cleaned": p3_cleaned,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
 }
