@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import history, near_duplicates, nearest_vectors, shared_spans, site_lines, splitting
+from weftgraph.llm import history, leaks, near_duplicates, nearest_vectors, packing, shared_spans, site_lines, splitting
 from weftgraph.sources import read_table
 
 #: TESTDATA.md's similarity: three consecutive tokens, 0.6; segments of at least 40 tokens.
@@ -100,6 +101,56 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(segments, PIECE_TOKENS, PIECE_OVERLAP)
 
 
+#: TESTDATA.md's problem 8: capacity, and the tokenizer file that sizes the documents (any `tokenizers` file will do).
+CAPACITY = 2048
+TOKENIZER = os.environ.get("WEFTGRAPH_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return packing.pack(packing.token_sizes(documents, TOKENIZER), CAPACITY)
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each document, or of each piece of a document above 2 048 tokens."""
+    return _packed(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens and the share of space unused."""
+    bins = _packed(spark, folder).groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    used = F.sum("n")
+    return bins.agg(F.count("*").alias("n_containers"), used.alias("n_tokens"), F.max("n").alias("fullest"), (1 - used / (F.count("*") * CAPACITY)).alias("unused_share"))
+
+
+#: TESTDATA.md's problem 9: words in a row.
+LEAK_WORDS = 13
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = read_table(spark, folder, "eval_items").select("item_id", "item_text")
+    nodes = read_table(spark, folder, "ontology_nodes").select(F.split("canonical_name", " ")[0].alias("name")).distinct()
+    names = [r.name for r in nodes.limit(NAMES + 1).collect()]
+    if len(names) > NAMES:
+        raise ValueError(f"more than {NAMES} given names")
+    return leaks.leaks(documents, items, LEAK_WORDS, sorted(n for n in names if n))
+
+
+#: Most given names that are sent to the tasks as slots (the ontology has a fixed number of nodes).
+NAMES = 100_000
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that contain at least 13 consecutive words of an item."""
+    return _leaks(spark, folder).where("kind = 'verbatim'").select(F.col("id").alias("doc_id"), "item_id")
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leak, verbatim or with other parameters, with the longest stretch of words."""
+    return _leaks(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 #: TESTDATA.md's span length in characters.
 SPAN = 300
 
@@ -128,6 +179,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
 }
