@@ -8,6 +8,7 @@ is left or a round no longer helps.  No round gathers more than ``partition_item
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,39 +20,31 @@ from pyspark.sql import functions as F
 from weftgraph.llm.arrow import array, column, map_batches, record
 from weftgraph.sources import stage
 
-#: Characters sent to the tokenizer at once.
-ENCODE_CHARS = 400_000
+
+# Fixed value: the pattern that byte-level BPE vocabularies of this kind are split by before merging.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
-
-
-def _count(texts: list[str], path: str) -> list[int]:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer, out, start = _tokenizer(path), [], 0
-    while start < len(texts):
-        end, size = start, 0
-        while end < len(texts) and (end == start or size + len(texts[end]) <= ENCODE_CHARS):
-            size += len(texts[end])
-            end += 1
-        out += [len(e.ids) for e in tokenizer.encode_batch_fast(texts[start:end], add_special_tokens=False)]
-        start = end
-    return out
+def _encoding(path: str):
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def count_tokens(texts: list[str], path: str) -> list[int]:
+    """Tokens of each whole text; what looks like a special token is ordinary text."""
+    encode = _encoding(path).encode_ordinary
+    return [len(encode(t)) if t else 0 for t in texts]
 
 
 def token_sizes(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """documents (id, text) -> (id, size): tokens of the whole text by the tokenizer file; a null text has none."""
+    """documents (id, text) -> (id, size): tokens of the whole text by the tokenizer (a file of base64 tokens and ranks); a null text has none."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return record(id=array(batch, "id"), size=pa.array(_count([t or "" for t in column(batch, "text")], tokenizer), pa.int64()))
+        return record(id=array(batch, "id"), size=pa.array(count_tokens(column(batch, "text"), tokenizer), pa.int64()))
 
     return map_batches(documents.where("id is not null").select(F.col("id").cast("long").alias("id"), "text"), work, "id long, size long")
 

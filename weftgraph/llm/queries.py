@@ -101,9 +101,9 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(segments, PIECE_TOKENS, PIECE_OVERLAP)
 
 
-#: TESTDATA.md's problem 8: capacity, and the tokenizer file that sizes the documents (any `tokenizers` file will do).
+#: TESTDATA.md's problem 8: capacity, and the tokenizer file that sizes the documents (base64 tokens and ranks).
 CAPACITY = 2048
-TOKENIZER = os.environ.get("WEFTGRAPH_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = os.environ.get("WEFTGRAPH_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
