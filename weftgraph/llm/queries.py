@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import history, leaks, near_duplicates, nearest_vectors, packing, shared_spans, site_lines, splitting
+from weftgraph.llm import canonical, history, leaks, near_duplicates, nearest_vectors, packing, shared_spans, site_lines, splitting
 from weftgraph.sources import read_table
 
 #: TESTDATA.md's similarity: three consecutive tokens, 0.6; segments of at least 40 tokens.
@@ -101,6 +101,23 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(segments, PIECE_TOKENS, PIECE_OVERLAP)
 
 
+def _typed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The records with a typed form, and the entries of the reference list."""
+    aliases = read_table(spark, folder, "lexicon_aliases").select("alias_id", "surface_form", "canonical_node_id")
+    nodes = read_table(spark, folder, "ontology_nodes").select("node_id", F.explode(F.array("canonical_name", "display_name_zh")).alias("entry"))
+    entries = nodes.select("entry", "node_id").union(aliases.where("canonical_node_id is not null").select("surface_form", "canonical_node_id"))
+    candidates = read_table(spark, folder, "evolution_candidates").select(F.lit("candidate").alias("record_kind"), F.col("candidate_id").alias("record_id"), F.col("normalized_form").alias("form"))
+    pending = aliases.where("canonical_node_id is null").select(F.lit("alias").alias("record_kind"), F.col("alias_id").alias("record_id"), F.col("surface_form").alias("form"))
+    return candidates.union(pending).distinct(), entries
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The node meant by each typed form, or UNMATCHED."""
+    records, entries = _typed(spark, folder)
+    mapped = canonical.map_to_canonical(records.select("form"), entries)
+    return records.join(mapped, "form").select("record_kind", "record_id", F.col("node_id").alias("canonical_node_id")).distinct()
+
+
 #: TESTDATA.md's problem 8: capacity, and the tokenizer file that sizes the documents (base64 tokens and ranks).
 CAPACITY = 2048
 TOKENIZER = os.environ.get("WEFTGRAPH_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -179,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
