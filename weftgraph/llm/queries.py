@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import canonical, history, leaks, near_duplicates, nearest_vectors, packing, shared_spans, site_lines, splitting
+from weftgraph.llm import boilerplate, canonical, history, leaks, near_duplicates, nearest_vectors, packing, shared_spans, site_lines, splitting
 from weftgraph.sources import read_table
 
 #: TESTDATA.md's similarity: three consecutive tokens, 0.6; segments of at least 40 tokens.
@@ -118,6 +118,22 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return records.join(mapped, "form").select("record_kind", "record_id", F.col("node_id").alias("canonical_node_id")).distinct()
 
 
+def _pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    segments = read_table(spark, folder, "segments").select("segment_id", F.col("source_doc_id").alias("doc_id"), "segment_index", "site_key", "raw_text")
+    return segments, read_table(spark, folder, "cleaned_bodies").select("doc_id", "body")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of segments that are page furniture."""
+    return boilerplate.furniture_lines(*_pages(spark, folder))
+
+
+def p7_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of each document that has segments."""
+    segments, bodies = _pages(spark, folder)
+    return boilerplate.main_bodies(segments, boilerplate.furniture_lines(segments, bodies))
+
+
 #: TESTDATA.md's problem 8: capacity, and the tokenizer file that sizes the documents (base64 tokens and ranks).
 CAPACITY = 2048
 TOKENIZER = os.environ.get("WEFTGRAPH_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -197,6 +213,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_bodies": p7_bodies,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
