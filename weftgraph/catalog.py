@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from weftgraph.queries import algebra, semantic
+
+_MODULES = (algebra, semantic)
+
+QUERIES = {name: run for m in _MODULES for name, run in m.R.queries.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.R.oracles.items()}
