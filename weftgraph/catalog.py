@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftgraph.queries import algebra, semantic
+from weftgraph.queries import algebra, semantic, stages
 
-_MODULES = (algebra, semantic)
+_MODULES = (algebra, semantic, stages)
 
 QUERIES = {name: run for m in _MODULES for name, run in m.R.queries.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.R.oracles.items()}

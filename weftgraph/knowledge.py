@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.sources import read_table
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z_][a-z_0-9]*)\}")
 
 VIEWS = {
     # documents, segments and what hangs on them: double deliveries count once
@@ -27,6 +27,11 @@ VIEWS = {
     "v_segment_vec": "SELECT DISTINCT segment_id, embedding, title_vec, content_vec FROM {segments} WHERE lifecycle_state = 'active'",
     "v_segment_tag": """
         SELECT DISTINCT tag_id, segment_id, tag_type, tag_value, ontology_node_id, confidence, tagger FROM {segment_tags} WHERE ontology_node_id IS NOT NULL""",
+    "v_page": """
+        SELECT doc_id AS page_id, coalesce(source_url, 'https://example.org/x.txt') AS url,
+               concat('<html><head><title> ', coalesce(title, ''), ' </title><style>p</style><script>var x = 1;</script></head><body><h1>', coalesce(title, ''), '</h1><p>',
+                      replace(replace(coalesce(text, ''), '<', ' '), chr(10), '</p><p>'), '</p><br/><a href="/a/', cast(doc_id AS string), '.html">a</a><a href="/b.png">b</a></body></html>') AS html
+        FROM {documents}""",
     "v_rst": """
         SELECT src_edu_id, dst_edu_id,
                CASE segment_index % 5 WHEN 0 THEN 'Elaboration' WHEN 1 THEN 'Causation' WHEN 2 THEN 'Prerequisite' WHEN 3 THEN 'Contrast' ELSE 'Constraint' END AS relation_type,

@@ -53,11 +53,11 @@ add(
 add("filter_concept", lambda k: S.filter_concepts(k.node, "IP.", 40, 5).select("node_id", "canonical_name"), "SELECT node_id, canonical_name FROM {v_node} WHERE lifecycle_state = 'active' AND starts_with(node_id, 'IP.') ORDER BY node_id LIMIT 40 OFFSET 5")
 add(
     "path",
-    lambda k: S.path_infer(k, "MECH.1", "MECH.20", "dependency").select("hops", F.array_join("node_ids", ">").alias("nodes"), F.array_join("rel_types", ">").alias("rels"), F.round("min_confidence", 6).alias("min_confidence")),
+    lambda k: S.path_infer(k, "MECH.1", "MECH.49", "dependency").select("hops", F.array_join("node_ids", ">").alias("nodes"), F.array_join("rel_types", ">").alias("rels"), F.round("min_confidence", 6).alias("min_confidence")),
     """WITH RECURSIVE hops AS (SELECT src AS here, dst AS there, rel_type, coalesce(confidence, 1.0) AS c FROM {v_edge} WHERE rel_type IN ('DEPENDS_ON', 'REQUIRES') UNION ALL SELECT dst, src, rel_type, coalesce(confidence, 1.0) FROM {v_edge} WHERE rel_type IN ('DEPENDS_ON', 'REQUIRES')),
-       p AS (SELECT 0 AS hops, 'MECH.1' AS at, ['MECH.1'] AS ids, cast([] AS string[]) AS rels, cast(1.0 AS double) AS c UNION ALL
-             SELECT p.hops + 1, h.there, list_append(p.ids, h.there), list_append(p.rels, h.rel_type), least(p.c, h.c) FROM p JOIN hops h ON h.here = p.at WHERE p.hops < 4 AND p.at <> 'MECH.20' AND NOT list_contains(p.ids, h.there)),
-       f AS (SELECT * FROM p WHERE at = 'MECH.20'), s AS (SELECT * FROM f WHERE hops = (SELECT min(hops) FROM f) ORDER BY ids, rels LIMIT 5)
+       p AS (SELECT 0 AS hops, 'MECH.1' AS place, ['MECH.1'] AS ids, cast([] AS string[]) AS rels, cast(1.0 AS double) AS c UNION ALL
+             SELECT p.hops + 1, h.there, list_append(p.ids, h.there), list_append(p.rels, h.rel_type), least(p.c, h.c) FROM p JOIN hops h ON h.here = p.place WHERE p.hops < 4 AND p.place <> 'MECH.49' AND NOT list_contains(p.ids, h.there)),
+       f AS (SELECT * FROM p WHERE place = 'MECH.49'), s AS (SELECT * FROM f WHERE hops = (SELECT min(hops) FROM f) ORDER BY ids, rels LIMIT 5)
        SELECT hops, array_to_string(ids, '>') AS nodes, array_to_string(rels, '>') AS rels, round(c, 6) AS min_confidence FROM s""",
 )
 add(
@@ -221,8 +221,8 @@ add(
 add(
     "context_evidence",
     lambda k: S.context_evidence(k, one("METHOD.1", "METHOD.2", "METHOD.3")(k), 30),
-    """SELECT DISTINCT f.fact_id, f.subject, f.predicate, f.object, f.confidence, e.source_rank, d.site_key FROM {v_fact} f JOIN {v_evidence} e ON e.fact_id = f.fact_id JOIN {v_document} d ON d.source_doc_id = e.source_doc_id WHERE f.lifecycle_state = 'active' AND f.subject IN ('METHOD.1', 'METHOD.2', 'METHOD.3')
-       ORDER BY CASE e.source_rank WHEN 'S' THEN 1.0 WHEN 'A' THEN 0.85 WHEN 'B' THEN 0.65 ELSE 0.4 END DESC, f.confidence DESC, f.fact_id, d.site_key LIMIT 30""".replace("SELECT DISTINCT f.fact_id, f.subject, f.predicate, f.object, f.confidence, e.source_rank, d.site_key", "SELECT f.fact_id, f.subject, f.predicate, f.object, f.confidence, e.source_rank, d.site_key").replace("ORDER BY", "GROUP BY ALL ORDER BY"),
+    """SELECT * FROM (SELECT DISTINCT f.fact_id, f.subject, f.predicate, f.object, f.confidence, e.source_rank, d.site_key FROM {v_fact} f JOIN {v_evidence} e ON e.fact_id = f.fact_id JOIN {v_document} d ON d.source_doc_id = e.source_doc_id
+       WHERE f.lifecycle_state = 'active' AND f.subject IN ('METHOD.1', 'METHOD.2', 'METHOD.3')) x ORDER BY CASE source_rank WHEN 'S' THEN 1.0 WHEN 'A' THEN 0.85 WHEN 'B' THEN 0.65 ELSE 0.4 END DESC, confidence DESC, fact_id, site_key LIMIT 30""",
 )
 # ---- graph kernel as queries of their own
 add(
