@@ -189,7 +189,8 @@ def main_bodies(segments: DataFrame, furniture: DataFrame) -> DataFrame:
     drop = furniture.groupBy("segment_id").agg(F.collect_set("line_no").alias("drop"))
     one = segments.where("segment_id is not null and doc_id is not null").groupBy("segment_id").agg(F.max("doc_id").alias("doc_id"), F.max("segment_index").alias("segment_index"), F.max("raw_text").alias("raw_text"))
     lines = F.split(F.coalesce("raw_text", F.lit("")), "\n", -1)
-    text = F.trim(F.array_join(F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~F.array_contains("drop", i))), "\n"))
+    kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)))
+    text = F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
     parts = one.join(drop, "segment_id", "left").select("doc_id", F.struct("segment_index", "segment_id", text.alias("text")).alias("part"))
     ordered = F.array_sort(F.collect_list("part"))
     return parts.groupBy("doc_id").agg(F.array_join(F.filter(F.transform(ordered, lambda p: p["text"]), lambda t: t != ""), "\n\n").alias("body"))

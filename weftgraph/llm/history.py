@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -146,8 +147,8 @@ class HistoryIndex:
         return sorted(n for n in names if n.startswith("run-") and done(n))
 
     def _read(self, what: str) -> DataFrame:
-        paths = [f"{self.folder}/{n}/{what}" for n in self.runs()]
-        return self.spark.read.option("basePath", self.folder).parquet(*paths) if paths else None
+        parts = [self.spark.read.parquet(f"{self.folder}/{n}/{what}") for n in self.runs()]
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def _write(self, batch: Batch) -> str:
         name = f"run-{len(self.runs()):06d}-{uuid.uuid4().hex[:8]}"
