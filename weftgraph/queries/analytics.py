@@ -115,7 +115,7 @@ shared("quality_top_degree", f"SELECT node_id, count(*) AS degree FROM {_TYPED}
 # ---- statistics
 shared("stats_knowledge", "SELECT (SELECT count(*) FROM {v_document}) AS documents, (SELECT count(*) FROM {v_segment}) AS segments, (SELECT count(*) FROM {v_segment_tag}) AS tags, (SELECT count(*) FROM {v_fact}) AS facts, (SELECT count(*) FROM {v_fact} WHERE lifecycle_state = 'active') AS active_facts, (SELECT count(*) FROM {v_alias}) AS aliases, (SELECT count(*) FROM {v_node}) AS nodes")
 shared("stats_fact_states", "SELECT lifecycle_state, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM {v_fact} GROUP BY lifecycle_state")
-shared("stats_quality", "SELECT round(avg(CASE WHEN n = 1 AND r >= 'B' AND r <= 'C' THEN 1.0 ELSE 0.0 END), 6) AS weak_share, count(*) AS facts_with_evidence FROM (SELECT fact_id, count(*) AS n, min(source_rank) AS r FROM {v_evidence} GROUP BY fact_id) x")
+shared("stats_quality", "SELECT round(avg(CASE WHEN n = 1 AND r >= 'B' AND r <= 'C' THEN cast(1 AS double) ELSE cast(0 AS double) END), 6) AS weak_share, count(*) AS facts_with_evidence FROM (SELECT fact_id, count(*) AS n, min(source_rank) AS r FROM {v_evidence} GROUP BY fact_id) x")
 shared("stats_sources", "SELECT d.site_key, count(DISTINCT d.source_doc_id) AS documents, count(s.segment_id) AS segments, round(avg(s.confidence), 6) AS avg_confidence FROM {v_document} d LEFT JOIN {v_segment} s ON s.source_doc_id = d.source_doc_id GROUP BY d.site_key")
 shared("stats_evolution", "SELECT review_status, count(*) AS n, cast(sum(source_count) AS bigint) AS sources, round(avg(composite_score), 6) AS avg_score FROM {v_candidate} GROUP BY review_status")
 shared("stats_pipeline", "SELECT status, count(*) AS n, sum(CASE WHEN finished_at >= timestamp '2024-03-01 00:00:00' THEN 1 ELSE 0 END) AS recent, max(retry_count) AS most_retries FROM {v_task} GROUP BY status".replace("sum(CASE WHEN finished_at >= timestamp '2024-03-01 00:00:00' THEN 1 ELSE 0 END)", "count(CASE WHEN finished_at >= timestamp '2024-03-01 00:00:00' THEN 1 END)"))
