@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import boilerplate, canonical, history, leaks, near_duplicates, nearest_vectors, packing, shared_spans, site_lines, splitting
+from weftgraph.llm.oracles import ORACLES
 from weftgraph.sources import read_table
 
 #: TESTDATA.md's similarity: three consecutive tokens, 0.6; segments of at least 40 tokens.
@@ -223,4 +224,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_shared": p10_shared,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
