@@ -43,6 +43,15 @@ def lookup(k: Knowledge, terms: DataFrame, scope: str = "") -> DataFrame:
     return out.select("term", "node_id", "canonical_name", "layer", F.coalesce("matched_by", F.lit("not_found")).alias("matched_by"))
 
 
+def lookup_evidence(k: Knowledge, found: DataFrame, most: int = 5) -> DataFrame:
+    """found (node_id) -> the best evidence of the facts each node is the subject of: (node_id, fact_id, evidence_id,
+    evidence_score), at most ``most`` a node."""
+    ids = found.where("node_id is not null").select("node_id").distinct()
+    rows = k.fact.where("lifecycle_state = 'active'").select(F.col("subject").alias("node_id"), "fact_id").join(ids, "node_id", "left_semi").join(k.evidence.select("fact_id", "evidence_id", "evidence_score"), "fact_id")
+    order = Window.partitionBy("node_id").orderBy(F.desc_nulls_last("evidence_score"), "evidence_id")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("node_id", "fact_id", "evidence_id", "evidence_score")
+
+
 def resolve(k: Knowledge, alias: str, vendor: str | None = None) -> DataFrame:
     """All nodes an alias stands for, the most confident first: (node_id, canonical_name, alias_type, confidence,
     is_primary)."""
@@ -72,6 +81,32 @@ def expand(k: Knowledge, node_id: str, relation_types: Sequence[str] | None = No
     return top(walk.where(F.col("node_id") != node_id).select("node_id", "rel_type", F.lit("both").alias("direction"), "confidence", "hop"), ["hop", "node_id"], limit)
 
 
+def expand_facts(k: Knowledge, node_id: str, limit: int = 30) -> DataFrame:
+    """Active facts at a node, the most confident first."""
+    rows = k.fact.where((F.col("lifecycle_state") == "active") & ((F.col("subject") == node_id) | (F.col("object") == node_id)))
+    return top(rows.select("fact_id", "subject", "predicate", "object", "confidence"), [F.desc_nulls_last("confidence"), "fact_id"], limit)
+
+
+def expand_segments(k: Knowledge, node_id: str, limit: int = 20) -> DataFrame:
+    """Active segments tagged with a node, the most confident first."""
+    tagged = k.segment_tag.where(F.col("ontology_node_id") == node_id).select("segment_id")
+    rows = k.segment.where("lifecycle_state = 'active'").join(tagged, "segment_id", "left_semi").select("segment_id", "confidence")
+    return top(rows, [F.desc_nulls_last("confidence"), "segment_id"], limit)
+
+
+def fuzzy_terms(k: Knowledge, terms: DataFrame, least: float = 0.4, n: int = 5) -> DataFrame:
+    """terms (term) -> the dictionary's forms closest to each by edit distance: (term, node_id, ratio). A handful of terms
+    of one question against the dictionary."""
+    asked = terms.select("term", F.lower("term").alias("t")).distinct()
+    forms = k.alias.select(F.col("folded").alias("form"), F.col("canonical_node_id").alias("node_id")).distinct()
+    longest = F.greatest(F.length("t"), F.length("form"))
+    # as many edits more than the length difference can't be within the ratio: no distance is computed for those
+    near = forms.join(F.broadcast(asked), F.abs(F.length("t") - F.length("form")) <= (1 - least) * longest)
+    best = near.withColumn("ratio", F.round(1 - F.levenshtein("t", "form") / longest, 6)).where(F.col("ratio") > least).groupBy("term", "node_id").agg(F.max("ratio").alias("ratio"))
+    order = Window.partitionBy("term").orderBy(F.desc("ratio"), "node_id")
+    return best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+
 def filter_facts(facts: DataFrame, min_confidence=None, max_confidence=None, domain=None, lifecycle_state="active", after=None, order="confidence", limit: int = 20, offset: int = 0) -> DataFrame:
     """A page of facts; ``order`` is one of confidence and created_at, greatest first."""
     if order not in ("confidence", "created_at"):

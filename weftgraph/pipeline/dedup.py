@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftgraph import model
 from weftgraph.functions.hashing import hamming
@@ -29,10 +28,11 @@ def superseded_segments(segments: DataFrame) -> DataFrame:
 
 def merge_same_triples(facts: DataFrame) -> DataFrame:
     """facts with merge_cluster_id and lifecycle_state: of equal (subject, predicate, object) the most confident stays."""
-    w = Window.partitionBy("subject", "predicate", "object")
-    n = F.row_number().over(w.orderBy(F.desc_nulls_last("confidence"), "fact_id"))
-    head = F.first("fact_id").over(w.orderBy(F.desc_nulls_last("confidence"), "fact_id"))
-    return facts.withColumn("merge_cluster_id", head).withColumn("_n", n).withColumn("lifecycle_state", F.when(F.col("_n") > 1, "superseded").otherwise(F.col("lifecycle_state"))).drop("_n")
+    keys = ["subject", "predicate", "object"]
+    best = F.min(F.struct(F.col("confidence").isNull().alias("none"), (-F.col("confidence")).alias("c"), "fact_id"))
+    heads = facts.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.fact_id").alias("merge_cluster_id"))
+    state = F.when(F.col("merge_cluster_id") != F.col("fact_id"), "superseded").otherwise(F.col("lifecycle_state"))
+    return facts.join(heads, keys).withColumn("lifecycle_state", state).select(*facts.columns, "merge_cluster_id")
 
 
 def semantic_duplicates(facts: DataFrame, vectors: DataFrame, least: float = model.DEDUP_SEMANTIC) -> DataFrame:

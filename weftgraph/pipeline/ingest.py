@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftgraph.functions.text import let, token_count
 
@@ -18,11 +17,12 @@ BOILERPLATE = (
 )
 
 
-def exact_duplicates(documents: DataFrame, digest: str = "content_hash", order: tuple[str, ...] = ("crawl_time", "source_doc_id")) -> DataFrame:
-    """documents with ``is_duplicate``: of those with an equal digest the earliest stays. A null digest equals none."""
-    keyed = F.coalesce(F.col(digest), F.concat(F.lit("#"), F.col("source_doc_id").cast("string")))
-    n = F.row_number().over(Window.partitionBy(keyed).orderBy(*[F.col(c).asc_nulls_last() for c in order]))
-    return documents.withColumn("is_duplicate", n > 1)
+def exact_duplicates(documents: DataFrame, digest: str = "content_hash", order: str = "crawl_time", key: str = "source_doc_id") -> DataFrame:
+    """documents with ``is_duplicate``: of those with an equal digest the earliest stays (a null time comes last). A null
+    digest equals none. The first of each digest is a partial minimum joined back, so a hot digest is no task of its own."""
+    first = F.min(F.struct(F.col(order).isNull().alias("late"), F.col(order).alias("t"), F.col(key).alias("k")))
+    heads = documents.where(F.col(digest).isNotNull()).groupBy(digest).agg(first.alias("_head"))
+    return documents.join(heads, digest, "left").withColumn("is_duplicate", F.coalesce(F.col("_head.k") != F.col(key), F.lit(False))).select(*documents.columns, "is_duplicate")
 
 
 def dedup_groups(documents: DataFrame, digest: str = "normalized_hash") -> DataFrame:

@@ -224,6 +224,21 @@ add(
     """SELECT * FROM (SELECT DISTINCT f.fact_id, f.subject, f.predicate, f.object, f.confidence, e.source_rank, d.site_key FROM {v_fact} f JOIN {v_evidence} e ON e.fact_id = f.fact_id JOIN {v_document} d ON d.source_doc_id = e.source_doc_id
        WHERE f.lifecycle_state = 'active' AND f.subject IN ('METHOD.1', 'METHOD.2', 'METHOD.3')) x ORDER BY CASE source_rank WHEN 'S' THEN 1.0 WHEN 'A' THEN 0.85 WHEN 'B' THEN 0.65 ELSE 0.4 END DESC, confidence DESC, fact_id, site_key LIMIT 30""",
 )
+add(
+    "lookup_evidence",
+    lambda k: S.lookup_evidence(k, one("METHOD.1", "METHOD.2")(k), 5),
+    """SELECT node_id, fact_id, evidence_id, evidence_score FROM (SELECT f.subject AS node_id, f.fact_id, e.evidence_id, e.evidence_score, row_number() OVER (PARTITION BY f.subject ORDER BY e.evidence_score DESC NULLS LAST, e.evidence_id) AS n
+       FROM {v_fact} f JOIN {v_evidence} e ON e.fact_id = f.fact_id WHERE f.lifecycle_state = 'active' AND f.subject IN ('METHOD.1', 'METHOD.2')) x WHERE n <= 5""",
+)
+add("expand_facts", lambda k: S.expand_facts(k, "MECH.11"), "SELECT fact_id, subject, predicate, object, confidence FROM {v_fact} WHERE lifecycle_state = 'active' AND (subject = 'MECH.11' OR object = 'MECH.11') ORDER BY confidence DESC NULLS LAST, fact_id LIMIT 30")
+add("expand_segments", lambda k: S.expand_segments(k, _TAGS[0]), f"SELECT segment_id, confidence FROM {{v_segment}} WHERE lifecycle_state = 'active' AND segment_id IN (SELECT segment_id FROM {{v_segment_tag}} WHERE ontology_node_id = '{_TAGS[0]}') ORDER BY confidence DESC NULLS LAST, segment_id LIMIT 20")
+_ASKED = ["kixwik sesion guard", "morbx", "fault echo", "drismar map"]
+add(
+    "copilot_fuzzy",
+    lambda k: S.fuzzy_terms(k, k.spark.createDataFrame([(t,) for t in _ASKED], "term string")),
+    f"""WITH r AS (SELECT t.term, a.canonical_node_id AS node_id, max(round(1 - levenshtein(t.term, a.folded) / greatest(length(t.term), length(a.folded)), 6)) AS ratio FROM (SELECT unnest({_ASKED}) AS term) t, {{v_alias}} a GROUP BY 1, 2)
+        SELECT term, node_id, ratio FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ratio DESC, node_id) AS n FROM r WHERE ratio > 0.4) x WHERE n <= 5""",
+)
 # ---- graph kernel as queries of their own
 add(
     "graph_components",
