@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows that is ever broadcast (ids and similar narrow rows; 1M longs are 8 MB).
-BROADCAST_ROWS = 1_000_000
+#: Largest number of rows that is ever broadcast by hand (ids and similar narrow rows: about 30 MB as a hash relation).
+BROADCAST_ROWS = 100_000
 
 _written: list[tuple[SparkSession, str]] = []
 
