@@ -213,7 +213,8 @@ def test_leaks_match_brute_force(spark):
     words = lambda t: re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", t or "").lower())
     item = "Which damped colour does DOKFEN probe when the ingress listener on PE-5 reports 0xde71 after 120 entries were cached twice"
     other = "Set the lease window to 15 minutes on edge-7 so that the busy database of Droktis discards 10.1.2.0/24 conservatively every day"
-    items = [(1, item), (2, other), (3, "too short to leak"), (None, item), (4, None), (5, item)]
+    numbers = " ".join(str(i) for i in range(100, 125))
+    items = [(1, item), (2, other), (3, "too short to leak"), (None, item), (4, None), (5, item), (6, numbers)]
     parts = item.split()
     documents = [
         (10, "intro text. " + item.upper() + " more"),
@@ -222,6 +223,7 @@ def test_leaks_match_brute_force(spark):
         (13, other.replace("15 minutes", "40 seconds").replace("edge-7", "edge-6").replace("Droktis", "Dokfen").replace("10.1.2.0/24", "10.8.9.0/24")),
         (14, item.replace("DOKFEN", "Ｄｏｋｆｅｎ") + "\n" + other),
         (15, None), (16, ""), (None, item), (17, item.replace("does", "did")),
+        (18, "x " + numbers[8:80]), (19, " ".join(str(i) for i in range(500, 900))),
     ]
     grams = lambda t, n=13: {tuple(words(t)[i : i + n]) for i in range(len(words(t)) - n + 1)}
     want = {(d, i) for d, t in documents if d is not None for i, x in items if i is not None and x and grams(t) & grams(x)}
@@ -229,6 +231,7 @@ def test_leaks_match_brute_force(spark):
     rows = leaks.leaks(df, spark.createDataFrame(items, "item_id long, item_text string"), 13, ["Dokfen", "Droktis"], block_rows=2).collect()
     assert {(r.id, r.item_id) for r in rows if r.kind == "verbatim"} == want
     assert (13, 2) in {(r.id, r.item_id) for r in rows if r.kind == "parameters"} and (13, 2) not in want
+    assert not [r for r in rows if r.item_id == 6 and r.kind == "parameters"]
     assert {r.n_words for r in rows if r.id == 10 and r.kind == "verbatim"} == {len(words(item))}
     assert leaks.leaks(df, spark.createDataFrame([], "item_id long, item_text string")).count() == 0
     assert leaks.leaks(df.limit(0), spark.createDataFrame(items, "item_id long, item_text string")).count() == 0

@@ -179,7 +179,7 @@ def furniture_lines(segments: DataFrame, bodies: DataFrame, how: Cleaning = Clea
     pages = scored.groupBy("site_key", "path", "doc_id").agg(F.avg(bounded).alias("score"))
     verdicts = pages.groupBy("site_key", "path").agg(F.avg("score").alias("verdict"), F.count("*").alias("n_pages")).where(F.col("n_pages") >= how.least_pages)
     verdicts = stage(verdicts.select(F.col("site_key").alias("host"), F.col("path").alias("way"), "verdict"))
-    judged = scored.join(small_side(verdicts, limit=100_000), F.col("site_key").eqNullSafe(F.col("host")) & (F.col("path") == F.col("way")), "left")
+    judged = scored.join(small_side(verdicts), F.col("site_key").eqNullSafe(F.col("host")) & (F.col("path") == F.col("way")), "left")
     return judged.where(bounded + how.weight * F.coalesce("verdict", F.lit(0.0)) > 0).select("segment_id", "line_no").distinct()
 
 

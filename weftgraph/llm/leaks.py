@@ -27,6 +27,8 @@ UNITS = (
     "ms", "s", "seconds", "minutes", "hours", "days", "bytes", "kilobytes", "megabytes", "kbps", "mbps", "gbps", "percent",
     "packets", "frames", "sessions", "entries", "hops", "retries", "db", "dbm", "hz", "mhz", "ghz", "km", "m", "cm", "mm",
 )
+#: Words that are no slots which a window needs to be matched as a template.
+LITERALS = 4
 _NUMBER, _UNIT, _NAME = _U(0x6E756D), _U(0x756E6974), _U(0x6E616D65)
 
 _word_points: list[np.ndarray] = []
@@ -75,6 +77,18 @@ def window_hashes(values: np.ndarray, starts: np.ndarray, size: int) -> tuple[np
     return mix((total[index + size] - total[index]) * down[index]), index
 
 
+def window_keys(hashes: np.ndarray, template: np.ndarray, slots: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys windows are joined by: the template's hash, or that of the words themselves where fewer than LITERALS
+    words of the window are no slots (a row of numbers says nothing without its values). Equal words give equal slots,
+    so a verbatim window has the same key on both sides either way."""
+    keys, first = window_hashes(template, starts, size)
+    literal = np.concatenate(([0], np.cumsum(~slots)))
+    bare = literal[first + size] - literal[first] < LITERALS
+    if bare.any():
+        keys = np.where(bare, mix(window_hashes(hashes, starts, size)[0] + _U(1)), keys)
+    return keys, first
+
+
 class _Items:
     """A block of items with the hashes of their template windows, sorted."""
 
@@ -82,7 +96,7 @@ class _Items:
         self.ids, self.size = np.array(ids, np.int64), size
         self.hashes, digit, self.starts = words(texts)
         template, self.slots = templates(self.hashes, digit, units, names)
-        keys, first = window_hashes(template, self.starts, size)
+        keys, first = window_keys(self.hashes, template, self.slots, self.starts, size)
         order = np.argsort(keys, kind="stable")
         self.keys, self.first = keys[order], first[order]
         self.owner = np.searchsorted(self.starts, self.first, "right") - 1
@@ -135,7 +149,7 @@ def leaks(documents: DataFrame, items: DataFrame, size: int = 13, names: Iterabl
 def _matches(texts: list[str | None], sent: _Items, units: np.ndarray, names: np.ndarray) -> list[tuple[int, int, str, int]]:
     hashes, digit, starts = words(texts)
     template, slots = templates(hashes, digit, units, names)
-    keys, first = window_hashes(template, starts, sent.size)
+    keys, first = window_keys(hashes, template, slots, starts, sent.size)
     low, high = np.searchsorted(sent.keys, keys, "left"), np.searchsorted(sent.keys, keys, "right")
     hit = np.flatnonzero(high > low)
     best: dict[tuple[int, int, str], int] = {}
