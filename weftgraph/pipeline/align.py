@@ -15,9 +15,21 @@ from weftgraph.functions.vectors import cosine
 
 #: Most entries of the dictionary sent to every task.
 DICTIONARY_ROWS = 500_000
+
+# The tag type of each layer, the role of each segment type, and the signs of each context.
 LAYER_TAG = {"concept": "canonical", "mechanism": "mechanism_tag", "method": "method_tag", "condition": "condition_tag", "scenario": "scenario_tag"}
-ROLES = {"definition": "定义", "mechanism": "机制", "constraint": "约束", "config": "配置", "fault": "故障", "troubleshooting": "排障", "best_practice": "最佳实践", "performance": "性能", "comparison": "对比", "table": "表格", "code": "配置"}
-CONTEXTS = {"数据中心": r"\bdata center\b|\bdc fabric\b", "园区网": r"\bcampus\b|\benterprise\b", "承载网": r"\bcarrier\b|\bservice provider\b|\bsp network\b", "接入网": r"\baccess network\b|\bpon\b|\bolt\b", "5GC": r"\b5gc\b|\b5g core\b|\bamf\b|\bsmf\b", "多厂商组网": r"\bmulti.vendor\b|\binterop\b"}
+ROLES = {
+    "definition": "定义", "mechanism": "机制", "constraint": "约束", "config": "配置", "fault": "故障", "troubleshooting": "排障",
+    "best_practice": "最佳实践", "performance": "性能", "comparison": "对比", "table": "表格", "code": "配置",
+}
+CONTEXTS = {
+    "数据中心": r"\bdata center\b|\bdc fabric\b",
+    "园区网": r"\bcampus\b|\benterprise\b",
+    "承载网": r"\bcarrier\b|\bservice provider\b|\bsp network\b",
+    "接入网": r"\baccess network\b|\bpon\b|\bolt\b",
+    "5GC": r"\b5gc\b|\b5g core\b|\bamf\b|\bsmf\b",
+    "多厂商组网": r"\bmulti.vendor\b|\binterop\b",
+}
 
 
 def find_terms(segments: DataFrame, dictionary: DataFrame) -> DataFrame:

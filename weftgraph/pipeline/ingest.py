@@ -16,6 +16,14 @@ BOILERPLATE = (
     r"(?is)\b(navigation|breadcrumb|skip to content)\b.*?(\n|$)",
 )
 
+# What tells a document's type, a sentence's end and a line of a list.
+SPEC_URL, SPEC_TITLE = "/rfc/|/rfcs/", r"\brfc\s*\d+"
+MANUAL_URL, MANUAL_TITLE = "/config-guide/|/configuration/|/cli-reference/|/troubleshoot", "configuration guide|command reference|cli guide|troubleshoot"
+QUESTIONS = r"(?i)\bQ\s*[:：]|\bA\s*[:：]|frequently asked|常见问题"
+CODE = r"(?m)```[\s\S]*?```|^\s{4,}\S"
+SENTENCE_END = r"""[.!?。！？]+(?:\s|["')\]]|\z)"""
+LISTED = r"^\s*[-*•◦·▪▫]\s|\.\s*\.\s*\."
+
 
 def exact_duplicates(documents: DataFrame, digest: str = "content_hash", order: str = "crawl_time", key: str = "source_doc_id") -> DataFrame:
     """documents with ``is_duplicate``: of those with an equal digest the earliest stays (a null time comes last). A null
@@ -73,8 +81,8 @@ def quality_signals(text: Column) -> dict[str, Column]:
     """line_count, char_count, sentence_density (sentence ends per 1 000 characters), listy_ratio."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.greatest(F.size(lines), F.lit(1))
-    ends = F.regexp_count(text, F.lit(r"""[.!?。！？]+(?:\s|["')\]]|\z)"""))
-    listy = F.size(F.filter(lines, lambda x: (F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2) | x.rlike(r"^\s*[-*•◦·▪▫]\s") | x.rlike(r"\.\s*\.\s*\.")))
+    ends = F.regexp_count(text, F.lit(SENTENCE_END))
+    listy = F.size(F.filter(lines, lambda x: (F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2) | x.rlike(LISTED)))
     empty = F.length(text) == 0
     return {
         "line_count": F.when(empty, 0).otherwise(n).cast("int"),
@@ -91,13 +99,13 @@ def quality_gate(tokens: Column, density: Column, listy: Column) -> Column:
 
 def document_type(url: Column, title: Column, text: Column) -> Column:
     u, t = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
-    asks = F.regexp_count(F.substring(text, 1, 3000), F.lit(r"(?i)\bQ\s*[:：]|\bA\s*[:：]|frequently asked|常见问题"))
+    asks = F.regexp_count(F.substring(text, 1, 3000), F.lit(QUESTIONS))
     n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     faq = (n > 0) & (asks / F.greatest(n / 100, F.lit(1.0)) > 0.3)
-    fences = F.regexp_count(text, F.lit(r"(?m)```[\s\S]*?```|^\s{4,}\S"))
+    fences = F.regexp_count(text, F.lit(CODE))
     return (
-        F.when(u.rlike(r"/rfc/|/rfcs/") | t.rlike(r"\brfc\s*\d+"), "spec")
-        .when(u.rlike("/config-guide/|/configuration/|/cli-reference/") | t.rlike("configuration guide|command reference|cli guide") | F.contains(u, F.lit("/troubleshoot")) | F.contains(t, F.lit("troubleshoot")), "vendor_doc")
+        F.when(u.rlike(SPEC_URL) | t.rlike(SPEC_TITLE), "spec")
+        .when(u.rlike(MANUAL_URL) | t.rlike(MANUAL_TITLE), "vendor_doc")
         .when(u.endswith(".pdf"), "pdf")
         .when(faq, "faq")
         .when(fences > 3, "tutorial")
