@@ -39,16 +39,16 @@ class Matching:
     """``least_score`` is the least soft TF-IDF of an accepted entry, ``margin`` what the best node must be ahead by.
 
     A word that occurs with one node only names it, and is repaired with care: by one edit from ``one_edit_name``
-    letters, by two from ``two_edits_name``, never by two substitutions, and not by two edits if it stands in
+    letters, by two from ``two_edits_name``, never by two substitutions, and not at all if it stands in
     ``own_word`` forms or more (it is a word of its own then, not a slip). Words shared by nodes are repaired from
     ``one_edit`` and ``two_edits`` letters."""
 
-    least_score: float = 0.7
+    least_score: float = 0.76
     margin: float = 0.02
     one_edit: int = 2
     two_edits: int = 4
     one_edit_name: int = 5
-    two_edits_name: int = 7
+    two_edits_name: int = 6
     own_word: int = 4
 
 
@@ -120,13 +120,17 @@ class Vocabulary:
         for form in _shortened(plain, 2 if len(plain) > 2 else 1):
             for word in self.shortened.get(form, ()):
                 most = self.allowed(word)
-                if word not in found and (d := edits(plain, word, most)) <= most and not (d == 2 and word in self.names and self._other_word(plain, word, forms)):
+                if word not in found and (d := edits(plain, word, most)) <= most and not (d and word in self.names and self._other_word(plain, word, d, forms)):
                     found[word] = 1 - d / max(len(plain), len(word))
         best = max(found.values(), default=0)
         return [(w, s) for w, s in sorted(found.items()) if s == best]
 
-    def _other_word(self, token: str, word: str, forms: int) -> bool:
-        return forms >= self.how.own_word or len(token) == len(word) and sum(x != y for x, y in zip(token, word)) == 2
+    def _other_word(self, token: str, word: str, d: int, forms: int) -> bool:
+        if forms >= self.how.own_word:
+            return True
+        # of equal length and two letters apart, unless a letter only moved
+        replaced = d == 2 and len(token) == len(word) and sum(x != y for x, y in zip(token, word)) == 2
+        return replaced and not _shortened(token, 1) & _shortened(word, 1)
 
     def parts(self, token: str) -> list[str]:
         """The token cut into the fewest vocabulary words of at least three letters; empty if it cannot be."""
