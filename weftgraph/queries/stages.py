@@ -120,6 +120,13 @@ add(
     "align_embedding_match",
     lambda k: align.embedding_match(k.segment_vec.select("segment_id", F.col("content_vec").alias("vec")), k.sql(_NODEVEC), least=0.4).select("segment_id", F.round("similarity", 5).alias("similarity")).distinct(),
 )
+_MATCHES = "SELECT tag_id, segment_id, ontology_node_id AS node_id, CASE WHEN tag_id % 2 = 0 THEN 'kisg' ELSE 'session guard' END AS form FROM {v_segment_tag}"
+add(
+    "align_verify_short",
+    lambda k: align.verify_short(k.sql(_MATCHES), k.segment_vec.select("segment_id", F.col("content_vec").alias("vec")), k.sql(_NODEVEC)).select("tag_id", "form"),
+    f"""WITH m AS ({_MATCHES}), n AS ({_NODEVEC}), j AS (SELECT m.tag_id, m.form, CASE WHEN s.content_vec IS NULL OR n.vec IS NULL OR list_sum(list_transform(s.content_vec, lambda x: abs(x))) = 0 OR list_sum(list_transform(n.vec, lambda x: abs(x))) = 0 THEN NULL ELSE list_cosine_similarity(s.content_vec::DOUBLE[], n.vec::DOUBLE[]) END AS c
+        FROM m LEFT JOIN {{v_segment_vec}} s ON s.segment_id = m.segment_id LEFT JOIN n ON n.node_id = m.node_id) SELECT tag_id, form FROM j WHERE length(form) > 5 OR c IS NULL OR c >= 0.3""",
+)
 add("align_layer_tag", lambda k: k.segment_tag.join(k.node.select(F.col("node_id").alias("ontology_node_id"), "layer"), "ontology_node_id").select("tag_id", F.create_map(*[F.lit(x) for kv in align.LAYER_TAG.items() for x in kv])[F.col("layer")].alias("layer_tag")), "SELECT g.tag_id, CASE n.layer WHEN 'concept' THEN 'canonical' WHEN 'mechanism' THEN 'mechanism_tag' WHEN 'method' THEN 'method_tag' WHEN 'condition' THEN 'condition_tag' ELSE 'scenario_tag' END AS layer_tag FROM {v_segment_tag} g JOIN {v_node} n ON n.node_id = g.ontology_node_id")
 add("align_role_tag", lambda k: k.segment.select("segment_id", align.role_tag(F.col("segment_type")).alias("role")).where("role is not null"), "SELECT segment_id, CASE segment_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in align.ROLES.items()) + " END AS role FROM {v_segment} WHERE segment_type IN (" + ", ".join(f"'{a}'" for a in align.ROLES) + ")")
 add("align_context_tags", lambda k: k.segment.select("segment_id", F.array_join(align.context_tags(F.col("raw_text")), ",").alias("tags")), "SELECT segment_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(substr(raw_text, 1, 1000)), '{p}') THEN '{label}' END" for label, p in align.CONTEXTS.items()) + ") AS tags FROM {v_segment}")
