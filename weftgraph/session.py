@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +25,19 @@ def local_session(cores: int | str | None = None, memory: str = "8g") -> SparkSe
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes the package importable by Python workers, once a context: where neither the working folder nor PYTHONPATH
+    does so, a zip of it goes to every executor."""
+    root = Path(__file__).resolve().parent.parent
+    known = {Path.cwd(), *(Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)}
+    context = spark.sparkContext
+    if root in known or getattr(context, "_weftgraph_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="weftgraph-")) / "weftgraph.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted((root / "weftgraph").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._weftgraph_shipped = True
