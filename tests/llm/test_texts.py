@@ -109,6 +109,16 @@ def test_forms_find_their_node(spark):
     assert {r.node_id for r in none.collect()} == {"UNMATCHED"}
 
 
+def test_slips_find_their_node_however_many_forms_hold_them(spark):
+    entries = spark.createDataFrame([*ENTRIES, ("Drelzeal", "n7")], "entry string, node_id string")
+    want = {"morbx": "n3", "kixwcik session guard": "n1", "remzeal": "UNMATCHED"}
+    ways = ["{}", " {} ", "{} protocol", "{} feature", "{} v2", "the {}", "{}!", "({})"]
+    varied = {case(way.format(form)): node for form, node in want.items() for way in ways for case in (str.lower, str.upper, str.title)}
+    for forms in (want, varied):
+        found = canonical.map_to_canonical(spark.createDataFrame([(f,) for f in forms], "form string"), entries)
+        assert {r.form: r.node_id for r in found.collect()} == forms
+
+
 @given(st.text("abc", max_size=6), st.text("abc", max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_edits_with_swaps(a, b):

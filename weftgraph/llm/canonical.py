@@ -39,9 +39,9 @@ class Matching:
     """``least_score`` is the least soft TF-IDF of an accepted entry, ``margin`` what the best node must be ahead by.
 
     A word that occurs with one node only names it, and is repaired with care: by one edit from ``one_edit_name``
-    letters, by two from ``two_edits_name``, never by two substitutions, and not at all if it stands in
-    ``own_word`` forms or more (it is a word of its own then, not a slip). Words shared by nodes are repaired from
-    ``one_edit`` and ``two_edits`` letters."""
+    letters, by two from ``two_edits_name``, never by two substitutions, nor by a substitution and a letter more or
+    less if it begins otherwise. Words shared by nodes are repaired from ``one_edit`` and ``two_edits`` letters. What
+    a token is repaired to depends on it and the entries alone, never on how often it stands in the forms."""
 
     least_score: float = 0.76
     margin: float = 0.02
@@ -49,7 +49,6 @@ class Matching:
     two_edits: int = 4
     one_edit_name: int = 5
     two_edits_name: int = 6
-    own_word: int = 4
 
 
 def form_tokens(form: str | None) -> list[str]:
@@ -107,8 +106,8 @@ class Vocabulary:
         one, two = (self.how.one_edit_name, self.how.two_edits_name) if word in self.names else (self.how.one_edit, self.how.two_edits)
         return 2 if len(word) >= two else 1 if len(word) >= one else 0
 
-    def repairs(self, token: str, forms: int) -> list[tuple[str, float]]:
-        """The vocabulary words the token, which stands in so many forms, may be meant for, with a similarity of 0..1."""
+    def repairs(self, token: str) -> list[tuple[str, float]]:
+        """The vocabulary words the token may be meant for, with a similarity of 0..1."""
         plain = token.rstrip(".")
         if plain in self.words:
             return [(plain, 1.0)]
@@ -120,13 +119,14 @@ class Vocabulary:
         for form in _shortened(plain, 2 if len(plain) > 2 else 1):
             for word in self.shortened.get(form, ()):
                 most = self.allowed(word)
-                if word not in found and (d := edits(plain, word, most)) <= most and not (d and word in self.names and self._other_word(plain, word, d, forms)):
+                if word not in found and (d := edits(plain, word, most)) <= most and not (d and word in self.names and self._other_word(plain, word, d)):
                     found[word] = 1 - d / max(len(plain), len(word))
         best = max(found.values(), default=0)
         return [(w, s) for w, s in sorted(found.items()) if s == best]
 
-    def _other_word(self, token: str, word: str, d: int, forms: int) -> bool:
-        if forms >= self.how.own_word:
+    def _other_word(self, token: str, word: str, d: int) -> bool:
+        # one letter replaced and one more or less, with another beginning (a swap of the first two is none)
+        if d == 2 and abs(len(token) - len(word)) == 1 and token[0] != word[0] and token[1::-1] != word[:2]:
             return True
         # of equal length and two letters apart, unless a letter only moved
         replaced = d == 2 and len(token) == len(word) and sum(x != y for x, y in zip(token, word)) == 2
@@ -179,8 +179,8 @@ def map_to_canonical(forms: DataFrame, entries: DataFrame, how: Matching = Match
 
     def repair(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for token, n in zip(column(batch, "token"), column(batch, "forms")):
-            found = [(token, 0, w, s) for w, s in vocabulary.repairs(token, n)]
+        for token in column(batch, "token"):
+            found = [(token, 0, w, s) for w, s in vocabulary.repairs(token)]
             if not found:
                 found = [(token, i, w, 1.0) for i, w in enumerate(vocabulary.parts(token.rstrip(".")))]
             out += found or [(token, 0, None, 0.0)]
@@ -188,7 +188,7 @@ def map_to_canonical(forms: DataFrame, entries: DataFrame, how: Matching = Match
         return record(**{k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(zip(("token", "part", "word", "similarity"), kinds))})
 
     tokens = stage(map_batches(distinct, cut, "form string, place int, token string"))
-    repaired = stage(map_batches(tokens.groupBy("token").agg(F.count_distinct("form").alias("forms")), repair, "token string, part int, word string, similarity double"))
+    repaired = stage(map_batches(tokens.select("token").distinct(), repair, "token string, part int, word string, similarity double"))
     rows = [(i, node, t) for (entry, node), i in names.items() for t in set(entry)]
     held = spark.createDataFrame(rows, "entry_id int, node_id string, word string") if rows else spark.createDataFrame([], "entry_id int, node_id string, word string")
     nodes = max(1, len({node for _, node in names}))
