@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,9 @@ def cosine(a: Column, b: Column | list[float]) -> Column:
     other = F.array(*[F.lit(float(x)) for x in b]) if isinstance(b, list) else b
     product = F.sqrt(_dot(a, a)) * F.sqrt(_dot(other, other))
     return F.when((product > 0) & (F.size(a) == F.size(other)), _dot(a, other) / product)
+
+
+def mean_vector(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, vec) -> (key, vec): the mean of each key's vectors, place by place."""
+    places = rows.select(key, F.posexplode("vec").alias("place", "x")).groupBy(key, "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return places.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("p")).select(key, F.transform("p", lambda p: p["x"]).alias("vec"))

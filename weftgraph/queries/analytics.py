@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from weftgraph import governance as G
 from weftgraph import quality as Q
+from weftgraph.functions.vectors import mean_vector
 from weftgraph.queries.registry import Registry
 from weftgraph.queries.semantic import _DEGREE, _TYPED
-from weftgraph.queries.stages import AS_OF
+from weftgraph.queries.stages import AS_OF, EVIDENCE_VECTORS
 
 R = Registry()
 add, shared = R.add, R.shared
@@ -21,6 +22,7 @@ add(
     lambda k: G.semantic_conflicts(k.fact, k.sql(_FV), 0.85).groupBy("a").agg(F.count("*").alias("n")),
     f"WITH v AS ({_FV}), r AS (SELECT f.fact_id, f.subject, f.predicate, f.object, v.vec::DOUBLE[] AS vec FROM {{v_fact}} f JOIN v ON v.fact_id = f.fact_id), p AS (SELECT a.fact_id AS a, b.fact_id AS b FROM r a JOIN r b ON a.subject = b.subject WHERE a.fact_id < b.fact_id AND a.predicate <> b.predicate AND list_cosine_similarity(a.vec, b.vec) >= 0.85 UNION SELECT a.fact_id, b.fact_id FROM r a JOIN r b ON a.object = b.object WHERE a.fact_id < b.fact_id AND a.predicate <> b.predicate AND list_cosine_similarity(a.vec, b.vec) >= 0.85) SELECT a, count(*) AS n FROM p GROUP BY a",
 )
+add("conflict_semantic_all", lambda k: G.semantic_conflicts(k.fact, k.sql(EVIDENCE_VECTORS).select("fact_id", "vec"), 0.85).groupBy("a").agg(F.count("*").alias("n")))
 shared("conflict_exact", "SELECT subject, predicate, count(DISTINCT object) AS n_objects FROM {v_fact} WHERE lifecycle_state = 'active' GROUP BY subject, predicate HAVING count(DISTINCT object) > 1")
 _CV = "SELECT c.candidate_id, v.content_vec AS vec FROM {v_candidate} c JOIN {v_segment_vec} v ON v.segment_id = c.candidate_id * 1000 + 1 WHERE v.content_vec IS NOT NULL"
 _NV = "SELECT concat('N.', cast(segment_id AS string)) AS node_id, content_vec AS vec FROM {v_segment_vec} WHERE content_vec IS NOT NULL AND segment_id % 1000 = 2"
@@ -29,6 +31,10 @@ add(
     lambda k: G.variants(k.sql(_CV), k.sql(_NV), 0.3).select("candidate_id", "node_id"),
     f"WITH c AS ({_CV}), n AS ({_NV}), s AS (SELECT c.candidate_id, n.node_id, list_cosine_similarity(c.vec::DOUBLE[], n.vec::DOUBLE[]) AS s FROM c, n), r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY s DESC, node_id) AS k FROM s WHERE s IS NOT NULL AND NOT isnan(s)) SELECT candidate_id, node_id FROM r WHERE k = 1 AND s >= 0.3",
 )
+# all candidates by the segments of the documents they were seen in, all nodes by the segments tagged with them
+_SEEN = "SELECT DISTINCT c.candidate_id, v.segment_id, v.content_vec AS vec FROM (SELECT candidate_id, explode(seen_source_doc_ids) AS doc_id FROM {v_candidate}) c JOIN {v_segment} s ON s.source_doc_id = c.doc_id JOIN {v_segment_vec} v ON v.segment_id = s.segment_id WHERE v.content_vec IS NOT NULL"
+_TAGGED = "SELECT DISTINCT g.ontology_node_id AS node_id, v.segment_id, v.content_vec AS vec FROM {v_segment_tag} g JOIN {v_segment_vec} v ON v.segment_id = g.segment_id WHERE v.content_vec IS NOT NULL"
+add("maint_variant_detect_all", lambda k: G.variants(mean_vector(k.sql(_SEEN), "candidate_id"), mean_vector(k.sql(_TAGGED), "node_id"), 0.3).select("candidate_id", "node_id"))
 _LINKS = "SELECT DISTINCT x.candidate_id AS a, y.candidate_id AS b FROM {v_candidate} x JOIN {v_candidate} y ON lower(trim(x.normalized_form)) = lower(trim(y.normalized_form)) AND x.candidate_id < y.candidate_id"
 add(
     "maint_cluster_merge",

@@ -219,6 +219,11 @@ _FV = "SELECT f.fact_id, v.content_vec AS vec FROM {v_fact} f JOIN {v_segment_ve
 add("dedup_d3b", lambda k: dedup.semantic_duplicates(k.fact, k.sql(_FV), 0.5),
     f"WITH v AS ({_FV}), r AS (SELECT f.fact_id, f.subject, f.object, f.confidence, v.vec FROM {{v_fact}} f JOIN v ON v.fact_id = f.fact_id WHERE v.vec IS NOT NULL) SELECT DISTINCT b.fact_id FROM r a JOIN r b ON a.subject = b.subject AND a.object = b.object WHERE (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.fact_id < b.fact_id)) AND list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) >= 0.5")
 add("conflicts_functional", lambda k: dedup.functional_conflicts(k.fact.where("subject < 'METHOD.2'"), ["depends_on"]), "SELECT a.fact_id AS fact_id_a, b.fact_id AS fact_id_b, CASE WHEN contains(lower(a.object), lower(b.object)) OR contains(lower(b.object), lower(a.object)) THEN 'merge' ELSE 'conflict' END AS outcome FROM {v_fact} a JOIN {v_fact} b ON a.subject = b.subject AND a.predicate = b.predicate AND a.fact_id < b.fact_id AND a.object <> b.object WHERE a.predicate = 'depends_on' AND a.lifecycle_state = 'active' AND b.lifecycle_state = 'active' AND a.subject < 'METHOD.2'")
+# the same over all facts, with the vectors of a fact's pieces of evidence; the SQL above covers a part of the facts
+EVIDENCE_VECTORS = "SELECT DISTINCT e.fact_id, e.segment_id, v.content_vec AS vec FROM {v_evidence} e JOIN {v_segment_vec} v ON v.segment_id = e.segment_id WHERE v.content_vec IS NOT NULL"
+add("dedup_d3b_all", lambda k: dedup.semantic_duplicates(k.fact, k.sql(EVIDENCE_VECTORS), 0.5),
+    f"WITH v AS ({EVIDENCE_VECTORS}), r AS (SELECT f.fact_id, f.subject, f.object, f.confidence, v.vec FROM {{v_fact}} f JOIN v ON v.fact_id = f.fact_id WHERE list_sum(list_transform(v.vec, lambda x: abs(x))) > 0) SELECT DISTINCT b.fact_id FROM r a JOIN r b ON a.subject = b.subject AND a.object = b.object WHERE (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.fact_id < b.fact_id)) AND list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) >= 0.5")
+add("conflicts_functional_all", lambda k: dedup.functional_conflicts(k.fact, ["depends_on"]))
 add("conflicted_facts", lambda k: dedup.conflicted_facts(k.fact, ["depends_on", "impacts"]), "WITH f AS (SELECT * FROM {v_fact} WHERE lifecycle_state = 'active' AND predicate IN ('depends_on', 'impacts')) SELECT fact_id FROM f WHERE (subject, predicate) IN (SELECT subject, predicate FROM f GROUP BY 1, 2 HAVING count(DISTINCT object) > 1)")
 # ---- index
 add("index_gates", lambda k: index.gated(k.segment).select("segment_id"), "SELECT segment_id FROM {v_segment} WHERE lifecycle_state = 'active' AND confidence >= 0.5")
