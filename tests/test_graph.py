@@ -4,11 +4,12 @@ import itertools
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import graph
-from weftgraph.quality import connectivity, gini
+from weftgraph.quality import connectivity, fiedler_value, gini
 
 EDGE = "src string, rel_type string, dst string, predicate string, confidence double"
 
@@ -117,6 +118,23 @@ def test_connectivity_and_gini(spark):
     assert gini(spark.createDataFrame([(0,)], "v int"), "v").first().gini == 1.0
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_fiedler_value_of_more_than_the_dense_bound(spark, apart):
+    pick = random.Random(3)
+    links = [(i, pick.randrange(i)) for i in range(1, 700)] + [(pick.randrange(700), pick.randrange(700)) for _ in range(300)]
+    n = 701 if apart else 700
+    a = np.zeros((n, n))
+    for x, y in links:
+        if x != y:
+            a[x, y] = a[y, x] = 1
+    want = 0.0 if apart else np.sort(np.linalg.eigvalsh(np.diag(a.sum(1)) - a))[1]
+    e = edges(spark, [(f"v{x:03d}", "R", f"v{y:03d}", 1.0) for x, y in [*links, *links[:50]]] + [("v000", "R", "outside", 1.0)])
+    nodes = seeds(spark, *[f"v{i:03d}" for i in range(n)])
+    assert fiedler_value(nodes, e) == pytest.approx(want, abs=1e-6)
+    assert fiedler_value(nodes, e, dense=800) == pytest.approx(want, abs=1e-6)
+    assert fiedler_value(nodes.limit(1), e) is None
+
+
 def test_keep_first(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "k string, o int")
     assert {tuple(r) for r in graph.keep_first(df, ["k"], [F.col("o")]).collect()} == {("a", 1), ("b", 3)}

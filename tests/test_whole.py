@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from weftgraph import catalog
+from weftgraph.governance import backfill_terms
 from weftgraph.knowledge import Knowledge
 
 FOLDER = "/root/testdata/sf0.001"
@@ -80,6 +81,27 @@ def test_semantic_duplicates_and_conflicts_of_all_facts(spark, k, sources):
     assert len({f.subject for f in facts}) == 10 and pairs and rows(spark, "conflict_semantic_all") == set(counted.items())
 
 
+def test_backfill_reaches_more_than_twenty_segments_of_a_node(spark):
+    segments = spark.createDataFrame([(i, "a text about drismar", "active" if i else "draft") for i in range(600)], "segment_id long, text string, lifecycle_state string")
+    tags = spark.createDataFrame([(1, "IP.1")], "segment_id long, ontology_node_id string")
+    more = spark.createDataFrame([(i, "of the morbex", "active") for i in range(1_000, 1_600)], "segment_id long, text string, lifecycle_state string")
+    forms = spark.createDataFrame([("Drismar", "IP.1"), ("Morbex", "IP.1"), ("morbex", "IP.1")], "form string, node_id string")
+    found = backfill_terms(segments.union(more), tags, forms)
+    assert [r.segment_id for r in found.orderBy("segment_id").collect()] == [*range(2, 502), *range(1_000, 1_500)]
+
+
+def test_backfill_of_all_terms(spark, k):
+    forms = {(r.surface_form.lower(), r.canonical_node_id) for r in k.alias.select("surface_form", "canonical_node_id").collect() if len(r.surface_form) > 3}
+    have = {(r.segment_id, r.ontology_node_id) for r in k.segment_tag.select("segment_id", "ontology_node_id").collect()}
+    hits = defaultdict(set)
+    for s in k.segment.where("lifecycle_state = 'active'").select("segment_id", "text").collect():
+        text = (s.text or "").lower()
+        for form, node in forms:
+            if form in text and (s.segment_id, node) not in have:
+                hits[form, node].add(s.segment_id)
+    assert rows(spark, "backfill_all") == {(s, n) for (_, n), ids in hits.items() for s in sorted(ids)[:500]}
+
+
 def test_variants_of_all_candidates(spark, k, vectors):
     texts, seen, tagged = defaultdict(set), defaultdict(set), defaultdict(set)
     for s in k.segment.select("segment_id", "source_doc_id").collect():

@@ -100,6 +100,15 @@ def backfill(segments: DataFrame, tags: DataFrame, node_forms: DataFrame, per_te
     return new.withColumn("n", F.row_number().over(Window.partitionBy("node_id").orderBy("segment_id"))).where(F.col("n") <= per_term).drop("n")
 
 
+def backfill_terms(segments: DataFrame, tags: DataFrame, node_forms: DataFrame, per_term: int = 500) -> DataFrame:
+    """The same with ``per_term`` new tags a form of a node, as the reference counts, instead of a node."""
+    forms = node_forms.select(F.lower("form").alias("term"), "node_id").distinct()
+    hits = align.find_terms(segments.where("lifecycle_state = 'active'").select("segment_id", "text"), forms.select(F.col("term").alias("form"), F.col("term").alias("node_id"), F.lit(0.85).alias("confidence")))
+    new = hits.withColumnRenamed("node_id", "term").join(forms, "term").join(tags.select("segment_id", F.col("ontology_node_id").alias("node_id")), ["segment_id", "node_id"], "left_anti")
+    first = new.withColumn("n", F.row_number().over(Window.partitionBy("node_id", "term").orderBy("segment_id"))).where(F.col("n") <= per_term)
+    return first.select("segment_id", "node_id", "confidence").distinct()
+
+
 def validate_ontology(nodes: DataFrame, layers: Sequence[str] = model.LAYERS) -> DataFrame:
     """(node_id, problem): missing fields, unknown layers, unknown parents, double ids."""
     missing = [nodes.where(F.col(c).isNull() | (F.trim(c) == "")).select("node_id", F.lit(f"no {c}").alias("problem")) for c in ("node_id", "canonical_name", "layer", "lifecycle_state")]

@@ -67,6 +67,8 @@ add(
     lambda k: G.backfill(k.segment, k.segment_tag, k.sql(_FORMS), 20).select("segment_id", "node_id"),
     f"WITH f AS ({_FORMS}), h AS (SELECT DISTINCT s.segment_id, f.node_id FROM {{v_segment}} s JOIN f ON contains(lower(s.text), lower(f.form)) WHERE s.lifecycle_state = 'active'), n AS (SELECT h.*, row_number() OVER (PARTITION BY node_id ORDER BY segment_id) AS n FROM h WHERE NOT EXISTS (SELECT 1 FROM {{v_segment_tag}} g WHERE g.segment_id = h.segment_id AND g.ontology_node_id = h.node_id)) SELECT segment_id, node_id FROM n WHERE n <= 20",
 )
+# with the reference's number, a term; the SQL above has another, a node
+add("backfill_all", lambda k: G.backfill_terms(k.segment, k.segment_tag, k.sql(_FORMS)).select("segment_id", "node_id"))
 _BROKEN = "SELECT CASE WHEN node_id LIKE '%LABEL%' THEN concat(node_id, 'X') ELSE node_id END AS node_id, CASE WHEN node_id LIKE '%FLOW%' THEN '' ELSE canonical_name END AS canonical_name, CASE WHEN node_id LIKE '%CACHE%' THEN 'other' ELSE layer END AS layer, lifecycle_state, parent_id FROM {v_node}"
 add(
     "ontology_validate",
