@@ -122,3 +122,35 @@ def test_variants_of_all_candidates(spark, k, vectors):
             if best and -best[0][0] >= 0.3:
                 want.add((c, best[0][1]))
     assert len(want) > 5 and rows(spark, "maint_variant_detect_all") == want
+
+
+def test_merge_of_all_facts_and_their_evidence(spark, k):
+    clusters, state = defaultdict(list), {}
+    for f in k.fact.select("fact_id", "subject", "predicate", "object", "confidence", "lifecycle_state").collect():
+        clusters[f"{f.subject}|{f.predicate}|{f.object}"].append((-f.confidence, f.fact_id))
+        state[f.fact_id] = f.lifecycle_state
+    head = {f: (c, min(facts)[1]) for c, facts in clusters.items() for _, f in facts}
+    assert rows(spark, "fact_merge_all") == {(f, state[f] if h == f else "superseded", c) for f, (c, h) in head.items()}
+    n = defaultdict(int)
+    for e in k.evidence.select("fact_id").collect():
+        n[head[e.fact_id][1]] += 1
+    assert any(h != f for f, (_, h) in head.items()) and rows(spark, "fact_merge_evidence_all") == set(n.items())
+
+
+def test_cycles_of_all_edges_up_to_five(spark, k):
+    out = defaultdict(set)
+    for e in k.edge.where("rel_type in ('DEPENDS_ON', 'CAUSES') and src <> dst").select("src", "dst").collect():
+        out[e.src].add(e.dst)
+    n = defaultdict(int)
+
+    def walk(path):
+        if len(path) > 1 and path[0] in out[path[-1]]:
+            n[len(path)] += 1
+        if len(path) < 5:
+            for x in list(out[path[-1]]):
+                if x > path[0] and x not in path:
+                    walk([*path, x])
+
+    for root in list(out):
+        walk([root])
+    assert n[5] and rows(spark, "graph_cycles_all") == set(n.items())

@@ -101,6 +101,10 @@ add(
     lambda k: S.fact_merge(k.fact, k.evidence, k.sql(_CLUSTERS).select("cluster_id", "fact_id"))[1].groupBy("fact_id").agg(F.count("*").alias("n")),
     f"WITH c AS ({_CLUSTERS}), r AS (SELECT fact_id, first_value(fact_id) OVER (PARTITION BY cluster_id ORDER BY confidence DESC, fact_id) AS head FROM c) SELECT coalesce(r.head, e.fact_id) AS fact_id, count(*) AS n FROM {{v_evidence}} e LEFT JOIN r ON r.fact_id = e.fact_id GROUP BY 1",
 )
+# the same over all facts; the SQL above covers one subject
+_ALL_CLUSTERS = "SELECT concat_ws('|', subject, predicate, object) AS cluster_id, fact_id FROM {v_fact}"
+add("fact_merge_all", lambda k: S.fact_merge(k.fact, k.evidence, k.sql(_ALL_CLUSTERS))[0].select("fact_id", "lifecycle_state", "merge_cluster_id"))
+add("fact_merge_evidence_all", lambda k: S.fact_merge(k.fact, k.evidence, k.sql(_ALL_CLUSTERS))[1].groupBy("fact_id").agg(F.count("*").alias("n")))
 AS_OF = "2024-06-30"
 add(
     "candidate_discover",
@@ -252,3 +256,5 @@ add(
     f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_LOOP} x WHERE src <> dst), p AS (SELECT src AS root, dst AS at, [src, dst] AS ids FROM e WHERE src < dst UNION ALL SELECT p.root, e.dst, list_append(p.ids, e.dst) FROM p JOIN e ON e.src = p.at WHERE len(p.ids) < 4 AND e.dst > p.root AND NOT list_contains(p.ids, e.dst))
         SELECT cast(len(p.ids) AS int) AS length, count(*) AS n FROM p JOIN e ON e.src = p.at AND e.dst = p.root GROUP BY 1""",
 )
+# all edges of the relation and cycles of up to 5 edges; the SQL above covers a part of the edges, and of up to 4
+add("graph_cycles_all", lambda k: graph.cycles(k.sql("SELECT src, 'DEPENDS_ON' AS rel_type, dst FROM {v_edge} WHERE rel_type IN ('DEPENDS_ON', 'CAUSES')"), "DEPENDS_ON", 5).groupBy("length").agg(F.count("*").alias("n")))
