@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftgraph.llm import boilerplate, canonical, leaks, packing, site_lines, splitting
+from weftgraph.llm import boilerplate, canonical, leaks, packing, queries, site_lines, splitting
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -169,6 +169,27 @@ def test_furniture_on_held_out_pages(spark):
     assert boilerplate.furniture_lines(df.limit(0), labels).count() == 0
 
 
+def test_bodies_of_documents_without_segments(spark):
+    segments, bodies, truth = pages(60, 2)
+    shape = "segment_id long, doc_id long, segment_index int, site_key string, raw_text string"
+    df, labels = spark.createDataFrame(segments[:45], shape), spark.createDataFrame(bodies[:30], "doc_id long, body string")
+    texts = [(d, site, "# A heading\n" + text.replace("\n\n", "\n## Another\n")) for d, _, _, site, text in segments[45:]]
+    others = boilerplate.text_parts(spark.createDataFrame([*texts, (900, "site1word-x", ""), (901, None, None), (902, None, "# Only\n"), (None, None, "x")], "doc_id long, site_key string, text string"))
+    found = boilerplate.furniture_lines(df, labels, others=others)
+    assert set(boilerplate.furniture_lines(df, labels).collect()) == set(found.where("segment_id >= 0").collect())
+    clean = {r.doc_id: r.body for r in boilerplate.main_bodies(df.unionByName(others), found).collect()}
+    assert set(clean) == {*range(60), 900, 901, 902} and clean[900] == clean[901] == clean[902] == ""
+    assert sum(clean[d].split() == dict(bodies)[d].split() for d in range(45, 60)) >= 14
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_every_document_has_a_body(spark):
+    folder = "/root/testdata/sf0.001"
+    documents = {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()}
+    found = queries.p7_bodies(spark, folder).collect()
+    assert len(found) == len(documents) and {r.doc_id for r in found} == documents and all(r.body is not None for r in found)
+
+
 # ---- containers
 
 

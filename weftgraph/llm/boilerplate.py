@@ -153,12 +153,21 @@ def _prepared(segments: DataFrame) -> DataFrame:
     return rows
 
 
-def furniture_lines(segments: DataFrame, bodies: DataFrame, how: Cleaning = Cleaning()) -> DataFrame:
+def text_parts(documents: DataFrame) -> DataFrame:
+    """documents (doc_id, site_key, text) -> their parts between heading lines in the shape of segments, with negative ids;
+    headings are left out, and a document without text is one part without text."""
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?m)^##? .*$\n?", -1), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")
+    rows = documents.where("doc_id is not null").select("doc_id", "site_key", F.posexplode_outer(parts).alias("i", "raw_text")).withColumn("segment_index", F.coalesce("i", F.lit(0)))
+    return rows.select((-F.col("doc_id") * 1_000_000 - F.col("segment_index") - 1).alias("segment_id"), "doc_id", "segment_index", "site_key", "raw_text")
+
+
+def furniture_lines(segments: DataFrame, bodies: DataFrame, how: Cleaning = Cleaning(), others: DataFrame | None = None) -> DataFrame:
     """segments (segment_id, doc_id, segment_index, site_key, raw_text), bodies (doc_id, body) -> the lines that are
     furniture (segment_id, line_no), counted from 0 at line feeds; blank lines are neither.
 
     Segments delivered twice count once. Null texts have no lines; a null site is a host of its own. Without bodies
-    every score is 0 and nothing is furniture.
+    every score is 0 and nothing is furniture. ``others``, of the shape of segments, are judged by the same model and
+    verdicts without a vote in them.
     """
     rows = _prepared(segments)
     model = Model.fit(labelled(rows, bodies, how), how.epochs)
@@ -173,13 +182,15 @@ def furniture_lines(segments: DataFrame, bodies: DataFrame, how: Cleaning = Clea
         return record(**{k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(kinds.items())})
 
     shape_ = "segment_id long, doc_id long, site_key string, line_no int, path long, score float"
-    scored = stage(map_batches(rows.where("raw_text is not null"), score, shape_))
+    read = lambda x: stage(map_batches(x.where("raw_text is not null"), score, shape_))
+    scored = read(rows)
     # a score counts within bounds, so that no single page outvotes the others
     bounded = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col("score").cast("double")))
     pages = scored.groupBy("site_key", "path", "doc_id").agg(F.avg(bounded).alias("score"))
     verdicts = pages.groupBy("site_key", "path").agg(F.avg("score").alias("verdict"), F.count("*").alias("n_pages")).where(F.col("n_pages") >= how.least_pages)
     verdicts = stage(verdicts.select(F.col("site_key").alias("host"), F.col("path").alias("way"), "verdict"))
-    judged = scored.join(small_side(verdicts), F.col("site_key").eqNullSafe(F.col("host")) & (F.col("path") == F.col("way")), "left")
+    asked = scored if others is None else scored.union(read(_prepared(others)))
+    judged = asked.join(small_side(verdicts), F.col("site_key").eqNullSafe(F.col("host")) & (F.col("path") == F.col("way")), "left")
     return judged.where(bounded + how.weight * F.coalesce("verdict", F.lit(0.0)) > 0).select("segment_id", "line_no").distinct()
 
 

@@ -130,9 +130,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """The main body of each document that has segments."""
+    """The main body of each document: of its segments, or of its text where it has none."""
     segments, bodies = _pages(spark, folder)
-    return boilerplate.main_bodies(segments, boilerplate.furniture_lines(segments, bodies))
+    documents = read_table(spark, folder, "documents").select("doc_id", "site_key", "text")
+    others = boilerplate.text_parts(documents.join(segments.select("doc_id").distinct(), "doc_id", "left_anti"))
+    return boilerplate.main_bodies(segments.unionByName(others), boilerplate.furniture_lines(segments, bodies, others=others))
 
 
 #: TESTDATA.md's problem 8: capacity, and the tokenizer file that sizes the documents (base64 tokens and ranks).
