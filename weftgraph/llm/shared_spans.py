@@ -1,11 +1,13 @@
-"""Long exact spans shared between texts: compact windows over min-hashed character grams, then exact comparison.
+"""Long exact spans shared between texts: compact windows of several min-hashes, interval joins, exact comparison.
 
 The units are overlapping grams of ``gram`` characters (a common span may begin and end inside a word).  A span
-of ``span`` characters holds ``span - gram + 1`` grams; the Cartesian tree over the grams' hashes splits a text
-into compact windows, each node's range being all subsequences whose smallest hash is the node's.  Only nodes
-whose range is at least that wide can stand for a whole span, about ``2 * length / (span - gram + 1)`` of them, and
-two texts with a common span always share the hash of such a node: no recall is lost to hashing.  Texts that share
-a node are compared over all of their grams of ``span`` characters.
+of ``span`` characters holds ``span - gram + 1`` grams; for each of ``hashes`` hash functions the Cartesian tree over
+the grams' hashes splits a text into compact windows (first, smallest, last), each standing for all subsequences
+whose smallest hash is the node's.  Only nodes at least as wide as a span count, about
+``2 * length / (span - gram + 1)`` of them.  Windows of two texts with the same hash are joined as intervals: laid over
+each other at their smallest gram they must overlap in a whole span.  A common span passes this under every hash
+function, so a pair must be met by all of them, and no recall is lost.  The texts of the remaining pairs are compared
+character by character within the windows that met.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.arrow import array, column, map_batches, record
-from weftgraph.llm.near_duplicates import sharing_pairs
 from weftgraph.llm.shingles import CHUNK_CHARS, chunks, code_points, mix, powers
 from weftgraph.sources import small_side, stage
 
 _U = np.uint64
-#: Characters of a gram: two texts that share so much elsewhere than in a common span are compared in vain.
-GRAM = 200
+#: Characters of a gram: two texts that share so much elsewhere than in a common span are joined in vain.
+GRAM = 150
+#: Hash functions that must agree on a pair.
+HASHES = 2
 
 
 def _totals(chars: np.ndarray) -> np.ndarray:
@@ -38,51 +41,74 @@ def _grams(total: np.ndarray, size: int) -> np.ndarray:
 
 def compact_windows(hashes: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     """The nodes (first, smallest, last) of the Cartesian tree over ``hashes`` whose range has at least ``width``
-    entries. Among equal hashes the first is the root."""
-    nodes, todo = [], [(0, len(hashes) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a + 1 < width:
-            continue
-        c = a + int(hashes[a : b + 1].argmin())
-        nodes.append((a, c, b))
-        todo += [(a, c - 1), (c + 1, b)]
+    entries. Of equal hashes the first is the root; where that makes a deep tree (a text of one repeated gram), the
+    middle one."""
+    for middle in (False, True):
+        nodes, todo, most = [], [(0, len(hashes) - 1)], 64 + 8 * len(hashes) // max(width, 1)
+        while todo and (middle or len(nodes) < most):
+            a, b = todo.pop()
+            if b - a + 1 < width:
+                continue
+            part = hashes[a : b + 1]
+            c = a + int(part.argmin())
+            if middle:
+                at = np.flatnonzero(part == hashes[c])
+                c = a + int(at[len(at) // 2])
+            nodes.append((a, c, b))
+            todo += [(a, c - 1), (c + 1, b)]
+        if not todo:
+            break
     return nodes
 
 
-def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The hashes of the compact windows of at least ``width`` entries, each once: the minima of all stretches of that
-    width, by doubling (what `compact_windows` finds, in time that does not depend on the tree's depth)."""
-    low, k = hashes, 1
-    if len(hashes) < width:
-        return hashes[:0]
-    while 2 * k <= width:
-        low, k = np.minimum(low[:-k], low[k:]), 2 * k
-    if k < width:
-        low = np.minimum(low[: len(low) - (width - k)], low[width - k :])
-    change = np.ones(len(low), bool)
-    change[1:] = low[1:] != low[:-1]
-    return np.unique(low[change])
-
-
-def window_rows(texts: DataFrame, span: int, gram: int) -> DataFrame:
-    """(class_id, text) -> (key, class_id): the compact windows' hashes of texts of at least ``span`` characters."""
+def window_rows(texts: DataFrame, span: int, gram: int, hashes: int = HASHES) -> DataFrame:
+    """(class_id, text) -> (key, class_id, fn, first, at, last): the compact windows of texts of at least ``span``
+    characters under each hash function ``fn``. A hash that stands at several places of one text (a text that repeats
+    itself) is one row with a null ``at``: it says nothing about where the texts would lie on each other."""
     width = span - gram + 1
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, texts_, keys, owners = array(batch, "class_id"), column(batch, "text"), [], []
+        ids, texts_, out = array(batch, "class_id"), column(batch, "text"), []
         for a, b in chunks(texts_):
             chars, starts = code_points([t or "" for t in texts_[a:b]])
-            hashes = _grams(_totals(chars), gram)
-            for i in range(b - a):
-                n = starts[i + 1] - starts[i] - 1
-                if n >= span:
-                    low = window_minima(hashes[starts[i] : starts[i] + n - gram + 1], width)
-                    keys.append(low)
-                    owners.append(np.full(len(low), ids[a + i]))
-        return record(key=np.concatenate(keys).view(np.int64), class_id=np.concatenate(owners)) if keys else None
-
-    return map_batches(texts, work, "key long, class_id long")
+            grams = _grams(_totals(chars), gram)
+            for fn in range(hashes):
+                values = mix(grams + _U(fn)) if fn else grams
+                for i in range(b - a):
+                    n = starts[i + 1] - starts[i] - 1
+                    if n >= span:
+                        own = values[starts[i] : starts[i] + n - gram + 1]
+                        rows, ordered = np.array(compact_windows(own, width), np.int32).reshape(-1, 3), np.sort(own)
+                        unique, at = np.unique(own[rows[:, 1]], return_index=True)
+                        several = np.searchsorted(ordered, unique, "right") - np.searchsorted(ordered, unique) > 1
+                        rows = np.where(several[:, None], -1, rows[at])
+                        out.append((unique, np.full(len(unique), ids[a + i]), np.full(len(unique), fn, np.int8), rows))
+        if not out:
+            return None
+        key, owner, fn, rows = (np.concatenate(x) for x in zip(*out))
+        place = lambda k: pa.array(rows[:, k], mask=rows[:, 1] < 0)
+        return record(key=key.view(np.int64), class_id=owner, fn=fn, first=place(0), at=place(1), last=place(2))
+
+    return map_batches(texts, work, "key long, class_id long, fn byte, first int, at int, last int")
+
+
+def interval_pairs(windows: DataFrame, span: int, gram: int, hashes: int = HASHES) -> DataFrame:
+    """Windows of `window_rows` -> (a, b, whole, places): the pairs, a < b, that every hash function meets in windows
+    which overlap in a span when laid over each other. ``places`` (shift, first, end) are the stretches of b's
+    characters, and how far b's lie behind a's, where the first function met; ``whole`` marks pairs that also met
+    in a window without a place and are compared as a whole."""
+    side = lambda x: windows.select("key", "fn", *[F.col(c).alias(f"{c}_{x}") for c in ("class_id", "first", "at", "last")])
+    before = F.least(F.col("at_a") - F.col("first_a"), F.col("at_b") - F.col("first_b"))
+    after = F.least(F.col("last_a") - F.col("at_a"), F.col("last_b") - F.col("at_b"))
+    met = side("a").join(side("b").hint("merge"), ["key", "fn"]).where("class_id_a < class_id_b")
+    placed = F.col("at_a").isNotNull() & F.col("at_b").isNotNull()
+    met = met.where(~placed | (before + after >= span - gram))
+    place = F.struct((F.col("at_b") - F.col("at_a")).alias("shift"), (F.col("at_b") - before).alias("first"), (F.col("at_b") + after + gram).alias("end"))
+    first = F.col("fn") == 0
+    rows = met.groupBy(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).agg(
+        F.bit_or(F.expr("shiftleft(1, fn)")).alias("fns"), F.max(first & ~placed).alias("whole"), F.collect_set(F.when(first & placed, place)).alias("places")
+    )
+    return rows.where(F.col("fns") == (1 << hashes) - 1).select("a", "b", "whole", "places")
 
 
 def _runs(here: np.ndarray) -> np.ndarray:
@@ -90,8 +116,18 @@ def _runs(here: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(spans):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
+
+
 def common_spans(a: str, b: str, span: int) -> tuple[list, list]:
-    """The stretches [first, end) of a and of b that lie in a common span of at least ``span`` characters."""
+    """The stretches [first, end) of a and of b that lie in a common span of at least ``span`` characters, wherever."""
     if len(a) < span or len(b) < span:
         return [], []
     chars, starts = code_points([a, b])
@@ -108,15 +144,26 @@ def common_spans(a: str, b: str, span: int) -> tuple[list, list]:
     return out[0], out[1]
 
 
-def span_pairs(documents: DataFrame, span: int = 300, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+def placed_spans(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int, int]], span: int) -> tuple[list, list]:
+    """The same of code points a and b where b lies ``shift`` behind a, within the stretches [first, end) of b."""
+    found_a, found_b = [], []
+    for shift, first, end in places:
+        runs = _runs(a[first - shift : end - shift] == b[first:end])
+        for x, y in runs[runs[:, 1] - runs[:, 0] >= span] + first:
+            found_a.append((int(x) - shift, int(y) - shift))
+            found_b.append((int(x), int(y)))
+    return _united(found_a), _united(found_b)
+
+
+def span_pairs(documents: DataFrame, span: int = 300, gram: int = GRAM, hashes: int = HASHES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """documents (id, text) -> members (class_id, id), pairs (a, b, spans_a, spans_b) of classes that share a span of
     at least ``span`` characters, and classes (class_id, n, copies).
 
     Documents with the same text are one class, named by the smallest id. Null ids are left out; null texts count as
     empty; texts shorter than ``span`` are members of their class but have no pair.
     """
-    if not 0 < gram <= span:
-        raise ValueError("gram must be within 1..span")
+    if not 0 < gram <= span or not 0 < hashes < 32:
+        raise ValueError("gram must be within 1..span, hashes within 1..31")
     plain = documents.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null")
     prints = plain.select("id", F.xxhash64("text").alias("p"), F.xxhash64(F.lit(7), F.reverse("text")).alias("q"), F.length("text").cast("long").alias("n")).distinct()
     prints = stage(prints)
@@ -124,15 +171,19 @@ def span_pairs(documents: DataFrame, span: int = 300, gram: int = GRAM) -> tuple
     members = stage(prints.join(heads, ["p", "q", "n"]).select("class_id", "id", "n", "copies"))
     copies = stage(members.where("id <> class_id").select("id"))
     unique = plain.join(small_side(copies), "id", "left_anti").select(F.col("id").alias("class_id"), "text")
-    pairs = stage(sharing_pairs(window_rows(unique, span, gram)))
+    pairs = stage(interval_pairs(window_rows(unique, span, gram, hashes), span, gram, hashes))
     needed = stage(pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct())
     used = unique.join(small_side(needed), "class_id", "left_semi")
     side = lambda x: used.select(F.col("class_id").alias(x), F.col("text").alias(f"t_{x}"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, rows = (array(batch, "a"), array(batch, "b")), []
-        for i, (x, y) in enumerate(zip(column(batch, "t_a"), column(batch, "t_b"))):
-            sa, sb = common_spans(x, y, span)
+        for i, (x, y, whole, places) in enumerate(zip(*(column(batch, c) for c in ("t_a", "t_b", "whole", "places")))):
+            if whole:
+                sa, sb = common_spans(x, y, span)
+            else:
+                points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y)]
+                sa, sb = placed_spans(*points, [(p["shift"], p["first"], p["end"]) for p in places], span)
             if sa:
                 rows.append((int(ids[0][i]), int(ids[1][i]), sa, sb))
         spans = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
