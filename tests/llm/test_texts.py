@@ -42,20 +42,39 @@ def test_repeated_lines_match_brute_force(spark):
                     documents[key].add(d)
                     places[key].add((s, i))
     want = {p for k in documents if len(documents[k]) >= 6 for p in places[k]}
-    found, templates = site_lines.repeated_lines(df, 6, 20)
+    found = site_lines.repeated_lines(df, 6, 20)
     assert {tuple(r) for r in found.collect()} == want
-    assert {(r.site_key, r.n_documents) for r in templates.collect()} == {(k[0], len(documents[k])) for k in documents if len(documents[k]) >= 6}
     clean = {r.segment_id: r.text for r in site_lines.without_lines(df, found).collect()}
     for s, d, site, text, _ in rows:
         if s is not None and text is not None:
             assert clean[s] == "\n".join(x for i, x in enumerate(text.split("\n")) if (s, i) not in want)
     assert clean[902] is None
-    assert site_lines.repeated_lines(df.limit(0))[0].count() == 0
+    assert site_lines.repeated_lines(df.limit(0)).count() == 0 and site_lines.templates(df.limit(0)).count() == 0
 
 
-def test_template_marks_slots(spark):
-    row = spark.createDataFrame([("Page 3 of 12: see v2",)], "x string").select(site_lines.template(F.col("x"))).first()
-    assert row[0] == "page <*> of <*> see v<*>"
+def test_templates_come_from_merged_trees(spark):
+    names, pick = [f"name{chr(97 + i)}{chr(97 + i)}" for i in range(24)], random.Random(2)
+    rows = []
+    for d in range(24):
+        body = " ".join(pick.choice("abcdefghijklmnop") * 4 for _ in range(11))
+        rows.append((d, d, "a", f"Reviewed by {names[d]} of the network desk, {d} min read\n{body}\nAll rights are reserved by the publisher {2000 + d}"))
+        rows.append((100 + d, d, "b", f"Only {names[d]} stands here and {names[-1 - d]} follows it"))
+    df = spark.createDataFrame(rows, "segment_id long, doc_id long, site_key string, raw_text string")
+    got = {(r.site_key, r.template): (r.n_documents, r.n_wordings, r.n_lines) for r in site_lines.templates(df).collect()}
+    # no wording of the first line is frequent by itself; the merged tree makes its name a slot
+    assert got == {
+        ("a", "reviewed by <*> of the network desk <*> min read"): (24, 24, 24),
+        ("a", "all rights are reserved by the publisher <*>"): (24, 1, 24),
+        ("b", "only <*> stands here and <*> follows it"): (24, 24, 24),
+    }
+    assert {r.line_no for r in site_lines.repeated_lines(df).collect()} == {2}
+    again = {(r.site_key, r.template): (r.n_documents, r.n_wordings, r.n_lines) for r in site_lines.templates(df.repartition(7)).collect()}
+    assert again == got
+
+
+def test_tokens_of_a_line(spark):
+    row = spark.createDataFrame([("* Page 3 of 12: see V2, please",)], "x string").select(site_lines.words(F.col("x"))).first()
+    assert row[0] == ["page", "<*>", "of", "<*>", "see", "<*>", "please"]
 
 
 # ---- splitting

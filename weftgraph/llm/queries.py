@@ -59,18 +59,18 @@ def _segment_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of segments that stand in at least 6 documents of their site."""
-    return site_lines.repeated_lines(_segment_lines(spark, folder), LEAST_DOCUMENTS, LEAST_LETTERS)[0]
+    return site_lines.repeated_lines(_segment_lines(spark, folder), LEAST_DOCUMENTS, LEAST_LETTERS)
 
 
 def p3_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """The templates of each site's repeated lines with the documents and lines they cover."""
-    return site_lines.repeated_lines(_segment_lines(spark, folder), LEAST_DOCUMENTS, LEAST_LETTERS)[1]
+    """The templates of each site's lines with the documents, wordings and lines they cover."""
+    return site_lines.templates(_segment_lines(spark, folder), LEAST_DOCUMENTS, LEAST_LETTERS)
 
 
 def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     """Every segment without its site's repeated lines."""
     segments = _segment_lines(spark, folder)
-    return site_lines.without_lines(segments, site_lines.repeated_lines(segments, LEAST_DOCUMENTS, LEAST_LETTERS)[0])
+    return site_lines.without_lines(segments, site_lines.repeated_lines(segments, LEAST_DOCUMENTS, LEAST_LETTERS))
 
 
 #: TESTDATA.md's problem 4: the 5 most similar of a cosine of at least 0.85, in each field.
