@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,24 +23,45 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
+    """The folder named by spark.checkpoint.dir; where that is unset a temporary one, on a local master only: executors
+    elsewhere would write to disks of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, removed when the scope or the process ends."""
+    path = f"{shared_folder(spark)}/weftgraph-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is staged inside is removed at the end, for services that run for long: read results before."""
+    outer = list(_written)
+    _written.clear()
+    try:
+        yield
+    finally:
+        _remove()
+        _written[:] = outer
+
+
 def stage(df: DataFrame, sort_within: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back: lineage ends here and the loss of an
     executor recomputes nothing. The files are removed when the process ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weftgraph-{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     if sort_within:
         df = df.sortWithinPartitions(*sort_within)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
