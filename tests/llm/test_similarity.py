@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftgraph.llm import history, hyperminhash, near_duplicates, nearest_vectors, shared_spans, shingles
+from weftgraph.sources import stage
 
 HOW = near_duplicates.Similarity(threshold=0.6, words=3)
 
@@ -119,30 +120,43 @@ def duplicates(rows):
     return {(a[0], b[0]) for a in rows for b in rows if a[1] is not None and b[1] is not None and a[1] < b[1] and (same(bare(a[3]), bare(b[3])) or same(bare(a[4]), bare(b[4])) or similarity(a[2], b[2]) >= 0.6)}
 
 
-def test_replay_matches_brute_force(spark):
+def test_duplicates_of_all_batches_match_brute_force(spark, tmp_path):
     rows = history_rows()
-    assert {tuple(r) for r in history.replay(documents(spark, rows), HOW).collect()} == duplicates(rows)
-    assert history.replay(documents(spark, []), HOW).count() == 0
+    index = history.HistoryIndex(spark, f"file://{tmp_path}/index", HOW)
+    tasks = spark.createDataFrame([(1, "SHA256:" + f"{5:064X}"), (2, None), (3, "b" * 64), (1, f"{5:064x}")], "id long, content_hash string")
+    found, fetched = history.duplicates(index, documents(spark, rows), tasks)
+    assert {tuple(r) for r in found.collect()} == duplicates(rows) and len(index.runs()) == 2
+    bare = lambda h: (re.search("[0-9a-f]{64}", h.lower()) or [None])[0] if h else None
+    assert {tuple(r) for r in fetched.collect()} == {(r[0], 1) for r in rows if r[1] is not None and bare(r[3]) == f"{5:064x}"}
+    none, fetched = history.duplicates(history.HistoryIndex(spark, f"file://{tmp_path}/none", HOW), documents(spark, []), tasks)
+    assert none.count() == fetched.count() == 0
 
 
-def test_index_batch_by_batch_finds_what_replay_finds(spark, tmp_path):
+def test_index_batch_by_batch_finds_the_same(spark, tmp_path):
     rows = [r for r in history_rows() if r[1] is not None]
     every = documents(spark, rows)
     index = history.HistoryIndex(spark, f"file://{tmp_path}/index", HOW, max_runs=2)
     got = set()
     for b in range(4):
-        batch = documents(spark, [r for r in rows if r[1] == b])
+        batch = history.prepared(documents(spark, [r for r in rows if r[1] == b]), HOW)
         got |= {tuple(r) for r in index.match(batch, every).collect()}
         index.add(batch)
         assert len(index.runs()) <= 2
     assert got == duplicates(rows)
-    assert index.match(documents(spark, []), every).count() == 0
-
-
-def test_tasks_by_digest(spark):
-    tasks = spark.createDataFrame([(1, "SHA256:" + "A" * 64), (2, None), (3, "b" * 64), (1, "a" * 64)], "id long, content_hash string")
-    docs = documents(spark, [(10, 0, "x", "a" * 64, None, "x"), (11, 1, "y", None, None, "x")])
-    assert {tuple(r) for r in history.same_digest(tasks, docs).collect()} == {(10, 1)}
+    assert index.match(history.prepared(documents(spark, []), HOW), every).count() == 0
+
+
+def test_stored_runs_are_merged_without_a_shuffle(spark, tmp_path):
+    index = history.HistoryIndex(spark, f"file://{tmp_path}/index", HOW)
+    keys = index._table(index.add(history.prepared(documents(spark, history_rows()), HOW)), "keys")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(history.windows(keys, keys))
+    # a new batch is brought into the run's ranges; the run stays where it is
+    assert plan(history.windows(stage(keys.limit(50)), keys)).count("Exchange") == 1
+    # another session, which was never told of the tables, finds the runs on disk
+    other = history.HistoryIndex(spark.newSession(), f"file://{tmp_path}/index", HOW)
+    spark.sql(f"DROP TABLE weftgraph_{index.runs()[0].replace('-', '_')}_keys")
+    assert "Exchange" not in plan(history.windows(*[other._table(other.runs()[0], "keys")] * 2)) and other.tables("keys").count() == keys.count() > 0
 
 
 def vectors(n=300, seed=5):

@@ -49,8 +49,9 @@ class Similarity:
         return t - self.slack * (t * (1 - t) / self.registers) ** 0.5
 
 
-def sketches(texts: DataFrame, how: Similarity) -> DataFrame:
-    """(id, text) -> (id, n_shingles, print_a, print_b, registers). The prints identify the set of shingles.
+def sketches(texts: DataFrame, how: Similarity, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text) -> (id, n_shingles, print_a, print_b, registers). The prints identify the set of shingles; integer
+    columns named in ``carry`` come along.
 
     Rows with a null id, fewer than ``min_tokens`` tokens or no shingle are left out.
     """
@@ -68,22 +69,25 @@ def sketches(texts: DataFrame, how: Similarity) -> DataFrame:
             np.cumsum(shingles.mix(unique + _U(0x51ED270B)), out=sums[1, 1:])
             print_a, print_b = sums[:, at[1:]] - sums[:, at[:-1]]
             registers = hyperminhash.sketch(unique, at, how.passes)[kept]
-            out.append((ids[a:b][kept], np.diff(at)[kept], print_a[kept], print_b[kept], registers))
+            out.append((ids[a:b][kept], np.diff(at)[kept], print_a[kept], print_b[kept], registers, a + kept))
         if not out:
             return None
-        ids, n, print_a, print_b, registers = (np.concatenate(x) for x in zip(*out))
-        return record(id=ids.astype(np.int64), n_shingles=n.astype(np.int32), print_a=print_a.view(np.int64), print_b=print_b.view(np.int64), registers=fixed_bytes(registers))
+        ids, n, print_a, print_b, registers, rows = (np.concatenate(x) for x in zip(*out))
+        more = {c: batch.column(batch.schema.get_field_index(c)).take(pa.array(rows)) for c in carry}
+        return record(id=ids.astype(np.int64), n_shingles=n.astype(np.int32), print_a=print_a.view(np.int64), print_b=print_b.view(np.int64), registers=fixed_bytes(registers), **more)
 
-    return map_batches(texts.where("id is not null"), work, "id long, n_shingles int, print_a long, print_b long, registers binary")
+    shape = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in carry)
+    return map_batches(texts.where("id is not null"), work, "id long, n_shingles int, print_a long, print_b long, registers binary" + shape)
 
 
-def classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(sketched: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Sketches (staged) -> members (class_id, id), each id once, and one row per class (class_id, n_shingles,
-    registers); the class id is its smallest id."""
-    prints = ["print_a", "print_b"]
+    registers); the class id is its smallest id. Classes are made ``within`` equal values of these columns, which both
+    keep."""
+    prints = [*within, "print_a", "print_b"]
     heads = sketched.groupBy(*prints).agg(F.min("id").alias("class_id"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers"))
-    members = sketched.select(*prints, "id").distinct().join(sketched.groupBy(*prints).agg(F.min("id").alias("class_id")), prints).select("class_id", "id")
-    return members, heads.select("class_id", "n_shingles", "registers")
+    members = sketched.select(*prints, "id").distinct().join(sketched.groupBy(*prints).agg(F.min("id").alias("class_id")), prints).select("class_id", "id", *within)
+    return members, heads.select("class_id", "n_shingles", "registers", *within)
 
 
 def band_rows(heads: DataFrame, how: Similarity) -> DataFrame:
@@ -106,16 +110,17 @@ def sharing_pairs(keyed: DataFrame) -> DataFrame:
     return left.join(right.hint("merge"), "key").where("a < b").select("a", "b").distinct()
 
 
-def estimated(pairs: DataFrame, heads: DataFrame, how: Similarity) -> DataFrame:
-    """The pairs whose corrected estimate reaches the threshold less the slack."""
-    side = lambda x: heads.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
+def estimated(pairs: DataFrame, heads: DataFrame, how: Similarity, heads_b: DataFrame | None = None) -> DataFrame:
+    """The pairs whose corrected estimate reaches the threshold less the slack; ``heads_b`` are those of b where they
+    are others."""
+    side = lambda x, heads=heads: heads.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ra, rb = (np.frombuffer(b"".join(column(batch, x)), np.uint16).reshape(batch.num_rows, -1) for x in ("r_a", "r_b"))
         keep = hyperminhash.estimate(ra, rb, array(batch, "n_a"), array(batch, "n_b")) >= how.least_estimate
         return record(a=array(batch, "a")[keep], b=array(batch, "b")[keep])
 
-    return map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), work, "a long, b long")
+    return map_batches(pairs.join(side("a"), "a").join(side("b", heads if heads_b is None else heads_b), "b"), work, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:

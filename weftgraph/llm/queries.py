@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import boilerplate, canonical, history, leaks, near_duplicates, nearest_vectors, packing, shared_spans, site_lines, splitting
 from weftgraph.llm.oracles import ORACLES
-from weftgraph.sources import read_table
+from weftgraph.sources import read_table, scratch_folder
 
 #: TESTDATA.md's similarity: three consecutive tokens, 0.6; segments of at least 40 tokens.
 ALIKE_SEGMENTS = near_duplicates.Similarity(threshold=0.6, words=3, min_tokens=40)
@@ -44,9 +44,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """For every document and every fetched task the accepted documents of older batches that it repeats."""
     documents = _accepted(spark, folder)
     tasks = read_table(spark, folder, "crawl_tasks").where("status = 'fetched'").select(F.col("task_id").alias("id"), "content_hash")
-    found = history.replay(documents, ALIKE_DOCUMENTS).where("accepted_id < new_id").select(F.lit("document").alias("new_kind"), "accepted_id", "new_id")
-    fetched = history.same_digest(tasks, documents.where("id is not null")).select(F.lit("task").alias("new_kind"), "accepted_id", "new_id")
-    return found.union(fetched).withColumnRenamed("accepted_id", "accepted_doc_id")
+    found, fetched = history.duplicates(history.HistoryIndex(spark, scratch_folder(spark), ALIKE_DOCUMENTS), documents, tasks)
+    named = lambda rows, kind: rows.select(F.lit(kind).alias("new_kind"), F.col("accepted_id").alias("accepted_doc_id"), "new_id")
+    return named(found.where("accepted_id < new_id"), "document").union(named(fetched, "task"))
 
 
 #: TESTDATA.md's problem 3: lines of at least 20 letters in at least 6 documents of a site.
