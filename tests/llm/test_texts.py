@@ -278,10 +278,45 @@ def test_leaks_match_brute_force(spark):
     grams = lambda t, n=13: {tuple(words(t)[i : i + n]) for i in range(len(words(t)) - n + 1)}
     want = {(d, i) for d, t in documents if d is not None for i, x in items if i is not None and x and grams(t) & grams(x)}
     df = spark.createDataFrame([(*r, 1) for r in documents], "id long, text string, item_id long")
-    rows = leaks.leaks(df, spark.createDataFrame(items, "item_id long, item_text string"), 13, ["Dokfen", "Droktis"], block_rows=2).collect()
+    names, units = (spark.createDataFrame([(x,) for x in given], "text string") for given in (["Dokfen", "Droktis", None], ["minutes", "seconds"]))
+    rows = leaks.leaks(df, spark.createDataFrame(items, "item_id long, item_text string"), 13, names, units).collect()
     assert {(r.id, r.item_id) for r in rows if r.kind == "verbatim"} == want
     assert (13, 2) in {(r.id, r.item_id) for r in rows if r.kind == "parameters"} and (13, 2) not in want
     assert not [r for r in rows if r.item_id == 6 and r.kind == "parameters"]
     assert {r.n_words for r in rows if r.id == 10 and r.kind == "verbatim"} == {len(words(item))}
     assert leaks.leaks(df, spark.createDataFrame([], "item_id long, item_text string")).count() == 0
     assert leaks.leaks(df.limit(0), spark.createDataFrame(items, "item_id long, item_text string")).count() == 0
+
+
+def test_items_asked_again_with_other_values_are_found(spark):
+    pick = random.Random(9)
+    words_, names = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)], [f"Nam{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    units = ["seconds", "minutes", "packets", "Mbps"]
+
+    def said(parts):
+        # other values throughout: no two slots share one, the unit is the same all along
+        unit, fresh, numbers = pick.choice(units), pick.sample(names, 8), pick.sample(range(1, 9999), 8)
+        value = {"name": fresh.pop, "number": lambda: f"{numbers.pop()} {unit}", "code": lambda: f"0x{numbers.pop():04x}"}
+        return " ".join(value[p]() if p in value else p for p in parts)
+
+    items, documents = [], []
+    for i in range(150):
+        parts = [pick.choice(words_) for _ in range(24)]
+        for k in pick.sample(range(24), 4):
+            parts[k] = pick.choice(["name", "number", "code"])
+        items.append((i, said(parts)))
+        around = lambda: " ".join(pick.choice(words_) for _ in range(60))
+        documents.append((i, f"{around()} {said(parts)} {around()}"))
+        documents.append((1000 + i, around()))
+    named = spark.createDataFrame([(n,) for n in names], "text string")
+    rows = leaks.leaks(spark.createDataFrame(documents, "id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"), 13, named).collect()
+    found = {(r.id, r.item_id) for r in rows}
+    assert sum((i, i) in found for i in range(150)) >= 0.9 * 150
+    assert len(found) <= 151
+
+
+def test_bit_table_never_denies(spark):
+    held = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
+    table = leaks.BitTable.of(spark.createDataFrame([(int(x),) for x in held] + [(None,)], "h long"))
+    assert table.holds(held.view(np.uint64)).all()
+    assert table.holds(np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)).mean() < 0.01

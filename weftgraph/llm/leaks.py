@@ -2,15 +2,20 @@
 
 A *word* is a maximal run of letters and digits in the NFKC-normalised lower-case text.  Words with a digit, units
 of measure and given names are slots: canonicalisation puts a typed placeholder in their place, so that windows of
-``words`` consecutive words match even where a question was asked again with other values.  A matched window is
-then held against the item's own words: it is *verbatim* if all agree, and *re-parameterised* if the slots of the
-whole matched stretch agree under a consistent one-to-one renaming of values.
+``words`` consecutive words match even where a question was asked again with other values.  The windows of items and
+documents are tables joined by their hash.  A pair that meets is then compared over the item's own words: it is
+*verbatim* if all of a stretch agree, and *re-parameterised* if the slots of the whole matched stretch agree under a
+consistent one-to-one renaming of values.
+
+Sets of words and windows travel to the tasks as bit tables of a fixed size (`BitTable`), however large the sets are.
+A word wrongly taken for a name or unit is so in items and documents alike, so nothing is lost by it; a window wrongly
+let through finds no partner in the join.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +24,17 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.arrow import array, column, map_batches, record
 from weftgraph.llm.shingles import chunks, code_points, mix, powers
+from weftgraph.sources import small_side, stage
 
 _U = np.uint64
 
-# The units of measure that become the placeholder for a unit.
-UNITS = (
-    "ms", "s", "seconds", "minutes", "hours", "days", "bytes", "kilobytes", "megabytes", "kbps", "mbps", "gbps", "percent",
-    "packets", "frames", "sessions", "entries", "hops", "retries", "db", "dbm", "hz", "mhz", "ghz", "km", "m", "cm", "mm",
-)
 #: Words that are no slots which a window needs to be matched as a template.
 LITERALS = 4
 _NUMBER, _UNIT, _NAME = _U(0x6E756D), _U(0x756E6974), _U(0x6E616D65)
+#: Bits of a bit table, as a power of two (8 MB), and of the bitmaps it is collected in.
+TABLE_BITS, _MAP_BITS = 26, 15
+#: A unit of measure stands behind a number at least so often, and in at least such a share of its places, in the items.
+UNIT_PLACES, UNIT_SHARE = 2, 0.8
 
 _word_points: list[np.ndarray] = []
 
@@ -57,11 +62,33 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((total[end] - total[first]) * down[first]), digits[end] > digits[first], np.searchsorted(first, starts)
 
 
-def templates(hashes: np.ndarray, digit: np.ndarray, units: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class BitTable:
+    """A set of 64-bit hashes as one bit each of a table of fixed size: what is in the set is never denied."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def of(hashes: DataFrame) -> BitTable:
+        """hashes (h long) -> its table, put together in the cluster; at most 2**(TABLE_BITS - _MAP_BITS) bitmaps of 4 KB
+        are collected."""
+        place = F.col("h").bitwiseAND(F.lit((1 << TABLE_BITS) - 1).cast("long"))
+        rows = hashes.where("h is not null").select(F.shiftright(place, _MAP_BITS).alias("map"), place.bitwiseAND(F.lit((1 << _MAP_BITS) - 1).cast("long")).alias("bit"))
+        table = np.zeros((1 << (TABLE_BITS - _MAP_BITS), 1 << (_MAP_BITS - 3)), np.uint8)
+        for row in rows.groupBy("map").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect():
+            table[row["map"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+        return BitTable(table.ravel())
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes & _U((1 << TABLE_BITS) - 1)
+        return (self.bits[place >> _U(3)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
+
+
+def templates(hashes: np.ndarray, digit: np.ndarray, units: BitTable, names: BitTable) -> tuple[np.ndarray, np.ndarray]:
     """The words with placeholders for slots, and which of them are slots."""
     out = np.where(digit, _NUMBER, hashes)
-    out = np.where(np.isin(hashes, units), _UNIT, out)
-    out = np.where(np.isin(hashes, names), _NAME, out)
+    out = np.where(units.holds(hashes) & ~digit, _UNIT, out)
+    out = np.where(names.holds(hashes) & ~digit, _NAME, out)
     return out, out != hashes
 
 
@@ -89,17 +116,16 @@ def window_keys(hashes: np.ndarray, template: np.ndarray, slots: np.ndarray, sta
     return keys, first
 
 
-class _Items:
-    """A block of items with the hashes of their template windows, sorted."""
+class _Item:
+    """An item with the hashes of its template windows, sorted."""
 
-    def __init__(self, ids: list[int], texts: list[str], size: int, units: np.ndarray, names: np.ndarray):
-        self.ids, self.size = np.array(ids, np.int64), size
-        self.hashes, digit, self.starts = words(texts)
-        template, self.slots = templates(self.hashes, digit, units, names)
-        keys, first = window_keys(self.hashes, template, self.slots, self.starts, size)
+    def __init__(self, text: str, size: int, units: BitTable, names: BitTable):
+        self.size = size
+        self.hashes, digit, starts = words([text])
+        template, slots = templates(self.hashes, digit, units, names)
+        keys, first = window_keys(self.hashes, template, slots, starts, size)
         order = np.argsort(keys, kind="stable")
         self.keys, self.first = keys[order], first[order]
-        self.owner = np.searchsorted(self.starts, self.first, "right") - 1
 
 
 def _consistent(item: np.ndarray, other: np.ndarray) -> bool:
@@ -108,79 +134,112 @@ def _consistent(item: np.ndarray, other: np.ndarray) -> bool:
     return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
 
 
-def leaks(documents: DataFrame, items: DataFrame, size: int = 13, names: Iterable[str] = (), block_rows: int = 200_000) -> DataFrame:
+def _word_hashes(texts: DataFrame) -> DataFrame:
+    """(text) -> (h, behind): the hash of every word without a digit, and whether it stands behind one with a digit."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, digit, starts = words(column(batch, "text"))
+        behind = np.zeros(len(digit), bool)
+        behind[1:] = digit[:-1]
+        inner = starts[:-1][starts[:-1] < len(digit)]
+        behind[inner] = False
+        return record(h=hashes[~digit].view(np.int64), behind=behind[~digit])
+
+    return map_batches(texts.where("text is not null").select("text"), work, "h long, behind boolean")
+
+
+def learnt_units(items: DataFrame) -> DataFrame:
+    """items (text) -> (h): the hashes of the words that stand behind numbers in most of their places."""
+    counted = _word_hashes(items).groupBy("h").agg(F.count("*").alias("n"), F.count_if("behind").alias("k"))
+    return counted.where((F.col("k") >= UNIT_PLACES) & (F.col("k") >= UNIT_SHARE * F.col("n"))).select("h")
+
+
+def window_rows(texts: DataFrame, name: str, size: int, units: BitTable, names: BitTable, among: BitTable | None = None) -> DataFrame:
+    """(name, text) -> (key, name): the keys of the template windows, those in ``among`` only if given."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, texts_, out = array(batch, name), column(batch, "text"), []
+        for a, b in chunks(texts_):
+            hashes, digit, starts = words(texts_[a:b])
+            template, slots = templates(hashes, digit, units, names)
+            keys, first = window_keys(hashes, template, slots, starts, size)
+            if among is not None:
+                kept = among.holds(keys)
+                keys, first = keys[kept], first[kept]
+            out.append((keys, ids[a + np.searchsorted(starts, first, "right") - 1]))
+        keys, owners = (np.concatenate(x) for x in zip(*out))
+        return record(key=keys.view(np.int64), **{name: owners.astype(np.int64)})
+
+    return map_batches(texts, work, f"key long, {name} long")
+
+
+def leaks(documents: DataFrame, items: DataFrame, size: int = 13, names: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
     """documents (id, text) and items (item_id, item_text) -> (id, item_id, kind, n_words): one row per document, item
     and kind of match, ``verbatim`` or ``parameters``; n_words is the longest stretch of the item so matched.
 
-    The items go to the tasks in blocks of at most ``block_rows`` rows, each a pass over the documents, so that what
-    is sent at once is bounded however many there are. Null ids and null texts take no part; an id given twice with
-    different texts has the matches of both; items of fewer than ``size`` words cannot match. A document that leaks
-    verbatim has a ``parameters`` row too only where a longer stretch matches that way.
+    ``names`` (text) are the given names, ``units`` (text) the units of measure; without the latter they are learnt from
+    the items. Null ids and null texts take no part; an id given twice with different texts has the matches of both;
+    items of fewer than ``size`` words cannot match. A document that leaks verbatim has a ``parameters`` row too only
+    where a longer stretch matches that way.
     """
-    units, given = (words(list(x))[0] for x in (UNITS, [n for n in names if n]))
-    rows = items.where("item_id is not null and item_text is not null").select(F.col("item_id").cast("long").alias("item_id"), "item_text").distinct()
-    ordered = rows.orderBy("item_id", "item_text").toLocalIterator(prefetchPartitions=True)
+    spark = documents.sparkSession
+    asked = items.where("item_id is not null and item_text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("item_text").alias("text")).distinct()
     texts = documents.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
-    found, block = None, []
-
-    def scan(block: list) -> DataFrame:
-        sent = _Items([r[0] for r in block], [r[1] for r in block], size, units, given)
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            ids, texts_, out = array(batch, "id"), column(batch, "text"), []
-            for a, b in chunks(texts_):
-                out += [(int(ids[a + t]), i, kind, n) for t, i, kind, n in _matches(texts_[a:b], sent, units, given)]
-            if not out:
-                return None
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32())
-            return record(**{k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(zip(("id", "item_id", "kind", "n_words"), kinds))})
-
-        return map_batches(texts, work, "id long, item_id long, kind string, n_words int")
-
-    for row in ordered:
-        block.append(row)
-        if len(block) == block_rows:
-            found, block = (scan(block) if found is None else found.union(scan(block))), []
-    if block or found is None:
-        found = scan(block) if found is None else found.union(scan(block))
+    given_names = BitTable.of(spark.createDataFrame([], "h long") if names is None else _word_hashes(names).select("h"))
+    given_units = BitTable.of(learnt_units(asked) if units is None else _word_hashes(units).select("h"))
+    of_items = stage(window_rows(asked, "item_id", size, given_units, given_names).distinct())
+    among = BitTable.of(of_items.select(F.col("key").alias("h")))
+    met = window_rows(texts, "id", size, given_units, given_names, among).join(small_side(of_items), "key")
+    pairs = stage(met.select("id", "item_id").distinct())
+    there = texts.join(small_side(stage(pairs.select("id").distinct())), "id", "left_semi")
+    both = pairs.join(there, "id").join(asked.withColumnRenamed("text", "item_text"), "item_id")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        item = lru_cache(maxsize=1_000)(lambda text: _Item(text, size, given_units, given_names))
+        ids, asked_ids, out = array(batch, "id"), array(batch, "item_id"), []
+        for i, (text, item_text) in enumerate(zip(column(batch, "text"), column(batch, "item_text"))):
+            out += [(int(ids[i]), int(asked_ids[i]), kind, n) for kind, n in _matches(text, item(item_text), given_units, given_names).items()]
+        if not out:
+            return None
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32())
+        return record(**{k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(zip(("id", "item_id", "kind", "n_words"), kinds))})
+
+    found = map_batches(both.select("id", "item_id", "text", "item_text"), work, "id long, item_id long, kind string, n_words int")
     return found.groupBy("id", "item_id", "kind").agg(F.max("n_words").alias("n_words"))
 
 
-def _matches(texts: list[str | None], sent: _Items, units: np.ndarray, names: np.ndarray) -> list[tuple[int, int, str, int]]:
-    hashes, digit, starts = words(texts)
+def _matches(text: str, item: _Item, units: BitTable, names: BitTable) -> dict[str, int]:
+    """The longest stretch of the item in the text by kind of match."""
+    hashes, digit, starts = words([text])
     template, slots = templates(hashes, digit, units, names)
-    keys, first = window_keys(hashes, template, slots, starts, sent.size)
-    low, high = np.searchsorted(sent.keys, keys, "left"), np.searchsorted(sent.keys, keys, "right")
-    hit = np.flatnonzero(high > low)
-    best: dict[tuple[int, int, str], int] = {}
-    diagonals: dict[tuple[int, int, int], list[int]] = {}
-    for h in hit:
-        text = int(np.searchsorted(starts, first[h], "right") - 1)
+    keys, first = window_keys(hashes, template, slots, starts, item.size)
+    low, high = np.searchsorted(item.keys, keys, "left"), np.searchsorted(item.keys, keys, "right")
+    best: dict[str, int] = {}
+    diagonals: dict[int, list[int]] = {}
+    for h in np.flatnonzero(high > low):
         for w in range(low[h], high[h]):
-            diagonals.setdefault((text, int(sent.owner[w]), int(first[h] - sent.first[w])), []).append(int(first[h]))
-    for (text, owner, shift), places in diagonals.items():
+            diagonals.setdefault(int(first[h] - item.first[w]), []).append(int(first[h]))
+    for shift, places in diagonals.items():
         places = sorted(set(places))
         start = previous = places[0]
         for p in [*places[1:], None]:
             if p is not None and p == previous + 1:
                 previous = p
                 continue
-            _stretch(hashes, slots, sent, start, previous + sent.size, shift, text, int(sent.ids[owner]), best)
+            _stretch(hashes, slots, item, start, previous + item.size, shift, best)
             if p is not None:
                 start = previous = p
-    return [(text, item, kind, n) for (text, item, kind), n in best.items()]
+    return best
 
 
-def _stretch(hashes, slots, sent: _Items, a: int, b: int, shift: int, text: int, item: int, best: dict) -> None:
-    ours, theirs = hashes[a:b], sent.hashes[a - shift : b - shift]
+def _stretch(hashes: np.ndarray, slots: np.ndarray, item: _Item, a: int, b: int, shift: int, best: dict[str, int]) -> None:
+    ours, theirs = hashes[a:b], item.hashes[a - shift : b - shift]
     same = np.concatenate(([0], (ours == theirs).view(np.int8), [0]))
     edge = np.diff(same)
     longest = int((np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)).max(initial=0))
-    if longest >= sent.size:
-        key = (text, item, "verbatim")
-        best[key] = max(best.get(key, 0), longest)
+    if longest >= item.size:
+        best["verbatim"] = max(best.get("verbatim", 0), longest)
     if b - a > longest:
         slot = slots[a:b]
         if _consistent(theirs[slot], ours[slot]):
-            key = (text, item, "parameters")
-            best[key] = max(best.get(key, 0), b - a)
+            best["parameters"] = max(best.get("parameters", 0), b - a)
