@@ -222,11 +222,12 @@ def test_best_fit_keeps_the_capacity(sizes, capacity):
     assert sum(2 * x < capacity for x in open_) <= 1  # two that are not half full would have been one
 
 
-def test_packing_is_whole_tight_and_repeatable(spark):
+@pytest.mark.parametrize(("items", "share"), [(400, 1.02), (60, 1.03)])  # 3 and 5 rounds of merging
+def test_packing_is_whole_tight_and_repeatable(spark, items, share):
     pick = random.Random(6)
     rows = [(i, pick.choice([0, 3, 40, 90, 150, 400]) + pick.randint(0, 60), "x") for i in range(3000)] + [(5000, None, "x"), (5001, 2048 * 3, "x"), (5002, 2048 * 2 + 7, "x"), (None, 5, "x"), (5, 17, "x")]
     df = spark.createDataFrame(rows, "id long, size long, container string")
-    got = packing.pack(df, 2048, partition_items=400, fan_in=3).collect()
+    got = packing.pack(df, 2048, partition_items=items, fan_in=3).collect()
     want = defaultdict(int)
     for i, s, _ in rows:
         if i is not None:
@@ -239,12 +240,18 @@ def test_packing_is_whole_tight_and_repeatable(spark):
     assert tokens == want and len({(r.id, r.piece_no) for r in got}) == len(got)
     assert all(v <= 2048 for v in sizes.values()) and all(sizes[r.container] == r.container_total for r in got)
     assert all(len(c) == 1 for i, c in cuts.items() if want[i] <= 2048) and sorted(cuts[5002]) == [(0, 2048), (2048, 2048), (4096, 7)]
-    assert len(sizes) * 2048 < sum(want.values()) * 1.02 + 2048
-    again = packing.pack(df.repartition(7), 2048, partition_items=400, fan_in=3)
+    assert len(sizes) * 2048 < sum(want.values()) * share + 2048
+    again = packing.pack(df.repartition(7), 2048, partition_items=items, fan_in=3)
     assert {(r.container, r.id, r.piece_no) for r in again.collect()} == {(r.container, r.id, r.piece_no) for r in got}
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_ends_where_nothing_fits_together(spark):
+    df = spark.range(2000).select("id", F.lit(1100).alias("size"))
+    got = packing.pack(df, 2048, partition_items=50, fan_in=2)
+    assert got.select("container").distinct().count() == got.count() == 2000
+
+
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 def test_sizes_are_those_of_the_tokenizer(spark):
     tokenizers = pytest.importorskip("tokenizers")

@@ -3,7 +3,9 @@
 Every document is sized with a public tokenizer; one above the capacity is cut into full containers and a rest.
 Partitions pack their items best-fit in descending order and emit the containers that are nearly full; what they
 leave underfull goes on as items of the next round, in partitions merged ``fan_in`` at a time, until one partition
-is left or a round no longer helps.  No round gathers more than ``partition_items`` items in a task.
+is left or merging no longer helps.  No round gathers much more than ``partition_items`` items in a task: where so many
+underfull containers are left that they don't fit one task, they are packed again in other company until a round
+puts (almost) none of them together.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.arrow import array, column, map_batches, record
-from weftgraph.sources import stage
+from weftgraph.sources import stage, staged_rows
 
 
 # Fixed value: the pattern that byte-level BPE vocabularies of this kind are split by before merging.
@@ -96,7 +98,7 @@ def _round(items: DataFrame, capacity: int, full: int, last: bool, number: int)
     return items.mapInArrow(run, "bin long, into long, total long, closed boolean")
 
 
-def pack(sizes: DataFrame, capacity: int = 2048, partition_items: int = 50_000, fan_in: int = 8, slack: float = 0.01) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = 2048, partition_items: int = 4_000, fan_in: int = 8, slack: float = 0.01) -> DataFrame:
     """sizes (id, size) -> (container, container_total, id, piece_no, first_token, n_tokens): every token of every item
     in exactly one container of at most ``capacity`` tokens; only items above the capacity are cut.
 
@@ -116,23 +118,25 @@ def pack(sizes: DataFrame, capacity: int = 2048, partition_items: int = 50_000,
     pieces = one.select("id", F.col("whole").alias("piece_no"), first.alias("first_token"), (F.col("size") - first).alias("n_tokens"), F.col("id").alias("bin"))
     full = int(np.ceil(capacity * (1 - slack)))
     current = pieces.select("bin", F.col("n_tokens").alias("size"))
-    count = pieces.count()
+    count = staged_rows(one)
     partitions = max(1, -(-count // partition_items))
-    number, parts = 0, []
+    number, assigned, out = 0, pieces, cut
     while True:
-        last = partitions == 1 or number >= 12
+        last = partitions == 1
         spread = current.repartition(partitions, "bin") if number == 0 else current.repartition(partitions, F.xxhash64("bin", F.lit(number)))
         done = stage(_round(spread, capacity, full, last, number))
-        parts.append(done)
-        if last:
-            break
-        current = done.where("not closed").groupBy(F.col("into").alias("bin")).agg(F.max("total").alias("size"))
-        left = current.count()
-        number += 1
-        partitions = max(1, min(-(-partitions // fan_in), partitions - 1), -(-left // partition_items))
-    assigned, out = pieces, cut
-    for done in parts:
         step = assigned.join(done, "bin")
         out = out.union(step.where("closed").select(F.col("into").cast("string").alias("container"), F.col("total").alias("container_total"), "id", "piece_no", "first_token", "n_tokens"))
-        assigned = step.where("not closed").select("id", "piece_no", "first_token", "n_tokens", F.col("into").alias("bin"))
-    return out
+        if last:
+            return out
+        # the next round reads what is left from a table: no round is computed twice
+        assigned = stage(step.where("not closed").select("id", "piece_no", "first_token", "n_tokens", F.col("into").alias("bin"), "total"))
+        current = stage(assigned.groupBy("bin").agg(F.max("total").alias("size")))
+        assigned = assigned.drop("total")
+        before, count = count, staged_rows(current)
+        number += 1
+        if count > 0.99 * before and partitions <= -(-count // partition_items):
+            # merging no longer helps: what is left stays as it is
+            left = assigned.join(current, "bin")
+            return out.union(left.select(F.col("bin").cast("string").alias("container"), F.col("size").alias("container_total"), "id", "piece_no", "first_token", "n_tokens"))
+        partitions = max(1, min(-(-partitions // fan_in), partitions - 1), -(-count // partition_items))
