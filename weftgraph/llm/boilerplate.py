@@ -1,21 +1,19 @@
 """Separating a page's main body from the furniture of its site: consensus host paths.
 
-The pages here are text, so a page's containers are its lines; a line's *path* is its generalised place and class:
-its shape (menu, trail, numbered, label, sentence, ...) and the head of its generalised wording (site name and
-digits replaced, decoration dropped).  Three steps:
+The pages here are text, so a page's containers are its lines (`page_lines`).  A line's *path* is its generalised
+container, shape and head of wording with site name and numbers replaced; its *place* the coarser path of part of the
+page, nearness to top and end, shapes of the line and its neighbours.  Three steps:
 
 1. every container of every page is scored by a small linear model over generalised wording, shape and place,
    fitted on a bounded sample of hand-cleaned pages;
-2. the scores vote per host and path, as sums merged over all partitions: a path's verdict rests on all of the
-   host's pages;
-3. the pages are read again, and each line is kept or dropped by its own score and its path's verdict together.
+2. the scores vote per host and path, and per host and place, as sums merged over all partitions: a verdict rests on
+   all of the host's pages;
+3. the pages are read again.  Where the line's path stands on enough of the host's pages its verdict alone decides,
+   whatever the single line's score; elsewhere the line's score and the verdict of its place decide together.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,80 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.arrow import array, column, map_batches, record
+from weftgraph.llm.page_lines import BITS, read
+from weftgraph.llm.shingles import chunks
 from weftgraph.sources import small_side, stage
 
-BITS = 16
-_EDGE = "*-·•›»«‹<>|#←→_=~ \t\r　"
-_SEPARATOR = re.compile(r"\s[|/>»·›•]\s|[|»·•]")
-_WORD = re.compile(r"[a-z\x01]+|0+|[^\W\d_a-z]|[^\w\s]")
-
 
 @dataclass(frozen=True)
 class Cleaning:
     """``sample_pages`` bounds the labelled pages a model is fitted on; a path's verdict counts from ``least_pages``
-    pages of the host and weighs ``weight`` times as much as a line's own score."""
+    pages of the host; that of a place weighs ``weight`` times as much as a line's own score."""
 
     sample_pages: int = 2_000
-    epochs: int = 60
+    epochs: int = 120
     least_pages: int = 3
-    weight: float = 1.0
-
-
-def generalised(line: str, site: str | None) -> str:
-    """Lower case without decoration at the ends; the site's name is \\x01, digits are 0, white space is one blank."""
-    text = line.lower() if line.isascii() else unicodedata.normalize("NFKC", line).lower()
-    for part in re.split(r"[-_.]", (site or "").lower()):
-        if len(part) > 3:
-            text = text.replace(part, "\x01")
-    return " ".join(re.sub(r"\d+", "0", text.strip(_EDGE)).split())
-
-
-def shape(line: str, text: str) -> str:
-    """The class of a line: of its form only, not of its words."""
-    breaks = len(_SEPARATOR.findall(line))
-    if line.lstrip().startswith("|") and breaks > 2:
-        return "row"
-    if breaks >= 2 or text.count("#") >= 2:
-        return "menu"
-    if re.match(r"0[.)、]", text):
-        return "numbered" if len(text) < 40 else "step"
-    if re.match(r"[^:：]{1,24}[:：]", text):
-        return "label"
-    if text.endswith((".", "。", "!", "?", "！", "？")):
-        return "sentence" if len(text) > 60 or text.count("。") > 1 else "clause"
-    return "short" if len(text) < 24 else "phrase"
-
-
-def _read(line: str, site: str | None) -> tuple[str, str, list[str]]:
-    text = generalised(line, site)
-    return text, shape(line, text), _WORD.findall(text)
-
-
-def path(line: str, site: str | None) -> str:
-    """The generalised path of a line: its shape and the head of its wording."""
-    _, kind, words = _read(line, site)
-    return f"{kind}/" + " ".join(words[:3])
-
-
-def _features(line: str, read: tuple[str, str, list[str]], k: int, lines: int, first: bool) -> set[str]:
-    text, kind, words = read
-    n, bare = len(words), line.strip()
-    out = {"*", f"k{kind}", f"n{min(n, 12)}", f"l{len(text) // 20 if len(text) < 240 else 12}", f"e{text[-1:]}", f"s{kind}{min(k, 3)}{first}", f"t{kind}{min(lines - 1 - k, 3)}"}
-    out |= {f"d{bare[0]}" if bare[0] in _EDGE else "d", f"g{bare[-1]}" if bare[-1] in _EDGE else "g"}
-    out |= {f"h{' '.join(words[:i])}" for i in (1, 2, 3)}
-    out.add(f"z{' '.join(words[-2:])}")
-    if n <= 40:
-        out |= {f"b{a} {b}" for a, b in zip(words, words[1:])}
-    else:
-        out.add("long")
-    out |= {f"w{w}" for w in (words if n <= 40 else words[:12])}
-    if "\x01" in text:
-        out.add("site")
-    return out
-
-
-def _slots(line: str, read: tuple[str, str, list[str]], k: int, lines: int, first: bool) -> list[int]:
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in sorted(_features(line, read, k, lines, first))]
+    weight: float = 0.5
 
 
 class Model:
@@ -106,27 +44,18 @@ class Model:
     def __init__(self, weights: np.ndarray):
         self.weights = weights.astype(np.float32)
 
-    def scores(self, text: str, site: str | None, first: bool) -> list[tuple[int, str, float]]:
-        """(line number, path, score) of every line that isn't blank."""
-        lines, out, weights = text.split("\n"), [], self.weights
-        for k, line in enumerate(lines):
-            if line.strip():
-                read = _read(line, site)
-                score = float(weights[_slots(line, read, k, len(lines), first)].sum())
-                out.append((k, f"{read[1]}/" + " ".join(read[2][:3]), score))
-        return out
-
     @staticmethod
-    def fit(examples: list[tuple[list[int], int]], epochs: int) -> Model:
-        """Full-batch Adagrad with a small L2 penalty; the same for any order of the examples up to rounding."""
+    def fit(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int) -> Model:
+        """Examples as (line, slot) pairs and each line's label. Full-batch Adagrad with a small L2 penalty; the same for
+        any order of the examples up to rounding."""
         weights = np.zeros(1 << BITS)
-        if examples:
-            size = np.array([len(x) for x, _ in examples])
-            index = np.concatenate([np.array(x) for x, _ in examples])
-            owner, target = np.repeat(np.arange(len(size)), size), np.array([y for _, y in examples], float)
+        if sum(len(y) for _, _, y in examples):
+            offset = np.cumsum([0, *[len(y) for _, _, y in examples]])
+            owner = np.concatenate([line + o for (line, _, _), o in zip(examples, offset)])
+            index, target = np.concatenate([slot for _, slot, _ in examples]), np.concatenate([y for _, _, y in examples]).astype(float)
             history = np.full(1 << BITS, 1e-6)
             for _ in range(epochs):
-                score = np.bincount(owner, weights[index], len(size))
+                score = np.bincount(owner, weights[index], len(target))
                 error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - target
                 slope = np.bincount(index, error[owner], 1 << BITS) + 0.01 * weights
                 history += slope**2
@@ -134,17 +63,19 @@ class Model:
         return Model(weights)
 
 
-def labelled(segments: DataFrame, bodies: DataFrame, how: Cleaning) -> list[tuple[list[int], int]]:
+def labelled(segments: DataFrame, bodies: DataFrame, how: Cleaning) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Examples from at most ``sample_pages`` pages of bodies (doc_id, body), chosen by a hash of their id: a line of a
     page's segments is furniture unless it stands in the page's body."""
     sample = bodies.where("doc_id is not null and body is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.sample_pages).select("doc_id", "body")
     kept = {row.doc_id: {x.strip() for x in row.body.split("\n")} for row in sample.collect()}
     ids = segments.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")
     rows = segments.join(F.broadcast(ids), "doc_id").select("doc_id", "segment_id", "site_key", "first", "raw_text").dropDuplicates(["segment_id"]).orderBy("segment_id").collect()
-    out = []
-    for row in rows:
-        lines = (row.raw_text or "").split("\n")
-        out += [(_slots(x, _read(x, row.site_key), k, len(lines), row.first), int(x.strip() not in kept[row.doc_id])) for k, x in enumerate(lines) if x.strip()]
+    texts, out = [r.raw_text or "" for r in rows], []
+    for a, b in chunks(texts):
+        lines = read(texts[a:b], [r.site_key for r in rows[a:b]], [r.first for r in rows[a:b]])
+        parts = [t.split("\n") for t in texts[a:b]]
+        label = [parts[t][k].strip() not in kept[rows[a + t].doc_id] for t, k in zip(lines.text.tolist(), lines.line_no.tolist())]
+        out.append((lines.feature_line, lines.feature_slot, np.array(label, bool)))
     return out
 
 
@@ -173,25 +104,31 @@ def furniture_lines(segments: DataFrame, bodies: DataFrame, how: Cleaning = Clea
     model = Model.fit(labelled(rows, bodies, how), how.epochs)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out = []
-        for s, d, site, first, text in zip(*(column(batch, c) for c in ("segment_id", "doc_id", "site_key", "first", "raw_text"))):
-            out += [(s, d, site, k, zlib.crc32(p.encode("utf-8", "surrogatepass")) | (zlib.adler32(p.encode("utf-8", "surrogatepass")) << 31), v) for k, p, v in model.scores(text, site, first)]
-        if not out:
-            return None
-        kinds = {"segment_id": pa.int64(), "doc_id": pa.int64(), "site_key": pa.string(), "line_no": pa.int32(), "path": pa.int64(), "score": pa.float32()}
-        return record(**{k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(kinds.items())})
-
-    shape_ = "segment_id long, doc_id long, site_key string, line_no int, path long, score float"
-    read = lambda x: stage(map_batches(x.where("raw_text is not null"), score, shape_))
-    scored = read(rows)
+        ids, out = array(batch, "segment_id"), []
+        texts, sites, first = (column(batch, c) for c in ("raw_text", "site_key", "first"))
+        for a, b in chunks(texts):
+            lines = read(texts[a:b], sites[a:b], first[a:b])
+            out.append((a + lines.text, lines.line_no, lines.path, lines.place, lines.scores(model.weights).astype(np.float32)))
+        at, line_no, path, place, scores = (np.concatenate(x) for x in zip(*out))
+        taken = lambda c: batch.column(batch.schema.get_field_index(c)).take(pa.array(at))
+        return record(segment_id=ids[at], doc_id=taken("doc_id"), site_key=taken("site_key"), line_no=line_no, path=path, place=place, score=scores)
+
+    shape_ = "segment_id long, doc_id long, site_key string, line_no int, path long, place long, score float"
+    scored_ = lambda x: stage(map_batches(x.where("raw_text is not null"), score, shape_))
+    scored = scored_(rows)
     # a score counts within bounds, so that no single page outvotes the others
     bounded = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col("score").cast("double")))
-    pages = scored.groupBy("site_key", "path", "doc_id").agg(F.avg(bounded).alias("score"))
-    verdicts = pages.groupBy("site_key", "path").agg(F.avg("score").alias("verdict"), F.count("*").alias("n_pages")).where(F.col("n_pages") >= how.least_pages)
-    verdicts = stage(verdicts.select(F.col("site_key").alias("host"), F.col("path").alias("way"), "verdict"))
-    asked = scored if others is None else scored.union(read(_prepared(others)))
-    judged = asked.join(small_side(verdicts), F.col("site_key").eqNullSafe(F.col("host")) & (F.col("path") == F.col("way")), "left")
-    return judged.where(bounded + how.weight * F.coalesce("verdict", F.lit(0.0)) > 0).select("segment_id", "line_no").distinct()
+
+    def verdicts(way: str) -> DataFrame:
+        pages = scored.groupBy("site_key", way, "doc_id").agg(F.avg(bounded).alias("score"))
+        voted = pages.groupBy("site_key", way).agg(F.avg("score").alias("verdict"), F.count("*").alias("n_pages")).where(F.col("n_pages") >= how.least_pages)
+        return small_side(stage(voted.select(F.col("site_key").alias(f"{way}_host"), F.col(way).alias(f"{way}_way"), F.col("verdict").alias(f"{way}_verdict"))))
+
+    judged = scored if others is None else scored.union(scored_(_prepared(others)))
+    for way in ("path", "place"):
+        judged = judged.join(verdicts(way), F.col("site_key").eqNullSafe(F.col(f"{way}_host")) & (F.col(way) == F.col(f"{way}_way")), "left")
+    alone = bounded + how.weight * F.coalesce("place_verdict", F.lit(0.0))
+    return judged.where(F.coalesce("path_verdict", alone) > 0).select("segment_id", "line_no").distinct()
 
 
 def main_bodies(segments: DataFrame, furniture: DataFrame) -> DataFrame:
