@@ -170,8 +170,7 @@ def test_nearest_vectors_recall_and_order(spark):
     x = vectors()
     rows = [("f", i, v.tolist(), "a") for i, v in enumerate(x)]
     rows += [("f", 9000, None, "a"), ("f", 9001, [0.0] * 16, "a"), ("f", 9002, [], "a"), ("g", 0, x[0].tolist(), "a"), ("g", 1, x[0].tolist(), "a"), ("f", 3, x[3].tolist(), "a"), ("f", None, x[0].tolist(), "a"), ("f", 9003, [1.0, 2.0], "a"), ("f", 9004, [float("nan")] * 16, "a")]
-    how = nearest_vectors.Probing(tables=18, functions=12, width=2.3, probes=6)
-    members, pairs = nearest_vectors.similar_pairs(spark.createDataFrame(rows, "field string, id long, vec array<float>, key string"), 0.85, how)
+    members, pairs = nearest_vectors.similar_pairs(spark.createDataFrame(rows, "field string, id long, vec array<float>, key string"), 0.85)
     got = {(r.field, r.id, r.neighbour) for r in nearest_vectors.most_similar(members, pairs, 5).collect()}
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     cosine = unit @ unit.T
@@ -183,6 +182,20 @@ def test_nearest_vectors_recall_and_order(spark):
     assert all(a != b for _, a, b in got)
 
 
+def test_planned_index_reaches_its_recall_in_the_lowest_band():
+    order = np.random.default_rng(11)
+    for n in (1_000, 300_000, 50_000_000):
+        how = nearest_vectors.planned(n, 0.85)
+        a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in order.standard_normal((2, 1_500, 64)))
+        b = b - (a * b).sum(1)[:, None] * a
+        c = order.uniform(0.85, 0.9, 1_500)[:, None]
+        b = c * a + (1 - c * c) ** 0.5 * b / np.linalg.norm(b, axis=1)[:, None]
+        (oa, pa_), (ob, pb) = nearest_vectors.bucket_keys(a, how), nearest_vectors.bucket_keys(b, how)
+        met = ((oa == ob) | (pa_ == ob[:, :, None]).any(2) | (pb == oa[:, :, None]).any(2)).any(1)
+        assert met.mean() >= 0.87, (n, how)
+    assert nearest_vectors.planned(50_000_000, 0.85).functions > nearest_vectors.planned(1_000, 0.85).functions
+
+
 def test_many_equal_vectors_cost_no_pairs_of_copies(spark):
     rows = [("f", i, [1.0, 2.0, 3.0, 4.0]) for i in range(3000)]
     members, pairs = nearest_vectors.similar_pairs(spark.createDataFrame(rows, "field string, id long, vec array<float>"), 0.85)
