@@ -182,18 +182,21 @@ def test_nearest_vectors_recall_and_order(spark):
     assert all(a != b for _, a, b in got)
 
 
-def test_planned_index_reaches_its_recall_in_the_lowest_band():
+def test_refinement_finds_what_no_table_brought_together(spark):
     order = np.random.default_rng(11)
-    for n in (1_000, 300_000, 50_000_000):
-        how = nearest_vectors.planned(n, 0.85)
-        a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in order.standard_normal((2, 1_500, 64)))
-        b = b - (a * b).sum(1)[:, None] * a
-        c = order.uniform(0.85, 0.9, 1_500)[:, None]
-        b = c * a + (1 - c * c) ** 0.5 * b / np.linalg.norm(b, axis=1)[:, None]
-        (oa, pa_), (ob, pb) = nearest_vectors.bucket_keys(a, how), nearest_vectors.bucket_keys(b, how)
-        met = ((oa == ob) | (pa_ == ob[:, :, None]).any(2) | (pb == oa[:, :, None]).any(2)).any(1)
-        assert met.mean() >= 0.87, (n, how)
-    assert nearest_vectors.planned(50_000_000, 0.85).functions > nearest_vectors.planned(1_000, 0.85).functions
+    x = order.standard_normal((120, 32))
+    x = np.concatenate([x + order.standard_normal(x.shape) * 0.36 for _ in range(6)])
+    df = spark.createDataFrame([("f", i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "field string, id long, vec array<float>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.85)) if i < j}
+    recall = []
+    for rounds in (0, 1):
+        how = nearest_vectors.Probing(tables=8, rounds=rounds)
+        pairs = {(r.a, r.b) for r in nearest_vectors.similar_pairs(df, 0.85, how)[1].collect()}
+        assert pairs <= want
+        recall.append(len(pairs) / len(want))
+    assert recall[1] > recall[0] + 0.1 and recall[1] > 0.8, recall
+    assert nearest_vectors.planned(50_000_000).functions > nearest_vectors.planned(1_000).functions
 
 
 def test_many_equal_vectors_cost_no_pairs_of_copies(spark):
