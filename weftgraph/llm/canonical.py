@@ -2,16 +2,17 @@
 
 The entries' tokens are the reference vocabulary.  Every distinct token of the forms is repaired once against it:
 by edit distance (insertions, deletions, substitutions and swaps of neighbours), as an abbreviation written with a
-full stop, or, where several words were written as one, by cutting it into vocabulary words.  The repaired tokens
-are joined with the entries that hold them, and entries are ranked by soft TF-IDF; a form whose best entries name
-different nodes, or whose best entry scores too low, is reported as unmatched.
+full stop, or, where several words were written as one, by cutting it into vocabulary words.  Tokens meet the
+vocabulary in joins: over shortened forms (two words within k edits have a form in common that is shortened by at most
+k letters on either side), prefixes and substrings, so neither side's size is bounded.  The repaired tokens are joined
+with the entries that hold them, and entries are ranked by soft TF-IDF; a form whose best entries name different nodes,
+or whose best entry scores too low, is reported as unmatched.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -24,10 +25,8 @@ from weftgraph.llm.arrow import column, map_batches, record
 from weftgraph.sources import stage
 
 UNMATCHED = "UNMATCHED"
-#: Most entries of a reference list (its vocabulary goes to every task).
-REFERENCE_ROWS = 200_000
 
-# Words that say what kind of thing a term is, not which one; dropped from forms and entries.
+# Words that say what kind of thing a term is, not which one, unless the caller names others.
 GENERIC = ("the", "a", "an", "protocol", "mechanism", "feature", "procedure", "process", "function", "协议", "机制", "功能", "过程", "流程", "特性")
 
 _TOKEN = re.compile(r"[a-z0-9]+\.?|[^\W\da-z_]+")
@@ -49,22 +48,30 @@ class Matching:
     two_edits: int = 4
     one_edit_name: int = 5
     two_edits_name: int = 6
+    generic: tuple[str, ...] = GENERIC
 
+    def allowed(self, word: str, name: bool) -> int:
+        """Edits a vocabulary word may be away from a token."""
+        if not word.isascii() or any(c.isdigit() for c in word):
+            return 0
+        one, two = (self.one_edit_name, self.two_edits_name) if name else (self.one_edit, self.two_edits)
+        return 2 if len(word) >= two else 1 if len(word) >= one else 0
 
-def form_tokens(form: str | None) -> list[str]:
+
+def form_tokens(form: str | None, generic: tuple[str, ...] = GENERIC) -> list[str]:
     """The tokens of a form: Latin words and digits (a full stop after one is kept), runs of other letters; generic
     words and version numbers are dropped unless nothing else is left."""
     every = _TOKEN.findall(unicodedata.normalize("NFKC", form or "").lower())
     out = []
     for token in every:
         if not token[0].isascii():
-            for word in GENERIC:
+            for word in generic:
                 if not word.isascii() and token.endswith(word) and len(token) > len(word):
                     token = token[: -len(word)]
             out.append(token)
-        elif token.rstrip(".") not in GENERIC and not _VERSION.fullmatch(token.rstrip(".")):
+        elif token.rstrip(".") not in generic and not _VERSION.fullmatch(token.rstrip(".")):
             out.append(token)
-    return [t for t in out if t not in GENERIC] or [t.rstrip(".") for t in every]
+    return [t for t in out if t not in generic] or [t.rstrip(".") for t in every]
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -89,59 +96,84 @@ def _shortened(word: str, most: int) -> set[str]:
     return {"".join(word[i] for i in range(len(word)) if i not in cut) for n in range(most + 1) for cut in combinations(range(len(word)), n)}
 
 
-class Vocabulary:
-    """The reference tokens, with their shortened forms: two words within k edits share a form shortened by at most
-    k letters, so no pair of words is compared that has none in common."""
+def other_word(token: str, word: str, d: int) -> bool:
+    """Whether a token ``d`` edits away from a name is rather another word than a slip."""
+    # one letter replaced and one more or less, with another beginning (a swap of the first two is none)
+    if d == 2 and abs(len(token) - len(word)) == 1 and token[0] != word[0] and token[1::-1] != word[:2]:
+        return True
+    # of equal length and two letters apart, unless a letter only moved
+    replaced = d == 2 and len(token) == len(word) and sum(x != y for x, y in zip(token, word)) == 2
+    return replaced and not _shortened(token, 1) & _shortened(word, 1)
 
-    def __init__(self, words: list[str], names: set[str], how: Matching):
-        self.how, self.words, self.names, self.shortened = how, set(words), names, defaultdict(list)
-        for word in sorted(self.words):
-            for form in _shortened(word, self.allowed(word)):
-                self.shortened[form].append(word)
-        self.by_length = sorted({len(w) for w in self.words if len(w) >= 3}, reverse=True)
 
-    def allowed(self, word: str) -> int:
-        if not word.isascii() or any(c.isdigit() for c in word):
-            return 0
-        one, two = (self.how.one_edit_name, self.how.two_edits_name) if word in self.names else (self.how.one_edit, self.how.two_edits)
-        return 2 if len(word) >= two else 1 if len(word) >= one else 0
+def cut_apart(token: str, words: set[str]) -> list[str]:
+    """The token cut into the fewest of the words (of at least three letters); empty if it cannot be."""
+    sizes = sorted({len(w) for w in words if len(w) >= 3}, reverse=True)
+    best: list[list[str] | None] = [[]] + [None] * len(token)
+    for end in range(3, len(token) + 1):
+        for size in sizes:
+            if size <= end and best[end - size] is not None and token[end - size : end] in words:
+                option = [*best[end - size], token[end - size : end]]
+                if best[end] is None or len(option) < len(best[end]):
+                    best[end] = option
+    return best[-1] or []
+
+
+def _rows(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    return record(**{k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds.items())})
+
+
+def repairs(tokens: DataFrame, vocabulary: DataFrame, how: Matching) -> DataFrame:
+    """Distinct tokens (token) and vocabulary (word, name), both staged -> (token, part, word, similarity): the words each
+    token may be meant for (part 0), or the words it is made of; one row with a null word for a token without any."""
+    text, longest = pa.string(), vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
+    plain = F.rtrim(F.col("token"), F.lit("."))
+    asked = tokens.select("token", plain.alias("plain"))
+    exact = asked.join(vocabulary, F.col("plain") == F.col("word")).select("token", F.lit(0).alias("part"), "word", F.lit(1.0).alias("similarity"))
+    open_ = stage(asked.join(vocabulary, F.col("plain") == F.col("word"), "left_anti"))
+    short = (F.col("token") != F.col("plain")) & (F.length("plain") >= 3)
 
-    def repairs(self, token: str) -> list[tuple[str, float]]:
-        """The vocabulary words the token may be meant for, with a similarity of 0..1."""
-        plain = token.rstrip(".")
-        if plain in self.words:
-            return [(plain, 1.0)]
-        if token.endswith(".") and len(plain) >= 3:
-            return [(w, 0.95) for w in sorted(self.words) if w.startswith(plain)]
-        if not plain.isascii():
-            return []
-        found = {}
-        for form in _shortened(plain, 2 if len(plain) > 2 else 1):
-            for word in self.shortened.get(form, ()):
-                most = self.allowed(word)
-                if word not in found and (d := edits(plain, word, most)) <= most and not (d and word in self.names and self._other_word(plain, word, d)):
-                    found[word] = 1 - d / max(len(plain), len(word))
-        best = max(found.values(), default=0)
-        return [(w, s) for w, s in sorted(found.items()) if s == best]
-
-    def _other_word(self, token: str, word: str, d: int) -> bool:
-        # one letter replaced and one more or less, with another beginning (a swap of the first two is none)
-        if d == 2 and abs(len(token) - len(word)) == 1 and token[0] != word[0] and token[1::-1] != word[:2]:
-            return True
-        # of equal length and two letters apart, unless a letter only moved
-        replaced = d == 2 and len(token) == len(word) and sum(x != y for x, y in zip(token, word)) == 2
-        return replaced and not _shortened(token, 1) & _shortened(word, 1)
-
-    def parts(self, token: str) -> list[str]:
-        """The token cut into the fewest vocabulary words of at least three letters; empty if it cannot be."""
-        best: list[list[str] | None] = [[]] + [None] * len(token)
-        for end in range(3, len(token) + 1):
-            for size in self.by_length:
-                if size <= end and best[end - size] is not None and token[end - size : end] in self.words:
-                    option = [*best[end - size], token[end - size : end]]
-                    if best[end] is None or len(option) < len(best[end]):
-                        best[end] = option
-        return best[-1] or []
+    # abbreviations: words that begin so
+    begins = vocabulary.where(F.length("word") >= 3).select("word", F.explode(F.sequence(F.lit(3), F.length("word"))).alias("n")).select("word", F.expr("substring(word, 1, n)").alias("plain"))
+    abbreviated = open_.where(short).join(begins, "plain").select("token", F.lit(0).alias("part"), "word", F.lit(0.95).alias("similarity"))
+
+    # slips: words with a shortened form in common, then the distance itself
+    def shorten_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _rows([(s, w, n) for w, n in zip(column(batch, "word"), column(batch, "name")) for s in sorted(_shortened(w, how.allowed(w, n)))], short=text, word=text, name=pa.bool_())
+
+    def shorten_tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _rows([(s, t, p) for t, p in zip(column(batch, "token"), column(batch, "plain")) for s in sorted(_shortened(p, 2 if len(p) > 2 else 1))], short=text, token=text, plain=text)
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for token, plain_, word, name in zip(*(column(batch, c) for c in ("token", "plain", "word", "name"))):
+            d = edits(plain_, word, how.allowed(word, name))
+            if d <= how.allowed(word, name) and not (d and name and other_word(plain_, word, d)):
+                out.append((token, word, 1 - d / max(len(plain_), len(word))))
+        return _rows(out, token=text, word=text, similarity=pa.float64())
+
+    latin = open_.where(~short & ~F.col("plain").rlike(r"[^\x00-\x7f]") & (F.length("plain") <= longest + 2))
+    met = map_batches(latin, shorten_tokens, "short string, token string, plain string").join(map_batches(vocabulary, shorten_words, "short string, word string, name boolean"), "short")
+    near = stage(map_batches(met.select("token", "plain", "word", "name").distinct(), measure, "token string, word string, similarity double"))
+    best = near.groupBy("token").agg(F.max("similarity").alias("similarity"))
+    slips = near.join(best, ["token", "similarity"]).select("token", F.lit(0).alias("part"), "word", "similarity")
+
+    # several words in one: the vocabulary words that stand in it, put together without a gap
+    found = stage(exact.union(abbreviated).union(slips))
+    left = open_.join(found.select("token"), "token", "left_anti")
+
+    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens_ = zip(column(batch, "token"), column(batch, "plain"))
+        return _rows([(t, p, w) for t, p in tokens_ for w in sorted({p[i : i + n] for n in range(3, longest + 1) for i in range(len(p) - n + 1)})], token=text, plain=text, word=text)
+
+    def compose(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens_ = zip(column(batch, "token"), column(batch, "plain"), column(batch, "words"))
+        return _rows([(t, i, w, 1.0) for t, p, held in tokens_ for i, w in enumerate(cut_apart(p, set(held)))], token=text, part=pa.int32(), word=text, similarity=pa.float64())
+
+    inside = map_batches(left, pieces, "token string, plain string, word string").join(vocabulary.select("word"), "word").groupBy("token", "plain").agg(F.collect_set("word").alias("words"))
+    every = stage(found.union(map_batches(inside, compose, "token string, part int, word string, similarity double")))
+    none = tokens.join(every.select("token"), "token", "left_anti").select("token", F.lit(0), F.lit(None).cast("string"), F.lit(0.0))
+    return every.union(none)
 
 
 def map_to_canonical(forms: DataFrame, entries: DataFrame, how: Matching = Matching()) -> DataFrame:
@@ -152,58 +184,39 @@ def map_to_canonical(forms: DataFrame, entries: DataFrame, how: Matching = Match
     entries are ignored; with no entries every form is unmatched.
     """
     distinct = forms.select("form").where("form is not null and trim(form) <> ''").distinct()
-    listed = entries.where("entry is not null and node_id is not null").select("entry", "node_id").distinct().limit(REFERENCE_ROWS + 1).collect()
-    if len(listed) > REFERENCE_ROWS:
-        raise ValueError(f"a reference list may have {REFERENCE_ROWS} entries")
-    spark = forms.sparkSession
-    names = {}
-    for row in listed:
-        tokens = tuple(t.rstrip(".") for t in form_tokens(row.entry))
-        if tokens:
-            names.setdefault((tokens, row.node_id), len(names))
-    users = defaultdict(set)
-    for entry, node in names:
-        for t in entry:
-            users[t].add(node)
-    telling = {t for t, held in users.items() if len(held) == 1}
-    # a word that occurs with one node only is an entry of its own
-    for t in sorted(telling):
-        names.setdefault(((t,), next(iter(users[t]))), len(names))
-    vocabulary = Vocabulary(sorted(users), telling, how)
+    text = pa.string()
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        forms_, out = column(batch, "form"), []
-        for form in forms_:
-            out += [(form, i, t) for i, t in enumerate(form_tokens(form))]
-        return record(form=pa.array([r[0] for r in out], pa.string()), place=pa.array([r[1] for r in out], pa.int32()), token=pa.array([r[2] for r in out], pa.string()))
+        return _rows([(form, i, t) for form in column(batch, "form") for i, t in enumerate(form_tokens(form, how.generic))], form=text, place=pa.int32(), token=text)
 
-    def repair(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def words(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for token in column(batch, "token"):
-            found = [(token, 0, w, s) for w, s in vocabulary.repairs(token)]
-            if not found:
-                found = [(token, i, w, 1.0) for i, w in enumerate(vocabulary.parts(token.rstrip(".")))]
-            out += found or [(token, 0, None, 0.0)]
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.float64())
-        return record(**{k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(zip(("token", "part", "word", "similarity"), kinds))})
+        for entry, node in zip(column(batch, "entry"), column(batch, "node_id")):
+            listed = [t.rstrip(".") for t in form_tokens(entry, how.generic)]
+            out += [(" ".join(listed), node, w) for w in sorted(set(listed))]
+        return _rows(out, entry=text, node_id=text, word=text)
 
     tokens = stage(map_batches(distinct, cut, "form string, place int, token string"))
-    repaired = stage(map_batches(tokens.select("token").distinct(), repair, "token string, part int, word string, similarity double"))
-    rows = [(i, node, t) for (entry, node), i in names.items() for t in set(entry)]
-    held = spark.createDataFrame(rows, "entry_id int, node_id string, word string") if rows else spark.createDataFrame([], "entry_id int, node_id string, word string")
-    nodes = max(1, len({node for _, node in names}))
+    listed = entries.where("entry is not null and node_id is not null").select("entry", "node_id").distinct()
+    held = stage(map_batches(listed, words, "entry string, node_id string, word string").distinct())
+    # a word that occurs with one node only is an entry of its own
+    used = held.groupBy("word").agg(F.count_distinct("node_id").alias("n"), F.min("node_id").alias("node_id"))
+    vocabulary = stage(used.select("word", (F.col("n") == 1).alias("name")))
+    held = stage(held.union(used.where("n = 1").select(F.col("word").alias("entry"), "node_id", "word")).distinct())
+    repaired = repairs(stage(tokens.select("token").distinct()), vocabulary, how)
+    nodes = max(1, held.agg(F.count_distinct("node_id")).first()[0])
     # a word is as telling as the number of nodes it occurs with is small
     idf = held.groupBy("word").agg((F.log(F.lit(nodes + 1.0) / F.count_distinct("node_id"))).alias("idf"))
     weighed = held.join(idf, "word")
-    norm = weighed.groupBy("entry_id").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("norm"))
-    weighed = stage(weighed.join(norm, "entry_id").select("entry_id", "node_id", "word", "idf", (F.col("idf") / F.col("norm")).alias("weight")))
+    norm = weighed.groupBy("entry", "node_id").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("norm"))
+    weighed = stage(weighed.join(norm, ["entry", "node_id"]).select("entry", "node_id", "word", "idf", (F.col("idf") / F.col("norm")).alias("weight")))
     asked = tokens.join(repaired, "token").join(idf, "word", "left").withColumn("idf", F.coalesce("idf", F.log(F.lit(nodes + 1.0))))
     asked = stage(asked.select("form", "place", "part", "word", "similarity", "idf"))
     each = asked.groupBy("form", "place", "part").agg(F.max("idf").alias("idf"))
     length = each.groupBy("form").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("length"))
-    met = asked.where("word is not null").join(weighed.select("word", "entry_id", "node_id", "weight"), "word")
-    met = met.groupBy("form", "entry_id", "node_id", "place", "part").agg(F.max(F.col("idf") * F.col("weight") * F.col("similarity")).alias("x"))
-    scores = met.groupBy("form", "entry_id", "node_id").agg(F.sum("x").alias("x")).groupBy("form", "node_id").agg(F.max("x").alias("x"))
+    met = asked.where("word is not null").join(weighed.select("word", "entry", "node_id", "weight"), "word")
+    met = met.groupBy("form", "entry", "node_id", "place", "part").agg(F.max(F.col("idf") * F.col("weight") * F.col("similarity")).alias("x"))
+    scores = met.groupBy("form", "entry", "node_id").agg(F.sum("x").alias("x")).groupBy("form", "node_id").agg(F.max("x").alias("x"))
     scores = scores.join(length, "form").withColumn("score", F.col("x") / F.col("length"))
     order = Window.partitionBy("form").orderBy(F.desc("score"), "node_id")
     best = scores.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("n = 1")
