@@ -8,8 +8,12 @@ import numpy as np
 import pytest
 
 from weftgraph import catalog
-from weftgraph.governance import backfill_terms
+from weftgraph.functions.vectors import mean_vector
+from weftgraph.governance import backfill_terms, variants
 from weftgraph.knowledge import Knowledge
+from weftgraph.pipeline.dedup import semantic_duplicates
+from weftgraph.queries.analytics import _SEEN, _TAGGED
+from weftgraph.queries.stages import EVIDENCE_VECTORS
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -59,7 +63,7 @@ def test_functional_conflicts_of_all_facts(spark, k):
             if a.object != b.object:
                 x, y = a.object.lower(), b.object.lower()
                 want.add((a.fact_id, b.fact_id, "merge" if x in y or y in x else "conflict"))
-    assert len(by) == 10 and rows(spark, "conflicts_functional_all") == want
+    assert len(by) == 10 and rows(spark, "conflicts_functional") == want
 
 
 def test_semantic_duplicates_and_conflicts_of_all_facts(spark, k, sources):
@@ -74,11 +78,11 @@ def test_semantic_duplicates_and_conflicts_of_all_facts(spark, k, sources):
                 doubles.add((a if a.confidence < b.confidence else b).fact_id)
             if a.predicate != b.predicate and alike(sources, a.fact_id, b.fact_id, 0.85):
                 pairs.add((a.fact_id, b.fact_id))
-    assert {f for f, in rows(spark, "dedup_d3b_all")} == doubles
+    assert {r.fact_id for r in semantic_duplicates(k.fact, k.sql(EVIDENCE_VECTORS), 0.5).collect()} == doubles
     counted = defaultdict(int)
     for a, _ in pairs:
         counted[a] += 1
-    assert len({f.subject for f in facts}) == 10 and pairs and rows(spark, "conflict_semantic_all") == set(counted.items())
+    assert len({f.subject for f in facts}) == 10 and pairs and rows(spark, "conflict_semantic") == set(counted.items())
 
 
 def test_backfill_reaches_more_than_twenty_segments_of_a_node(spark):
@@ -99,7 +103,7 @@ def test_backfill_of_all_terms(spark, k):
         for form, node in forms:
             if form in text and (s.segment_id, node) not in have:
                 hits[form, node].add(s.segment_id)
-    assert rows(spark, "backfill_all") == {(s, n) for (_, n), ids in hits.items() for s in sorted(ids)[:500]}
+    assert rows(spark, "backfill") == {(s, n) for (_, n), ids in hits.items() for s in sorted(ids)[:500]}
 
 
 def test_variants_of_all_candidates(spark, k, vectors):
@@ -121,7 +125,8 @@ def test_variants_of_all_candidates(spark, k, vectors):
             best = sorted((-x, n) for n, v in nodes.items() if (x := cosine(mean(ids), v)) is not None)
             if best and -best[0][0] >= 0.3:
                 want.add((c, best[0][1]))
-    assert len(want) > 5 and rows(spark, "maint_variant_detect_all") == want
+    found = variants(mean_vector(k.sql(_SEEN), "candidate_id"), mean_vector(k.sql(_TAGGED), "node_id"), 0.3)
+    assert len(want) > 5 and {(r.candidate_id, r.node_id) for r in found.collect()} == want
 
 
 def test_merge_of_all_facts_and_their_evidence(spark, k):
@@ -130,11 +135,11 @@ def test_merge_of_all_facts_and_their_evidence(spark, k):
         clusters[f"{f.subject}|{f.predicate}|{f.object}"].append((-f.confidence, f.fact_id))
         state[f.fact_id] = f.lifecycle_state
     head = {f: (c, min(facts)[1]) for c, facts in clusters.items() for _, f in facts}
-    assert rows(spark, "fact_merge_all") == {(f, state[f] if h == f else "superseded", c) for f, (c, h) in head.items()}
+    assert rows(spark, "fact_merge") == {(f, state[f] if h == f else "superseded", c) for f, (c, h) in head.items()}
     n = defaultdict(int)
     for e in k.evidence.select("fact_id").collect():
         n[head[e.fact_id][1]] += 1
-    assert any(h != f for f, (_, h) in head.items()) and rows(spark, "fact_merge_evidence_all") == set(n.items())
+    assert any(h != f for f, (_, h) in head.items()) and rows(spark, "fact_merge_evidence") == set(n.items())
 
 
 def test_cycles_of_all_edges_up_to_five(spark, k):
@@ -153,4 +158,4 @@ def test_cycles_of_all_edges_up_to_five(spark, k):
 
     for root in list(out):
         walk([root])
-    assert n[5] and rows(spark, "graph_cycles_all") == set(n.items())
+    assert n[5] and rows(spark, "graph_cycles") == set(n.items())

@@ -29,9 +29,10 @@ def semantic_conflicts(facts: DataFrame, vectors: DataFrame, least: float = 0.85
 
 
 def variants(candidate_vectors: DataFrame, node_vectors: DataFrame, least: float = 0.9) -> DataFrame:
-    """(candidate_id, node_id, similarity): the most similar node of each candidate that is alike enough to be the same."""
-    found = align.embedding_match(candidate_vectors.select(F.col("candidate_id").alias("segment_id"), "vec"), node_vectors, 1, least, 1)
-    return found.select(F.col("segment_id").alias("candidate_id"), "node_id", "similarity")
+    """(candidate_id, node_id, similarity): the most similar node of each candidate that is alike enough to be the same.
+    Hand in candidates and nodes of one layer: a candidate of another layer is no variant of a node."""
+    found = align.nearest_nodes(candidate_vectors.select(F.col("candidate_id").alias("id"), "vec"), node_vectors, 1, least)
+    return found.select(F.col("id").alias("candidate_id"), "node_id", "similarity")
 
 
 def cluster_merge(candidates: DataFrame, links: DataFrame) -> DataFrame:

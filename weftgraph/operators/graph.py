@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.sources import stage
+from weftgraph.sources import small_side, stage
+
+#: Levels of a walk after which its visited nodes are written into one table.
+COMPACT = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -65,26 +70,40 @@ def bfs(
     last edge, the least among equals. Seeds are not part of the result. ``max_hops`` None walks to the fixpoint.
     Beyond ``cap`` visited nodes the walk ends after the hop, cut in the order of node_id.
     """
-    walk = stage(directed(edges, relations, direction))
-    visited = stage(seeds.select("node_id").where("node_id is not null").distinct().select("node_id", F.lit(0).alias("hop"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("rel_type")))
-    frontier, hop, total = visited, 0, 0
+    # the frontier is joined with the (pruned) scan of the edges; only a walk over all edges to the fixpoint keeps a copy
+    walk = directed(edges, relations, direction)
+    if relations is None and max_hops is None:
+        walk = stage(walk)
+    frontier = seeds.select("node_id").where("node_id is not null").distinct().select("node_id", F.lit(0).alias("hop"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("rel_type"))
+    if max_hops is None or max_hops > 1:
+        frontier = stage(frontier)
+    levels, hop, total = [frontier], 0, 0
     while max_hops is None or hop < max_hops:
         hop += 1
         step = frontier.select(F.col("node_id").alias("here"), F.col("confidence").alias("so_far")).join(walk, "here")
         step = step.select(F.col("there").alias("node_id"), (F.col("so_far") * F.col("confidence") * decay).alias("confidence"), "rel_type")
-        step = step.where(F.col("node_id").isNotNull() & (F.col("confidence") >= min_confidence)).join(visited.select("node_id"), "node_id", "left_anti")
+        visited = _all(levels).select("node_id")
+        step = step.where(F.col("node_id").isNotNull() & (F.col("confidence") >= min_confidence)).join(visited, "node_id", "left_anti")
         # the best pair of (confidence, relation) with the least relation among equals: one hash aggregate, no list
         best = step.groupBy("node_id").agg(F.max("confidence").alias("confidence"), F.min(F.struct((-F.col("confidence")).alias("c"), F.col("rel_type").alias("r"))).alias("way"))
-        frontier = stage(best.select("node_id", F.lit(hop).alias("hop"), "confidence", F.col("way.r").alias("rel_type")))
-        found = frontier.count()
-        if not found:
+        frontier = best.select("node_id", F.lit(hop).alias("hop"), "confidence", F.col("way.r").alias("rel_type"))
+        if hop == max_hops:  # nothing follows: the last hop is written by nobody
+            levels.append(frontier)
             break
+        frontier = stage(frontier)
+        levels.append(frontier)
+        found = frontier.count()
         total += found
-        visited = stage(visited.union(frontier))
-        if cap is not None and total >= cap:
+        if not found or (cap is not None and total >= cap):
             break
-    out = visited.where("hop > 0")
-    return out.orderBy("hop", "node_id").limit(cap) if cap is not None and total > cap else out
+        if len(levels) > COMPACT:  # long walks: few tables, each written a bounded number of times
+            levels = [stage(_all(levels))]
+    out = _all(levels).where("hop > 0")
+    return out if cap is None else out.orderBy("hop", "node_id").limit(cap)
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, levels)
 
 
 def shortest_paths(edges: DataFrame, start: str, end: str, relations=None, max_hops: int = 8, min_confidence: float = 0.0, keep: int = 5) -> DataFrame:
@@ -96,25 +115,28 @@ def shortest_paths(edges: DataFrame, start: str, end: str, relations=None, max_h
     """
     spark = edges.sparkSession
     solid = edges.where(F.coalesce(F.col("confidence"), F.lit(1.0)) >= min_confidence)
-    walk = stage(directed(solid, relations, "both").where("here <> there"))
+    walk = directed(solid, relations, "both").where("here <> there")
+    if relations is None:  # every level and every step back reads all edges
+        walk = stage(walk)
     seed = spark.createDataFrame([(start,)], "node_id string")
-    level, visited, levels = stage(seed), stage(seed), []
+    level, levels = seed, []
     empty = spark.createDataFrame([], "hops int, node_ids array<string>, rel_types array<string>, min_confidence double")
     if start == end:
         return empty
     for _ in range(max_hops):
-        level = stage(walk.join(level.withColumnRenamed("node_id", "here"), "here").select(F.col("there").alias("node_id")).distinct().join(visited, "node_id", "left_anti"))
+        visited = _all([seed, *levels])
+        level = stage(walk.join(small_side(level), walk.here == level.node_id).select(F.col("there").alias("node_id")).distinct().join(visited, "node_id", "left_anti"))
         levels.append(level)
-        if level.isEmpty():
+        met = level.agg(F.count("*").alias("n"), F.max((F.col("node_id") == end).cast("int")).alias("there")).first()
+        if not met.n:
             return empty
-        if not level.where(F.col("node_id") == end).isEmpty():
+        if met.there:
             break
-        visited = stage(visited.union(level))
     else:
         return empty
     paths = spark.createDataFrame([(end, [end], [], 1.0)], "node_id string, node_ids array<string>, rel_types array<string>, min_confidence double")
     for back in [*reversed(levels[:-1]), seed]:
-        hops = walk.join(back.withColumnRenamed("node_id", "here"), "here").select("here", F.col("there").alias("node_id"), "rel_type", "confidence")
+        hops = walk.join(small_side(back.withColumnRenamed("node_id", "back")), F.col("here") == F.col("back")).select("here", F.col("there").alias("node_id"), "rel_type", "confidence")
         paths = paths.join(hops, "node_id").select(F.col("here").alias("node_id"), F.concat(F.array("here"), "node_ids").alias("node_ids"), F.concat(F.array("rel_type"), "rel_types").alias("rel_types"), F.least("min_confidence", "confidence").alias("min_confidence"))
         # more than `keep` ways into one node can't all be among the first: the rest of the path is theirs in common
         order = Window.partitionBy("node_id").orderBy("node_ids", "rel_types")

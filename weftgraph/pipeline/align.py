@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftgraph import model
 from weftgraph.functions.scoring import mapped, rounded
 from weftgraph.functions.vectors import cosine
 
-#: Most entries of the dictionary sent to every task.
-DICTIONARY_ROWS = 500_000
+#: Forms of the dictionary sent to every task at once.
+DICTIONARY_ROWS = 200_000
 
 # The tag type of each layer, the role of each segment type, and the signs of each context.
 LAYER_TAG = {"concept": "canonical", "mechanism": "mechanism_tag", "method": "method_tag", "condition": "condition_tag", "scenario": "scenario_tag"}
@@ -36,14 +37,20 @@ def find_terms(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
     """segments (segment_id, text), dictionary (form, node_id, confidence) -> the best confidence per segment and node.
 
     Forms of up to 3 characters match whole words only, longer ones anywhere. All forms are sought in one pass over
-    each text with an automaton; the dictionary, of checked size, is sent to the tasks.
+    each text with an automaton; a dictionary of more than DICTIONARY_ROWS forms goes to the tasks in blocks, a pass each.
     """
-    listed = dictionary.where("form is not null and form <> ''").select(F.lower("form").alias("form"), "node_id", "confidence").distinct().limit(DICTIONARY_ROWS + 1).collect()
-    if len(listed) > DICTIONARY_ROWS:
-        raise ValueError(f"a dictionary may have {DICTIONARY_ROWS} entries")
-    meanings: dict[str, list[tuple[str, float]]] = {}
-    for row in listed:
-        meanings.setdefault(row.form, []).append((row.node_id, float(row.confidence)))
+    listed = dictionary.where("form is not null and form <> ''").groupBy(F.lower("form").alias("form")).agg(F.collect_set(F.struct("node_id", F.col("confidence").cast("double").alias("confidence"))).alias("meant"))
+    out, block = None, {}
+    for row in [*listed.orderBy("form").toLocalIterator(), None]:
+        if row is not None:
+            block[row.form] = [(m.node_id, m.confidence) for m in row.meant]
+        if (row is None and (block or out is None)) or len(block) == DICTIONARY_ROWS:
+            part = _block_terms(segments, block)
+            out, block = part if out is None else out.union(part), {}
+    return out.groupBy("segment_id", "node_id").agg(F.max("confidence").alias("confidence"))
+
+
+def _block_terms(segments: DataFrame, meanings: dict[str, list[tuple[str, float]]]) -> DataFrame:
     shape = pa.schema([("segment_id", pa.int64()), ("node_id", pa.string()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,21 +64,18 @@ def find_terms(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
             keys = list(best)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.array([best[k] for k in keys], pa.float64())], schema=shape)
 
-    found = segments.select(F.col("segment_id").cast("long"), "text").mapInArrow(run, "segment_id long, node_id string, confidence double")
-    return found.groupBy("segment_id", "node_id").agg(F.max("confidence").alias("confidence"))
+    return segments.select(F.col("segment_id").cast("long"), "text").mapInArrow(run, "segment_id long, node_id string, confidence double")
 
 
 def _finder(forms: list[str]):
     """A function text -> the set of forms that occur in it."""
+    import ahocorasick  # there is no other way that reads a text once for all forms
+
     word = lambda c: c.isalnum() or c == "_"
 
     def whole(text: str, a: int, b: int) -> bool:
         return not (a and word(text[a - 1]) and word(text[a])) and not (b < len(text) and word(text[b]) and word(text[b - 1]))
 
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {f for f in forms if f in text and (len(f) > 3 or any(whole(text, i, i + len(f)) for i in range(len(text)) if text.startswith(f, i)))}
     machine = ahocorasick.Automaton()
     for f in forms:
         machine.add_word(f, f)
@@ -89,17 +93,36 @@ def verify_short(matches: DataFrame, segment_vectors: DataFrame, node_vectors: D
     return rows.where((F.length("form") > longest) | alike.isNull() | (alike >= least)).drop("_s", "_n")
 
 
-def embedding_match(segment_vectors: DataFrame, node_vectors: DataFrame, first: int = 15, least: float = 0.6, most: int = 5) -> DataFrame:
-    """segment_vectors (segment_id, vec), node_vectors (node_id, vec) -> up to ``most`` nodes of each segment among its
-    ``first`` most similar: (segment_id, node_id, similarity, confidence). The nodes' matrix, of checked size, goes to
-    the tasks; segments are matched block by block."""
-    nodes = node_vectors.where("vec is not null").orderBy("node_id").limit(DICTIONARY_ROWS + 1).collect()
-    if len(nodes) > DICTIONARY_ROWS:
-        raise ValueError(f"at most {DICTIONARY_ROWS} node vectors")
-    ids, matrix = [n.node_id for n in nodes], np.array([n.vec for n in nodes], float).reshape(len(nodes), -1)
+#: Node vectors of one block; further blocks are further passes over the segments, merged by their best.
+BLOCK_NODES = 20_000
+#: The similarity from which a segment is about a node, how confident that is there, the gain, the most.
+MATCH_LEAST, MATCH_BASE, MATCH_GAIN, MATCH_MOST = 0.6, 0.55, 1.8, 0.8
+
+
+def nearest_nodes(vectors: DataFrame, nodes: DataFrame, first: int, least: float) -> DataFrame:
+    """vectors (id, vec), nodes (node_id, vec) -> (id, node_id, similarity, place): the ``first`` most similar nodes of each
+    vector, ties by the lesser id, as far as they reach ``least``. Null and zero vectors take no part.
+
+    The nodes go to the tasks as matrices of BLOCK_NODES rows, one block after the other, so what is sent at once is
+    bounded however many there are; every block gives a vector's ``first`` best, and the best of these are the result."""
+    shape = pa.schema([("id", pa.int64()), ("node_id", pa.string()), ("similarity", pa.float64())])
+    size, out, block = nodes.where("vec is not null").agg(F.max(F.size("vec"))).first()[0], None, []
+    for row in [*nodes.where("node_id is not null and vec is not null").select("node_id", "vec").orderBy("node_id").toLocalIterator(), None]:
+        if row is not None and len(row.vec) == size:
+            block.append(row)
+        if (row is None and block) or len(block) == BLOCK_NODES:
+            part = _block_matches(vectors, block, first, least, shape)
+            out, block = part if out is None else out.union(part), []
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], "id long, node_id string, similarity double")
+    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "node_id")
+    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= first)
+
+
+def _block_matches(vectors: DataFrame, block: list, first: int, least: float, shape: pa.Schema) -> DataFrame:
+    matrix = np.array([n.vec for n in block], float)
     length = np.linalg.norm(matrix, axis=1)
-    ids, matrix = [i for i, n in zip(ids, length) if n > 0], matrix[length > 0] / length[length > 0][:, None]
-    shape = pa.schema([("segment_id", pa.int64()), ("node_id", pa.string()), ("similarity", pa.float64())])
+    ids, matrix = [n.node_id for n, x in zip(block, length) if x > 0], matrix[length > 0] / length[length > 0][:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,14 +132,41 @@ def embedding_match(segment_vectors: DataFrame, node_vectors: DataFrame, first:
                 x = np.array(part.column(1).to_pylist(), float).reshape(part.num_rows, -1)
                 n = np.linalg.norm(x, axis=1)
                 s = (x @ matrix.T) / np.where(n > 0, n, 1)[:, None]
-                for i, segment in enumerate(part.column(0).to_pylist()):
+                for i, one in enumerate(part.column(0).to_pylist()):
                     if n[i] > 0:
-                        order = np.argsort(-s[i], kind="stable")[: min(first, most)]
-                        rows += [(segment, ids[j], float(s[i, j])) for j in order if s[i, j] >= least]
+                        order = np.argsort(-s[i], kind="stable")[:first]
+                        rows += [(one, ids[j], float(s[i, j])) for j in order if s[i, j] >= least]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(shape)], schema=shape)
 
-    found = segment_vectors.where("vec is not null").select(F.col("segment_id").cast("long"), "vec").mapInArrow(run, "segment_id long, node_id string, similarity double")
-    return found.withColumn("confidence", F.least(F.lit(0.8), 0.55 + 1.8 * (F.col("similarity") - 0.6)))
+    known = vectors.where("id is not null and vec is not null").where(F.size("vec") == matrix.shape[1])
+    return known.select(F.col("id").cast("long"), "vec").mapInArrow(run, "id long, node_id string, similarity double")
+
+
+def embedding_match(segment_vectors: DataFrame, node_vectors: DataFrame, layers: Sequence[str] | None = None, least: float = MATCH_LEAST, most: int = 5) -> DataFrame:
+    """segment_vectors (segment_id, vec), node_vectors (node_id, vec, layer) -> (segment_id, node_id, similarity,
+    confidence): of each segment's ``3 * most`` most similar nodes those that are alike enough and of one of the
+    ``layers`` (all where none are named), ``most`` at the most. The confidence is rounded to 2 places."""
+    near = nearest_nodes(segment_vectors.withColumnRenamed("segment_id", "id"), node_vectors, 3 * most, least)
+    if layers is not None:
+        near = near.join(node_vectors.where(F.col("layer").isin(list(layers))).select("node_id").distinct(), "node_id", "left_semi")
+    kept = near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("place"))).where(F.col("n") <= most)
+    confidence = F.least(F.lit(MATCH_MOST), F.round(MATCH_BASE + (F.col("similarity") - least) * MATCH_GAIN, 2))
+    return kept.select(F.col("id").alias("segment_id"), "node_id", "similarity", confidence.alias("confidence"))
+
+
+def new_concepts(terms: DataFrame, aliases: DataFrame, stopwords: DataFrame, term_vectors: DataFrame | None = None, node_vectors: DataFrame | None = None, least: float = 0.85) -> DataFrame:
+    """What a classifier of terms found, (term, classification, layer, doc_id, segment_id), cut down to what may enter
+    the pool: new concepts (the default) that are no alias and no stopword (word), and whose vector (term, vec) is not
+    as close as ``least`` to that of a node (node_id, vec). An unknown layer becomes concept. Without vectors nothing
+    is dropped for likeness. Null and blank terms are left out."""
+    rows = terms.withColumn("term", F.trim("term")).where("term is not null and term <> ''").where(F.coalesce("classification", F.lit("new_concept")) == "new_concept")
+    rows = rows.withColumn("layer", F.when(F.col("layer").isin(*model.LAYERS), F.col("layer")).otherwise("concept")).withColumn("folded", F.lower("term"))
+    rows = rows.join(aliases.select(F.lower("surface_form").alias("folded")), "folded", "left_anti").join(stopwords.select(F.lower(F.trim("word")).alias("folded")), "folded", "left_anti")
+    if term_vectors is not None and node_vectors is not None:
+        ids = term_vectors.select(F.xxhash64("term").alias("id"), "term", "vec")
+        same = nearest_nodes(ids.select("id", "vec"), node_vectors, 1, least).select("id").join(ids.select("id", "term"), "id").select("term").distinct()
+        rows = rows.join(same, "term", "left_anti")
+    return rows.select("term", "layer", "doc_id", "segment_id")
 
 
 def role_tag(kind: Column) -> Column:

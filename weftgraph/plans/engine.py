@@ -35,24 +35,44 @@ class PlanError(ValueError):
         self.errors = errors
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a plan's sets are cut to, each in the set's order; None cuts nothing. ``result`` bounds the sets of seeds,
+    expansions and unions, ``visited`` walks, ``top_k`` what a budget is spent on, ``cross_encoder`` what a model scores."""
+
+    result: int | None = model.MAX_RESULT
+    visited: int | None = model.MAX_VISITED
+    top_k: int | None = model.MAX_TOP_K
+    cross_encoder: int | None = model.MAX_CROSS_ENCODER
+
+
+#: Whole sets, whatever their size.
+NO_LIMITS = Limits(None, None, None, None)
+
+
 @dataclass
 class Result:
-    """Variables of a finished plan; ``frames`` are lazy, ``values`` scalars as one-row DataFrames, ``steps`` the trace."""
+    """Variables of a finished plan; ``frames`` are lazy, ``values`` scalars as one-row DataFrames, ``steps`` the trace,
+    ``errors`` what went wrong with a variable (its frame is empty then)."""
 
     last: str
     frames: dict[str, DataFrame] = field(default_factory=dict)
     values: dict[str, DataFrame] = field(default_factory=dict)
     steps: list[dict] = field(default_factory=list)
+    errors: dict[str, str] = field(default_factory=dict)
 
     @property
     def frame(self) -> DataFrame:
         return self.values[self.last] if self.last in self.values else self.frames[self.last]
 
     def serialize(self) -> dict:
-        """The last variable in full (at most MAX_RESULT rows, in order), the others as counts or values."""
+        """The last variable in full (at most MAX_RESULT rows, in order), the others as counts or values, a failed one as
+        an empty set with its error."""
         out: dict = {}
         for name, df in self.frames.items():
-            if name == self.last:
+            if name in self.errors:
+                out[name] = {"count": 0, "error": self.errors[name]}
+            elif name == self.last:
                 ordered = df.orderBy("_ord", "node_id") if "_ord" in df.columns else df
                 out[name] = [{k: v for k, v in r.asDict(recursive=True).items() if k != "_ord"} for r in ordered.limit(model.MAX_RESULT).collect()]
             else:
@@ -71,10 +91,10 @@ def _aligned(frames: list[DataFrame]) -> list[DataFrame]:
 
 class QueryEngine:
     """Runs plans over a `Knowledge`. ``scorer(query, texts) -> scores`` is an optional cross-encoder; without one the
-    feature scores stand."""
+    feature scores stand. ``strict`` raises what a step raises; otherwise its set is empty and the error is kept."""
 
-    def __init__(self, knowledge: Knowledge, relations: set[str] | None = None, scorer: Callable[[str, list[str]], list[float]] | None = None):
-        self.k, self.scorer = knowledge, scorer
+    def __init__(self, knowledge: Knowledge, relations: set[str] | None = None, scorer: Callable[[str, list[str]], list[float]] | None = None, limits: Limits = Limits(), strict: bool = True):
+        self.k, self.scorer, self.limits, self.strict = knowledge, scorer, limits, strict
         self.relations = relations if relations is not None else {"depends_on", "requires", "impacts", "causes", "implemented_by", "explains", "applies_to", "composed_of", "subclass_of"}
 
     def run(self, plan: dict) -> Result:
@@ -85,7 +105,13 @@ class QueryEngine:
         for wave in waves(steps):
             for i in wave:
                 began, step = time.time(), steps[i]
-                getattr(self, "_" + step["op"])(step, result, plan)
+                try:
+                    getattr(self, "_" + step["op"])(step, result, plan)
+                except Exception as error:
+                    if self.strict:
+                        raise
+                    result.errors[step["as"]] = str(error)
+                    result.frames[step["as"]] = self.k.spark.createDataFrame([], "node_id string, node_type string, _ord double")
                 result.steps.append({"step": i, "op": step["op"], "as": step["as"], "ms": round(1000 * (time.time() - began), 1)})
         return result
 
@@ -139,7 +165,7 @@ class QueryEngine:
                 for c, v in value.items():
                     rows = rows.where(F.col(c) == v)
                 out = self._segments(rows) if target == "segment" else self._facts(rows)
-        result.frames[step["as"]] = first_rows(out)
+        result.frames[step["as"]] = first_rows(out, self.limits.result)
 
     # ---- expand
 
@@ -154,7 +180,7 @@ class QueryEngine:
             relations = [t.upper() for t in types if t not in reserved]
             if relations:
                 depth = step.get("depth", 1)
-                walk = graph.bfs(self.k.edge, source.select("node_id"), relations, step.get("direction", "outbound"), None if depth == "unlimited" else depth, step.get("confidence_decay") or 1.0, step.get("min_confidence", 0.0), model.MAX_VISITED)
+                walk = graph.bfs(self.k.edge, source.select("node_id"), relations, step.get("direction", "outbound"), None if depth == "unlimited" else depth, step.get("confidence_decay") or 1.0, step.get("min_confidence", 0.0), self.limits.visited)
                 walk = walk.select("node_id", F.col("hop").alias("_hop"), F.col("confidence").alias("_confidence"), F.col("rel_type").alias("_rel_type"))
                 rows = self.k.node.join(walk, "node_id")
                 parts.append(rows.select("node_id", F.lit("node").alias("node_type"), F.col("_hop").cast("double").alias("_ord"), *NODE_COLUMNS, "_hop", "_confidence", "_rel_type"))
@@ -162,7 +188,7 @@ class QueryEngine:
             out = aligned[0]
             for part in aligned[1:]:
                 out = out.union(part)
-        result.frames[step["as"]] = first_rows(out)
+        result.frames[step["as"]] = first_rows(out, self.limits.result)
 
     def _sequence(self, source: DataFrame, types: list[str], direction: str) -> DataFrame:
         current = source.select("node_id").distinct()
@@ -212,7 +238,7 @@ class QueryEngine:
             out = parts[0]
             for part in parts[1:]:
                 out = out.union(part)
-            out = first_rows(out)
+            out = first_rows(out, self.limits.result)
         result.frames[step["as"]] = out.select(*[c for c in sets[0].columns if c in out.columns], *[c for c in out.columns if c not in sets[0].columns])
 
     # ---- aggregate
@@ -245,10 +271,10 @@ class QueryEngine:
         scored = source.withColumn("_feature_score", feature_score(source, query, step.get("signals")))
         order = [F.desc("_feature_score")]
         if step.get("cross_encoder") and query and self.scorer:
-            top = ranked(scored, order, model.MAX_CROSS_ENCODER)
+            top = ranked(scored, order, self.limits.cross_encoder)
             scored, order = cross_encoded(top, query, self.scorer), [F.desc("_final_score")]
         if step.get("budget"):
-            return budget_select(ranked(scored, order, model.MAX_TOP_K), step["budget"], step.get("limit", 30))
+            return budget_select(ranked(scored, order, self.limits.top_k), step["budget"], step.get("limit", 30))
         return ranked(scored, order, step.get("limit", 30))
 
     # ---- project

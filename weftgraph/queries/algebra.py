@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph import model
-from weftgraph.plans import QueryEngine
+from weftgraph.plans import NO_LIMITS, QueryEngine
 from weftgraph.queries.registry import Registry
 
 R = Registry()
@@ -173,7 +173,23 @@ R.add(
     f"""WITH f AS (SELECT segment_id, raw_text, {_FEATURE} AS s FROM (SELECT cast(segment_id AS string) AS segment_id, confidence, raw_text FROM {{v_segment}} WHERE lifecycle_state = 'active' AND segment_type = 'fault' ORDER BY 1 LIMIT 5000) x ORDER BY s DESC, segment_id LIMIT 50)
         SELECT segment_id, round(0.4 * s + 0.6 * (length(raw_text) % 11) / 10, 6) AS final_score FROM f ORDER BY 0.4 * s + 0.6 * (length(raw_text) % 11) / 10 DESC, segment_id LIMIT 10""",
 )
-add("agg_rerank_4c", [A, {"op": "aggregate", "as": "$r", "from": "$a", "function": "rerank", "budget": 1500, "limit": 30}, fields("$r", "segment_id", "token_count")], None, INTENT)
+add(
+    "agg_rerank_4c",
+    [A, {"op": "aggregate", "as": "$r", "from": "$a", "function": "rerank", "budget": 1500, "limit": 30}, fields("$r", "segment_id", "token_count")],
+    f"""WITH RECURSIVE f AS (SELECT segment_id, token_count, CASE WHEN coalesce(token_count, 0) > 0 THEN token_count ELSE greatest(1, length(coalesce(raw_text, '')) // 4) END AS t, row_number() OVER (ORDER BY {_FEATURE} DESC, segment_id) AS i
+          FROM (SELECT cast(segment_id AS string) AS segment_id, confidence, raw_text, token_count FROM {{v_segment}} WHERE lifecycle_state = 'active' AND segment_type = 'fault' ORDER BY 1 LIMIT 5000) x), o AS (SELECT * FROM f WHERE i <= 500),
+        g AS (SELECT cast(0 AS bigint) AS i, cast(0 AS bigint) AS total, 0 AS n, false AS taken, cast('' AS string) AS segment_id, cast(NULL AS int) AS token_count UNION ALL
+              SELECT o.i, CASE WHEN g.total + o.t <= 1500 AND g.n < 30 THEN g.total + o.t ELSE g.total END, CASE WHEN g.total + o.t <= 1500 AND g.n < 30 THEN g.n + 1 ELSE g.n END, g.total + o.t <= 1500 AND g.n < 30, o.segment_id, o.token_count FROM g JOIN o ON o.i = g.i + 1)
+        SELECT segment_id, token_count FROM g WHERE taken""",
+    INTENT,
+)
+# the whole set, whatever its size
+R.add("agg_count_whole", lambda k: QueryEngine(k, limits=NO_LIMITS).run({"steps": [A, {"op": "aggregate", "as": "$c", "from": "$a", "function": "count"}]}).frame, "SELECT count(*) AS value FROM {v_segment} WHERE lifecycle_state = 'active' AND segment_type = 'fault'")
+R.add(
+    "combine_union_whole",
+    lambda k: QueryEngine(k, limits=NO_LIMITS).run({"steps": [A, B, {"op": "combine", "as": "$c", "method": "union", "sets": ["$a", "$b"]}, fields("$c", "segment_id")]}).frame.drop("_ord"),
+    "SELECT cast(segment_id AS string) AS segment_id FROM {v_segment} WHERE lifecycle_state = 'active' AND (segment_type = 'fault' OR segment_index = 1)",
+)
 add(
     "project",
     [FACTS, fields("$f", "fact_id", "object", "absent")],

@@ -16,25 +16,23 @@ add, shared = R.add, R.shared
 
 # ---- governance
 add("confidence_total", lambda k: k.evidence.select("evidence_id", F.round(G.confidence_total(F.lit(0.8), F.lit(0.7), F.col("evidence_score"), F.lit(0.5), F.lit(1.0)), 6).alias("c")), "SELECT evidence_id, round(0.0 + cast(0.3 AS double) * 0.8 + cast(0.2 AS double) * 0.7 + cast(0.2 AS double) * evidence_score + cast(0.2 AS double) * 0.5 + cast(0.1 AS double) * 1.0, 6) AS c FROM {v_evidence}")
-_FV = "SELECT f.fact_id, v.content_vec AS vec FROM {v_fact} f JOIN {v_segment_vec} v ON v.segment_id = (f.l_orderkey % 40) * 1000 + 1 WHERE v.content_vec IS NOT NULL AND f.subject < 'METHOD.2'"
 add(
     "conflict_semantic",
-    lambda k: G.semantic_conflicts(k.fact, k.sql(_FV), 0.85).groupBy("a").agg(F.count("*").alias("n")),
-    f"WITH v AS ({_FV}), r AS (SELECT f.fact_id, f.subject, f.predicate, f.object, v.vec::DOUBLE[] AS vec FROM {{v_fact}} f JOIN v ON v.fact_id = f.fact_id), p AS (SELECT a.fact_id AS a, b.fact_id AS b FROM r a JOIN r b ON a.subject = b.subject WHERE a.fact_id < b.fact_id AND a.predicate <> b.predicate AND list_cosine_similarity(a.vec, b.vec) >= 0.85 UNION SELECT a.fact_id, b.fact_id FROM r a JOIN r b ON a.object = b.object WHERE a.fact_id < b.fact_id AND a.predicate <> b.predicate AND list_cosine_similarity(a.vec, b.vec) >= 0.85) SELECT a, count(*) AS n FROM p GROUP BY a",
+    lambda k: G.semantic_conflicts(k.fact, k.sql(EVIDENCE_VECTORS).select("fact_id", "vec"), 0.85).groupBy("a").agg(F.count("*").alias("n")),
+    f"WITH v AS ({EVIDENCE_VECTORS}), r AS (SELECT f.fact_id, f.subject, f.predicate, f.object, v.vec::DOUBLE[] AS vec FROM {{v_fact}} f JOIN v ON v.fact_id = f.fact_id WHERE list_sum(list_transform(v.vec, lambda x: abs(x))) > 0), p AS (SELECT a.fact_id AS a, b.fact_id AS b FROM r a JOIN r b ON a.subject = b.subject WHERE a.fact_id < b.fact_id AND a.predicate <> b.predicate AND list_cosine_similarity(a.vec, b.vec) >= 0.85 UNION SELECT a.fact_id, b.fact_id FROM r a JOIN r b ON a.object = b.object WHERE a.fact_id < b.fact_id AND a.predicate <> b.predicate AND list_cosine_similarity(a.vec, b.vec) >= 0.85) SELECT a, count(*) AS n FROM p GROUP BY a",
 )
-add("conflict_semantic_all", lambda k: G.semantic_conflicts(k.fact, k.sql(EVIDENCE_VECTORS).select("fact_id", "vec"), 0.85).groupBy("a").agg(F.count("*").alias("n")))
 shared("conflict_exact", "SELECT subject, predicate, count(DISTINCT object) AS n_objects FROM {v_fact} WHERE lifecycle_state = 'active' GROUP BY subject, predicate HAVING count(DISTINCT object) > 1")
-_CV = "SELECT c.candidate_id, v.content_vec AS vec FROM {v_candidate} c JOIN {v_segment_vec} v ON v.segment_id = c.candidate_id * 1000 + 1 WHERE v.content_vec IS NOT NULL"
-_NV = "SELECT concat('N.', cast(segment_id AS string)) AS node_id, content_vec AS vec FROM {v_segment_vec} WHERE content_vec IS NOT NULL AND segment_id % 1000 = 2"
+# candidates have the mean of the vectors of the documents they were seen in, nodes of the segments tagged with them
+_SEEN = "SELECT DISTINCT c.candidate_id, v.segment_id, v.content_vec AS vec FROM (SELECT candidate_id, explode(seen_source_doc_ids) AS doc_id FROM {v_candidate}) c JOIN {v_segment} s ON s.source_doc_id = c.doc_id JOIN {v_segment_vec} v ON v.segment_id = s.segment_id WHERE v.content_vec IS NOT NULL"
+_TAGGED = "SELECT DISTINCT g.ontology_node_id AS node_id, v.segment_id, v.content_vec AS vec FROM {v_segment_tag} g JOIN {v_segment_vec} v ON v.segment_id = g.segment_id WHERE v.content_vec IS NOT NULL"
+_mean = lambda rows, key: f"SELECT {key}, list(x ORDER BY place) AS vec FROM (SELECT {key}, place, avg(x) AS x FROM (SELECT {key}, unnest(vec)::DOUBLE AS x, generate_subscripts(vec, 1) AS place FROM ({rows}) r) u GROUP BY 1, 2) m GROUP BY 1"
+_CV, _NV = _mean(_SEEN.replace("explode(", "unnest("), "candidate_id"), _mean(_TAGGED, "node_id")
+_VARIANTS = f"WITH c AS ({_CV}), n AS ({_NV}), s AS (SELECT c.candidate_id, n.node_id, list_cosine_similarity(c.vec, n.vec) AS s FROM c, n WHERE list_sum(list_transform(c.vec, lambda x: abs(x))) > 0 AND list_sum(list_transform(n.vec, lambda x: abs(x))) > 0"
 add(
     "maint_variant_detect",
-    lambda k: G.variants(k.sql(_CV), k.sql(_NV), 0.3).select("candidate_id", "node_id"),
-    f"WITH c AS ({_CV}), n AS ({_NV}), s AS (SELECT c.candidate_id, n.node_id, list_cosine_similarity(c.vec::DOUBLE[], n.vec::DOUBLE[]) AS s FROM c, n), r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY s DESC, node_id) AS k FROM s WHERE s IS NOT NULL AND NOT isnan(s)) SELECT candidate_id, node_id FROM r WHERE k = 1 AND s >= 0.3",
+    lambda k: G.variants(mean_vector(k.sql(_SEEN), "candidate_id").join(k.candidate.where("candidate_type = 'concept' and review_status <> 'accepted'").select("candidate_id"), "candidate_id", "left_semi"), mean_vector(k.sql(_TAGGED), "node_id").join(k.node.where("layer = 'concept'").select("node_id"), "node_id", "left_semi")).select("candidate_id", "node_id"),
+    _VARIANTS + " AND c.candidate_id IN (SELECT candidate_id FROM {v_candidate} WHERE candidate_type = 'concept' AND review_status <> 'accepted') AND n.node_id IN (SELECT node_id FROM {v_node} WHERE layer = 'concept')), r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY s DESC, node_id) AS k FROM s) SELECT candidate_id, node_id FROM r WHERE k = 1 AND s >= 0.9",
 )
-# all candidates by the segments of the documents they were seen in, all nodes by the segments tagged with them
-_SEEN = "SELECT DISTINCT c.candidate_id, v.segment_id, v.content_vec AS vec FROM (SELECT candidate_id, explode(seen_source_doc_ids) AS doc_id FROM {v_candidate}) c JOIN {v_segment} s ON s.source_doc_id = c.doc_id JOIN {v_segment_vec} v ON v.segment_id = s.segment_id WHERE v.content_vec IS NOT NULL"
-_TAGGED = "SELECT DISTINCT g.ontology_node_id AS node_id, v.segment_id, v.content_vec AS vec FROM {v_segment_tag} g JOIN {v_segment_vec} v ON v.segment_id = g.segment_id WHERE v.content_vec IS NOT NULL"
-add("maint_variant_detect_all", lambda k: G.variants(mean_vector(k.sql(_SEEN), "candidate_id"), mean_vector(k.sql(_TAGGED), "node_id"), 0.3).select("candidate_id", "node_id"))
 _LINKS = "SELECT DISTINCT x.candidate_id AS a, y.candidate_id AS b FROM {v_candidate} x JOIN {v_candidate} y ON lower(trim(x.normalized_form)) = lower(trim(y.normalized_form)) AND x.candidate_id < y.candidate_id"
 add(
     "maint_cluster_merge",
@@ -45,8 +43,8 @@ add(
 add("maint_cleanup", lambda k: G.stale_candidates(k.candidate, F.lit(AS_OF).cast("date")).select("candidate_id"), f"SELECT candidate_id FROM {{v_candidate}} WHERE coalesce(source_count, 0) <= 1 AND date_diff('day', cast(last_seen_at AS date), date '{AS_OF}') > 30")
 add(
     "maint_too_generic",
-    lambda k: G.too_generic(k.alias.where("length(surface_form) > 3"), k.segment, 0.001),
-    "WITH a AS (SELECT DISTINCT folded FROM {v_alias} WHERE length(surface_form) > 3), s AS (SELECT segment_id, lower(text) AS t FROM {v_segment} WHERE lifecycle_state = 'active') SELECT folded AS form, count(*) AS n_segments FROM a JOIN s ON contains(s.t, a.folded) GROUP BY 1 HAVING count(*) > 0.001 * (SELECT count(*) FROM s)",
+    lambda k: G.too_generic(k.alias.where("length(surface_form) > 3"), k.segment),
+    "WITH a AS (SELECT DISTINCT folded FROM {v_alias} WHERE length(surface_form) > 3), s AS (SELECT segment_id, lower(text) AS t FROM {v_segment} WHERE lifecycle_state = 'active') SELECT folded AS form, count(*) AS n_segments FROM a JOIN s ON contains(s.t, a.folded) GROUP BY 1 HAVING count(*) > 0.05 * (SELECT count(*) FROM s)",
 )
 add("review_list", lambda k: G.review_list(k.candidate, "pending_review").select("candidate_id", "composite_score"), "SELECT candidate_id, composite_score FROM {v_candidate} WHERE review_status = 'pending_review' ORDER BY composite_score DESC NULLS LAST, candidate_id LIMIT 50")
 _GROUPS = "SELECT cast(floor(segment_id / 1000) AS bigint) AS group_id, segment_id AS id, content_vec AS vec FROM {v_segment_vec} WHERE content_vec IS NOT NULL"
@@ -64,19 +62,19 @@ add("migrate_normalized", lambda k: G.migrate_normalized(k.candidate))
 _FORMS = "SELECT DISTINCT surface_form AS form, canonical_node_id AS node_id FROM {v_alias} WHERE length(surface_form) > 3"
 add(
     "backfill",
-    lambda k: G.backfill(k.segment, k.segment_tag, k.sql(_FORMS), 20).select("segment_id", "node_id"),
-    f"WITH f AS ({_FORMS}), h AS (SELECT DISTINCT s.segment_id, f.node_id FROM {{v_segment}} s JOIN f ON contains(lower(s.text), lower(f.form)) WHERE s.lifecycle_state = 'active'), n AS (SELECT h.*, row_number() OVER (PARTITION BY node_id ORDER BY segment_id) AS n FROM h WHERE NOT EXISTS (SELECT 1 FROM {{v_segment_tag}} g WHERE g.segment_id = h.segment_id AND g.ontology_node_id = h.node_id)) SELECT segment_id, node_id FROM n WHERE n <= 20",
+    lambda k: G.backfill_terms(k.segment, k.segment_tag, k.sql(_FORMS)).select("segment_id", "node_id"),
+    f"WITH f AS (SELECT DISTINCT lower(form) AS term, node_id FROM ({_FORMS}) x), h AS (SELECT DISTINCT s.segment_id, f.term, f.node_id FROM {{v_segment}} s JOIN f ON contains(lower(s.text), f.term) WHERE s.lifecycle_state = 'active'), n AS (SELECT h.*, row_number() OVER (PARTITION BY node_id, term ORDER BY segment_id) AS n FROM h WHERE NOT EXISTS (SELECT 1 FROM {{v_segment_tag}} g WHERE g.segment_id = h.segment_id AND g.ontology_node_id = h.node_id)) SELECT DISTINCT segment_id, node_id FROM n WHERE n <= 500",
 )
-# with the reference's number, a term; the SQL above has another, a node
-add("backfill_all", lambda k: G.backfill_terms(k.segment, k.segment_tag, k.sql(_FORMS)).select("segment_id", "node_id"))
 _BROKEN = "SELECT CASE WHEN node_id LIKE '%LABEL%' THEN concat(node_id, 'X') ELSE node_id END AS node_id, CASE WHEN node_id LIKE '%FLOW%' THEN '' ELSE canonical_name END AS canonical_name, CASE WHEN node_id LIKE '%CACHE%' THEN 'other' ELSE layer END AS layer, lifecycle_state, parent_id FROM {v_node}"
 add(
     "ontology_validate",
     lambda k: G.validate_ontology(k.sql(_BROKEN)),
     f"WITH n AS ({_BROKEN}) SELECT node_id, 'no canonical_name' AS problem FROM n WHERE trim(canonical_name, ' ') = '' UNION ALL SELECT node_id, 'unknown layer' FROM n WHERE layer = 'other' UNION ALL SELECT node_id, 'unknown parent' FROM n WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT node_id FROM n) UNION ALL SELECT node_id, 'double id' FROM n GROUP BY node_id HAVING count(*) > 1",
 )
-_UP = "SELECT task_id, status, retry_count FROM {v_task} WHERE task_id % 3 = "
-add("upsert", lambda k: G.upsert(k.sql(_UP + "0"), k.sql("SELECT task_id, CASE WHEN task_id % 2 = 0 THEN 'done' END AS status, retry_count FROM {v_task} WHERE task_id % 6 < 2"), "task_id"), "SELECT task_id, CASE WHEN task_id % 6 < 2 AND task_id % 2 = 0 THEN 'done' WHEN task_id % 3 = 0 THEN status END AS status, retry_count FROM {v_task} WHERE task_id % 3 = 0 OR task_id % 6 < 2")
+# tasks that were fetched are done after ingestion, and each document without a task gets one
+_TASKS = "SELECT DISTINCT task_id, status, retry_count FROM {v_task}"
+_DONE = "SELECT DISTINCT task_id, 'done' AS status, cast(NULL AS smallint) AS retry_count FROM {v_task} WHERE status = 'fetched' UNION ALL SELECT -1 - doc_id, 'done', cast(0 AS smallint) FROM {documents} WHERE crawl_task_id IS NULL OR crawl_task_id NOT IN (SELECT task_id FROM {v_task})"
+add("upsert", lambda k: G.upsert(k.sql(_TASKS), k.sql(_DONE), "task_id"), f"SELECT coalesce(n.task_id, o.task_id) AS task_id, coalesce(n.status, o.status) AS status, coalesce(n.retry_count, o.retry_count) AS retry_count FROM ({_TASKS}) o FULL JOIN ({_DONE}) n ON n.task_id = o.task_id")
 
 # ---- quality report
 add(

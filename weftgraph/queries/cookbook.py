@@ -39,7 +39,7 @@ q("cb_candidates_top", "SELECT candidate_id, normalized_form, source_count, comp
 q("cb_candidates_by_status", "SELECT review_status, count(*) AS n, round(avg(composite_score), 6) AS avg_score FROM {v_candidate} GROUP BY review_status")
 q("cb_candidates_ready", "SELECT candidate_id, composite_score FROM {v_candidate} WHERE composite_score >= 0.65")
 q("cb_versions", "SELECT ontology_version, count(DISTINCT tag_id) AS tags, min(created_at) AS first_at, max(created_at) AS last_at FROM {segment_tags} GROUP BY ontology_version")
-q("cb_implemented_nodes", "SELECT n.node_id FROM {v_node} n WHERE n.layer = 'concept' AND EXISTS (SELECT 1 FROM {v_edge} e WHERE e.src = n.node_id AND e.rel_type = 'EXPLAINS') AND EXISTS (SELECT 1 FROM {v_edge} e JOIN {v_edge} f ON f.src = e.dst AND f.rel_type = 'IMPLEMENTED_BY' WHERE e.src = n.node_id)")
+q("cb_implemented_nodes", "SELECT n.node_id FROM {v_node} n WHERE n.layer = 'concept' AND n.node_id IN (SELECT e.src FROM {v_edge} e WHERE e.rel_type = 'EXPLAINS') AND n.node_id IN (SELECT e.src FROM {v_edge} e WHERE e.dst IN (SELECT f.src FROM {v_edge} f WHERE f.rel_type = 'IMPLEMENTED_BY'))")
 q("cb_isolated_by_relation", "SELECT n.node_id, n.layer FROM {v_node} n WHERE NOT EXISTS (SELECT 1 FROM {v_edge} e WHERE e.src = n.node_id AND e.rel_type IN ('DEPENDS_ON', 'REQUIRES', 'SUBCLASS_OF')) AND NOT EXISTS (SELECT 1 FROM {v_edge} e WHERE e.dst = n.node_id AND e.rel_type IN ('DEPENDS_ON', 'REQUIRES', 'SUBCLASS_OF'))")
 q("cb_layer_pair_edges", "SELECT a.layer AS layer_a, e.rel_type, b.layer AS layer_b, count(*) AS n FROM {v_edge} e JOIN {v_node} a ON a.node_id = e.src JOIN {v_node} b ON b.node_id = e.dst GROUP BY 1, 2, 3")
 q("cb_five_layer_paths", "SELECT a.src AS concept, a.dst AS mechanism, b.dst AS method, c.dst AS cond, d.src AS scenario FROM {v_edge} a JOIN {v_edge} b ON b.src = a.dst AND b.rel_type = 'IMPLEMENTED_BY' JOIN {v_edge} c ON c.src = b.dst AND c.rel_type = 'APPLIES_TO' JOIN {v_edge} d ON d.dst = b.dst AND d.rel_type = 'COMPOSED_OF' WHERE a.rel_type = 'EXPLAINS' ORDER BY 1, 2, 3, 4, 5 LIMIT 100")

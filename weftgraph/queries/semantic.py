@@ -90,10 +90,10 @@ add(
     lambda k: S.conflict_detect(k.fact, conflicts(k), "METHOD.1", 0.6).select("fact_id_a", "fact_id_b", "object_a", "object_b", "confidence_a", "confidence_b"),
     "SELECT a.fact_id AS fact_id_a, b.fact_id AS fact_id_b, a.object AS object_a, b.object AS object_b, a.confidence AS confidence_a, b.confidence AS confidence_b FROM {v_fact} a JOIN {v_fact} b ON a.subject = b.subject AND a.predicate = b.predicate AND a.object <> b.object AND a.fact_id < b.fact_id WHERE a.predicate = 'depends_on' AND a.subject = 'METHOD.1' AND a.confidence >= 0.6",
 )
-_CLUSTERS = "SELECT concat_ws('|', subject, predicate, object) AS cluster_id, fact_id, confidence FROM {v_fact} WHERE subject = 'METHOD.4'"
+_CLUSTERS = "SELECT concat_ws('|', subject, predicate, object) AS cluster_id, fact_id, confidence FROM {v_fact}"
 add(
     "fact_merge",
-    lambda k: S.fact_merge(k.fact.where("subject = 'METHOD.4'"), k.evidence, k.sql(_CLUSTERS).select("cluster_id", "fact_id"))[0].select("fact_id", "lifecycle_state", "merge_cluster_id"),
+    lambda k: S.fact_merge(k.fact, k.evidence, k.sql(_CLUSTERS).select("cluster_id", "fact_id"))[0].select("fact_id", "lifecycle_state", "merge_cluster_id"),
     f"WITH c AS ({_CLUSTERS}), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, fact_id) AS n FROM c) SELECT f.fact_id, CASE WHEN r.n > 1 THEN 'superseded' ELSE f.lifecycle_state END AS lifecycle_state, r.cluster_id AS merge_cluster_id FROM {{v_fact}} f JOIN r ON r.fact_id = f.fact_id",
 )
 add(
@@ -101,10 +101,6 @@ add(
     lambda k: S.fact_merge(k.fact, k.evidence, k.sql(_CLUSTERS).select("cluster_id", "fact_id"))[1].groupBy("fact_id").agg(F.count("*").alias("n")),
     f"WITH c AS ({_CLUSTERS}), r AS (SELECT fact_id, first_value(fact_id) OVER (PARTITION BY cluster_id ORDER BY confidence DESC, fact_id) AS head FROM c) SELECT coalesce(r.head, e.fact_id) AS fact_id, count(*) AS n FROM {{v_evidence}} e LEFT JOIN r ON r.fact_id = e.fact_id GROUP BY 1",
 )
-# the same over all facts; the SQL above covers one subject
-_ALL_CLUSTERS = "SELECT concat_ws('|', subject, predicate, object) AS cluster_id, fact_id FROM {v_fact}"
-add("fact_merge_all", lambda k: S.fact_merge(k.fact, k.evidence, k.sql(_ALL_CLUSTERS))[0].select("fact_id", "lifecycle_state", "merge_cluster_id"))
-add("fact_merge_evidence_all", lambda k: S.fact_merge(k.fact, k.evidence, k.sql(_ALL_CLUSTERS))[1].groupBy("fact_id").agg(F.count("*").alias("n")))
 AS_OF = "2024-06-30"
 add(
     "candidate_discover",
@@ -249,12 +245,10 @@ add(
     lambda k: graph.components(k.edge.where("rel_type = 'REQUIRES'").select("src", "dst")).groupBy("component").agg(F.count("*").alias("n")),
     "WITH RECURSIVE e AS (SELECT src, dst FROM {v_edge} WHERE rel_type = 'REQUIRES' UNION ALL SELECT dst, src FROM {v_edge} WHERE rel_type = 'REQUIRES'), r AS (SELECT DISTINCT src AS n, src AS c FROM e UNION SELECT e.dst, r.c FROM r JOIN e ON e.src = r.n), m AS (SELECT n, min(c) AS component FROM r GROUP BY n) SELECT component, count(*) AS n FROM m GROUP BY component",
 )
-_LOOP = "(SELECT src, dst FROM {v_edge} WHERE rel_type IN ('DEPENDS_ON', 'CAUSES') AND src IN (SELECT concat('MECH.', p_partkey) FROM {part} WHERE p_size <= 8))"
+_LOOP = "(SELECT src, dst FROM {v_edge} WHERE rel_type IN ('DEPENDS_ON', 'CAUSES'))"
 add(
     "graph_cycles",
-    lambda k: graph.cycles(k.sql(f"SELECT src, 'DEPENDS_ON' AS rel_type, dst FROM {_LOOP} x"), "DEPENDS_ON", 4).groupBy("length").agg(F.count("*").alias("n")),
-    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_LOOP} x WHERE src <> dst), p AS (SELECT src AS root, dst AS at, [src, dst] AS ids FROM e WHERE src < dst UNION ALL SELECT p.root, e.dst, list_append(p.ids, e.dst) FROM p JOIN e ON e.src = p.at WHERE len(p.ids) < 4 AND e.dst > p.root AND NOT list_contains(p.ids, e.dst))
+    lambda k: graph.cycles(k.sql(f"SELECT src, 'DEPENDS_ON' AS rel_type, dst FROM {_LOOP} x"), "DEPENDS_ON", 5).groupBy("length").agg(F.count("*").alias("n")),
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_LOOP} x WHERE src <> dst), p AS (SELECT src AS root, dst AS at, [src, dst] AS ids FROM e WHERE src < dst UNION ALL SELECT p.root, e.dst, list_append(p.ids, e.dst) FROM p JOIN e ON e.src = p.at WHERE len(p.ids) < 5 AND e.dst > p.root AND NOT list_contains(p.ids, e.dst))
         SELECT cast(len(p.ids) AS int) AS length, count(*) AS n FROM p JOIN e ON e.src = p.at AND e.dst = p.root GROUP BY 1""",
 )
-# all edges of the relation and cycles of up to 5 edges; the SQL above covers a part of the edges, and of up to 4
-add("graph_cycles_all", lambda k: graph.cycles(k.sql("SELECT src, 'DEPENDS_ON' AS rel_type, dst FROM {v_edge} WHERE rel_type IN ('DEPENDS_ON', 'CAUSES')"), "DEPENDS_ON", 5).groupBy("length").agg(F.count("*").alias("n")))

@@ -116,9 +116,16 @@ add(
 )
 add("align_best_per_node", lambda k: align.best_per_node(k.segment_tag.withColumnRenamed("ontology_node_id", "node_id")), "SELECT segment_id, ontology_node_id AS node_id, max(confidence) AS confidence FROM {v_segment_tag} GROUP BY 1, 2")
 _NODEVEC = "SELECT ontology_node_id AS node_id, content_vec AS vec FROM (SELECT g.ontology_node_id, v.content_vec, row_number() OVER (PARTITION BY g.ontology_node_id ORDER BY v.segment_id) AS n FROM {v_segment_tag} g JOIN {v_segment_vec} v ON v.segment_id = g.segment_id WHERE v.content_vec IS NOT NULL) x WHERE n = 1"
+# segments without a canonical tag, against the layers below concepts as the pipeline does
+_LAYERED = f"SELECT v.node_id, v.vec, n.layer FROM ({_NODEVEC}) v JOIN {{v_node}} n ON n.node_id = v.node_id"
+_BELOW = ("mechanism", "method", "condition", "scenario")
+_ENTRIES = "list_sum(list_transform({0}, lambda x: abs(x))) > 0"
+_TOP15 = f"""WITH n AS ({_LAYERED}), s AS (SELECT v.segment_id, n.node_id, n.layer, list_cosine_similarity(v.content_vec::DOUBLE[], n.vec::DOUBLE[]) AS s FROM {{v_segment_vec}} v, n WHERE v.content_vec IS NOT NULL AND {_ENTRIES.replace("{0}", "v.content_vec")} AND {_ENTRIES.replace("{0}", "n.vec")}),
+        r AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY s DESC, node_id) AS k FROM s)"""
 add(
     "align_embedding_match",
-    lambda k: align.embedding_match(k.segment_vec.select("segment_id", F.col("content_vec").alias("vec")), k.sql(_NODEVEC), least=0.4).select("segment_id", F.round("similarity", 5).alias("similarity")).distinct(),
+    lambda k: align.embedding_match(k.segment_vec.select("segment_id", F.col("content_vec").alias("vec")), k.sql(_LAYERED), layers=_BELOW).select("segment_id", "node_id", "confidence"),
+    _TOP15 + f", m AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY k) AS m FROM r WHERE k <= 15 AND s >= 0.6 AND layer IN {_BELOW}) SELECT segment_id, node_id, least(0.8, round(cast(0.55 AS double) + (s - 0.6) * 1.8, 2)) AS confidence FROM m WHERE m <= 5",
 )
 _MATCHES = "SELECT tag_id, segment_id, ontology_node_id AS node_id, CASE WHEN tag_id % 2 = 0 THEN 'kisg' ELSE 'session guard' END AS form FROM {v_segment_tag}"
 add(
@@ -140,10 +147,12 @@ add(
         n AS (SELECT s, o, round(least(1.0, {_WEIGHT} + CASE WHEN nuc THEN cast(0.05 AS double) ELSE 0 END), 4) AS weight FROM e WHERE s IN (SELECT segment_id FROM w) AND o NOT IN (SELECT segment_id FROM w))
         SELECT n.s AS segment_id, t.ontology_node_id, max(round(t.confidence * n.weight + 1e-9, 3)) AS confidence FROM n JOIN {_CANON} t ON t.segment_id = n.o WHERE n.weight >= 0.5 AND round(t.confidence * n.weight + 1e-9, 3) >= 0.5 GROUP BY 1, 2""",
 )
-_OLD = "SELECT normalized_form, surface_forms, seen_source_doc_ids AS doc_ids, first_seen_at, last_seen_at FROM {v_candidate} WHERE candidate_id % 2 = "
+# the pool as it was at a time, and what was first seen after it
+_POOL = "SELECT normalized_form, surface_forms, seen_source_doc_ids AS doc_ids, first_seen_at, last_seen_at FROM {v_candidate} WHERE coalesce(first_seen_at, timestamp '2024-01-01 00:00:00') "
+_OLD, _NEW = _POOL + "< timestamp '2024-03-01 00:00:00'", _POOL + ">= timestamp '2024-03-01 00:00:00'"
 add(
     "align_candidates",
-    lambda k: align.pool_candidates(k.sql(_OLD + "0"), k.sql(_OLD + "1")).select("normalized_form", F.array_join("surface_forms", "|").alias("forms"), "source_count", "first_seen_at", "last_seen_at"),
+    lambda k: align.pool_candidates(k.sql(_OLD), k.sql(_NEW)).select("normalized_form", F.array_join("surface_forms", "|").alias("forms"), "source_count", "first_seen_at", "last_seen_at"),
     """WITH r AS (SELECT normalized_form, surface_forms, seen_source_doc_ids AS d, first_seen_at, last_seen_at FROM {v_candidate} WHERE trim(normalized_form, ' ') <> '')
        SELECT normalized_form, array_to_string(list_sort(list_distinct(flatten(list(coalesce(surface_forms, []))))), '|') AS forms, cast(len(list_distinct(flatten(list(coalesce(d, []))))) AS int) AS source_count, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at FROM r GROUP BY normalized_form""",
 )
@@ -168,7 +177,19 @@ add(
 )
 _IN = lambda: [F.lit(0.8), F.lit(0.6666), F.lit(0.5), F.col("composite_score"), F.lit(0.3)]
 add("evolve_composite", lambda k: k.candidate.where("composite_score is not null").select("candidate_id", evolve.composite(*_IN()).alias("c")), "SELECT candidate_id, round(greatest(0.0, least(1.0, cast(0.25 AS double) * 0.8 + cast(0.2 AS double) * 0.6666 + cast(0.2 AS double) * 0.5 + cast(0.2 AS double) * composite_score + cast(0.1 AS double) * 0.5 - cast(0.05 AS double) * 0.3)) + 1e-9, 4) AS c FROM {v_candidate} WHERE composite_score IS NOT NULL")
-add("evolve_gate_promote", lambda k: evolve.scored(k.candidate.where("surface_forms is not null"), k.document, k.sql(_NAMES), k.alias, F.lit(AS_OF).cast("date")).select("candidate_id", "composite", "reasons", "decision"))
+_ONE = "SELECT DISTINCT candidate_id, surface_forms, source_count, first_seen_at, review_status, seen_source_doc_ids FROM {v_candidate} WHERE surface_forms IS NOT NULL"
+_GATED = f"""WITH k AS ({_ONE}), sc AS (SELECT c.candidate_id, round(least(1.0, count(DISTINCT x.site_key) / 3), 4) AS d, max(CASE x.source_rank WHEN 'S' THEN cast(1.0 AS double) WHEN 'A' THEN 0.8 WHEN 'B' THEN 0.6 ELSE 0.4 END) AS a FROM (SELECT candidate_id, unnest(seen_source_doc_ids) AS doc FROM k) c JOIN {{v_document}} x ON x.source_doc_id = c.doc GROUP BY 1),
+    w AS (SELECT DISTINCT candidate_id, unnest(regexp_split_to_array(lower(f), '\\s+')) AS token FROM (SELECT candidate_id, unnest(surface_forms) AS f FROM k) x), ww AS (SELECT * FROM w WHERE token <> ''), wn AS (SELECT candidate_id, count(*) AS n FROM ww GROUP BY 1),
+    p AS (SELECT DISTINCT node_id, unnest(regexp_split_to_array(lower(canonical_name), '\\s+')) AS token FROM {{ontology_nodes}}), pn AS (SELECT node_id, count(*) AS m FROM p GROUP BY 1), b AS (SELECT ww.candidate_id, p.node_id, count(*) AS c FROM ww JOIN p ON p.token = ww.token GROUP BY 1, 2),
+    fit AS (SELECT * FROM (SELECT b.candidate_id, b.node_id, round(c / (n + m - c), 4) AS score, row_number() OVER (PARTITION BY b.candidate_id ORDER BY round(c / (n + m - c), 4) DESC, b.node_id) AS r FROM b JOIN wn ON wn.candidate_id = b.candidate_id JOIN pn ON pn.node_id = b.node_id) x WHERE r = 1),
+    f AS (SELECT DISTINCT candidate_id, lower(form) AS form FROM (SELECT candidate_id, unnest(surface_forms) AS form FROM k) x WHERE form <> ''), al AS (SELECT DISTINCT folded AS alias FROM {{v_alias}} WHERE folded <> ''),
+    risk AS (SELECT f.candidate_id, round(max(least(length(f.form), length(al.alias)) / greatest(length(f.form), length(al.alias))), 4) AS r FROM f JOIN al ON contains(f.form, al.alias) OR contains(al.alias, f.form) GROUP BY 1),
+    j AS (SELECT k.candidate_id, k.source_count, k.review_status, coalesce(sc.d, 0.0) AS d, coalesce(sc.a, 0.4) AS a, round(greatest(0.0, least(1.0, coalesce(date_diff('day', cast(k.first_seen_at AS date), date '{AS_OF}'), 0) / 14)), 4) AS t, coalesce(date_diff('day', cast(k.first_seen_at AS date), date '{AS_OF}'), 0) AS days, coalesce(fit.score, 0.0) AS fit, fit.node_id AS parent_id, coalesce(risk.r, 0.0) AS syn
+        FROM k LEFT JOIN sc ON sc.candidate_id = k.candidate_id LEFT JOIN fit ON fit.candidate_id = k.candidate_id LEFT JOIN risk ON risk.candidate_id = k.candidate_id),
+    c AS (SELECT *, round(greatest(0.0, least(1.0, cast(0.25 AS double) * a + cast(0.2 AS double) * d + cast(0.2 AS double) * t + cast(0.2 AS double) * fit + cast(0.1 AS double) * 0.5 - cast(0.05 AS double) * syn)) + 1e-9, 4) AS composite FROM j),
+    g AS (SELECT *, concat_ws(',', CASE WHEN coalesce(source_count, 0) < 3 THEN 'source_count' END, CASE WHEN d < 0.6 THEN 'source_diversity' END, CASE WHEN t < 0.7 THEN 'temporal_stability' END, CASE WHEN fit < 0.65 THEN 'structural_fit' END, CASE WHEN composite < 0.65 THEN 'composite' END, CASE WHEN syn > 0.4 THEN 'synonym_risk' END) AS reasons FROM c)
+    SELECT candidate_id, composite, reasons, CASE WHEN reasons <> '' OR days < 7 THEN review_status WHEN composite >= 0.85 AND parent_id IS NOT NULL THEN 'auto_accepted' ELSE 'pending_review' END AS decision FROM g"""
+add("evolve_gate_promote", lambda k: evolve.scored(k.candidate.where("surface_forms is not null"), k.document, k.sql(_NAMES), k.alias, F.lit(AS_OF).cast("date")).select("candidate_id", "composite", "reasons", "decision"), _GATED)
 # ---- extract
 add(
     "extract_rst_derived",
@@ -215,15 +236,11 @@ _SITES = "SELECT segment_id, site_key AS source_doc_id, segment_index, simhash_v
 add("dedup_d2", lambda k: dedup.superseded_segments(k.sql(_SITES)),
     "WITH s AS (SELECT *, list_distinct(list_concat(regexp_extract_all(text, '" + CJK + "'), list_transform(list_filter(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda w: length(w) > 1), lambda w: lower(w)))) AS w FROM (" + _SITES + ") x) SELECT DISTINCT b.segment_id FROM s a JOIN s b ON a.source_doc_id = b.source_doc_id AND (a.segment_index, a.segment_id) < (b.segment_index, b.segment_id) WHERE bit_count(xor(a.simhash, b.simhash)) <= 3 AND CASE WHEN len(a.w) = 0 AND len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END >= 0.85")
 add("dedup_spo_merge", lambda k: dedup.merge_same_triples(k.fact).select("fact_id", "merge_cluster_id", "lifecycle_state"), "SELECT fact_id, first_value(fact_id) OVER w AS merge_cluster_id, CASE WHEN row_number() OVER w > 1 THEN 'superseded' ELSE lifecycle_state END AS lifecycle_state FROM {v_fact} WINDOW w AS (PARTITION BY subject, predicate, object ORDER BY confidence DESC NULLS LAST, fact_id)")
-_FV = "SELECT f.fact_id, v.content_vec AS vec FROM {v_fact} f JOIN {v_segment_vec} v ON v.segment_id = (f.l_orderkey % 40) * 1000 + 1"
-add("dedup_d3b", lambda k: dedup.semantic_duplicates(k.fact, k.sql(_FV), 0.5),
-    f"WITH v AS ({_FV}), r AS (SELECT f.fact_id, f.subject, f.object, f.confidence, v.vec FROM {{v_fact}} f JOIN v ON v.fact_id = f.fact_id WHERE v.vec IS NOT NULL) SELECT DISTINCT b.fact_id FROM r a JOIN r b ON a.subject = b.subject AND a.object = b.object WHERE (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.fact_id < b.fact_id)) AND list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) >= 0.5")
-add("conflicts_functional", lambda k: dedup.functional_conflicts(k.fact.where("subject < 'METHOD.2'"), ["depends_on"]), "SELECT a.fact_id AS fact_id_a, b.fact_id AS fact_id_b, CASE WHEN contains(lower(a.object), lower(b.object)) OR contains(lower(b.object), lower(a.object)) THEN 'merge' ELSE 'conflict' END AS outcome FROM {v_fact} a JOIN {v_fact} b ON a.subject = b.subject AND a.predicate = b.predicate AND a.fact_id < b.fact_id AND a.object <> b.object WHERE a.predicate = 'depends_on' AND a.lifecycle_state = 'active' AND b.lifecycle_state = 'active' AND a.subject < 'METHOD.2'")
-# the same over all facts, with the vectors of a fact's pieces of evidence; the SQL above covers a part of the facts
+# a fact has the vectors of the segments its evidence names
 EVIDENCE_VECTORS = "SELECT DISTINCT e.fact_id, e.segment_id, v.content_vec AS vec FROM {v_evidence} e JOIN {v_segment_vec} v ON v.segment_id = e.segment_id WHERE v.content_vec IS NOT NULL"
-add("dedup_d3b_all", lambda k: dedup.semantic_duplicates(k.fact, k.sql(EVIDENCE_VECTORS), 0.5),
-    f"WITH v AS ({EVIDENCE_VECTORS}), r AS (SELECT f.fact_id, f.subject, f.object, f.confidence, v.vec FROM {{v_fact}} f JOIN v ON v.fact_id = f.fact_id WHERE list_sum(list_transform(v.vec, lambda x: abs(x))) > 0) SELECT DISTINCT b.fact_id FROM r a JOIN r b ON a.subject = b.subject AND a.object = b.object WHERE (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.fact_id < b.fact_id)) AND list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) >= 0.5")
-add("conflicts_functional_all", lambda k: dedup.functional_conflicts(k.fact, ["depends_on"]))
+add("dedup_d3b", lambda k: dedup.semantic_duplicates(k.fact, k.sql(EVIDENCE_VECTORS)),
+    f"WITH v AS ({EVIDENCE_VECTORS}), r AS (SELECT f.fact_id, f.subject, f.object, f.confidence, v.vec FROM {{v_fact}} f JOIN v ON v.fact_id = f.fact_id WHERE list_sum(list_transform(v.vec, lambda x: abs(x))) > 0) SELECT DISTINCT b.fact_id FROM r a JOIN r b ON a.subject = b.subject AND a.object = b.object WHERE (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.fact_id < b.fact_id)) AND list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) >= {model.DEDUP_SEMANTIC}")
+add("conflicts_functional", lambda k: dedup.functional_conflicts(k.fact, ["depends_on"]), "SELECT a.fact_id AS fact_id_a, b.fact_id AS fact_id_b, CASE WHEN contains(lower(a.object), lower(b.object)) OR contains(lower(b.object), lower(a.object)) THEN 'merge' ELSE 'conflict' END AS outcome FROM {v_fact} a JOIN {v_fact} b ON a.subject = b.subject AND a.predicate = b.predicate AND a.fact_id < b.fact_id AND a.object <> b.object WHERE a.predicate = 'depends_on' AND a.lifecycle_state = 'active' AND b.lifecycle_state = 'active'")
 add("conflicted_facts", lambda k: dedup.conflicted_facts(k.fact, ["depends_on", "impacts"]), "WITH f AS (SELECT * FROM {v_fact} WHERE lifecycle_state = 'active' AND predicate IN ('depends_on', 'impacts')) SELECT fact_id FROM f WHERE (subject, predicate) IN (SELECT subject, predicate FROM f GROUP BY 1, 2 HAVING count(DISTINCT object) > 1)")
 # ---- index
 add("index_gates", lambda k: index.gated(k.segment).select("segment_id"), "SELECT segment_id FROM {v_segment} WHERE lifecycle_state = 'active' AND confidence >= 0.5")
