@@ -27,12 +27,15 @@ def superseded_segments(segments: DataFrame) -> DataFrame:
 
 
 def merge_same_triples(facts: DataFrame) -> DataFrame:
-    """facts with merge_cluster_id and lifecycle_state: of equal (subject, predicate, object) the most confident stays."""
-    keys = ["subject", "predicate", "object"]
+    """facts with merge_cluster_id and lifecycle_state: of equal (subject, predicate, object) the most confident stays.
+
+    Two hashes stand for the triple, so that what is sorted, shuffled and joined are two numbers; the heads are partial
+    minima joined back, hence a triple with very many facts is no task of its own."""
+    triple = [F.xxhash64("subject", "predicate", "object").alias("_h"), F.xxhash64(F.lit(7), "object", "subject", "predicate").alias("_g")]
     best = F.min(F.struct(F.col("confidence").isNull().alias("none"), (-F.col("confidence")).alias("c"), "fact_id"))
-    heads = facts.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.fact_id").alias("merge_cluster_id"))
+    heads = facts.select(*triple, "confidence", "fact_id").groupBy("_h", "_g").agg(best.alias("_b")).select("_h", "_g", F.col("_b.fact_id").alias("merge_cluster_id"))
     state = F.when(F.col("merge_cluster_id") != F.col("fact_id"), "superseded").otherwise(F.col("lifecycle_state"))
-    return facts.join(heads, keys).withColumn("lifecycle_state", state).select(*facts.columns, "merge_cluster_id")
+    return facts.select("*", *triple).join(heads, ["_h", "_g"]).withColumn("lifecycle_state", state).select(*facts.columns, "merge_cluster_id")
 
 
 def semantic_duplicates(facts: DataFrame, vectors: DataFrame, least: float = model.DEDUP_SEMANTIC) -> DataFrame:
