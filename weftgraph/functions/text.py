@@ -59,6 +59,20 @@ def truncate_words(text: Column, most: int) -> Column:
     return F.when(F.size(words(text)) <= most, text).otherwise(F.array_join(F.slice(words(text), 1, most), " "))
 
 
+def truncate(text: Column, most: int) -> Column:
+    """Words of the text, joined by blanks, as long as they make up at most ``most`` tokens: a word with ideographs counts
+    as many as it has of them, any other one. A text within the limit stays as it is."""
+
+    def cut(w: Column) -> Column:
+        size = lambda x: F.greatest(F.lit(1), F.regexp_count(x, F.lit(IDEOGRAPH)))
+        # sums only grow, so the words within the limit are the first ones
+        start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+        step = lambda acc, x: F.struct((acc["sum"] + size(x)).alias("sum"), (acc["n"] + (acc["sum"] + size(x) <= most).cast("int")).alias("n"))
+        return F.array_join(F.slice(w, F.lit(1), F.aggregate(w, start, step, lambda acc: acc["n"])), " ")
+
+    return F.when(token_count(text) <= most, text).otherwise(let(words(text), cut))
+
+
 def sliding_windows(text: Column, window: int = 512, overlap: int = 64) -> Column:
     """Windows of words; consecutive ones share ``overlap`` words and the last ends with the text."""
     step = window - overlap

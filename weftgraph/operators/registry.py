@@ -64,10 +64,29 @@ class OperatorRegistry:
         return outcome
 
 
+#: Bounds of parameters, checked before an operator runs.
+BOUNDS = {
+    "expand": {"depth": (1, 3), "min_confidence": (0.0, 1.0)},
+    "path_infer": {"max_hops": (1, 8), "min_confidence": (0.0, 1.0)},
+    "dependency_closure": {"max_depth": (1, 10)},
+    "impact_propagate": {"max_depth": (1, 6), "min_confidence": (0.0, 1.0)},
+}
+
+
+def check_bounds(name: str, parameters: dict) -> None:
+    """Raises where a parameter lies outside of its bounds, or a limit, offset or number of rows is negative."""
+    for p, (low, high) in BOUNDS.get(name, {}).items():
+        if parameters.get(p) is not None and not low <= parameters[p] <= high:
+            raise ValueError(f"{name}: {p} must be within {low}..{high}")
+    for p in ("limit", "offset", "top_k", "n"):
+        if parameters.get(p) is not None and parameters[p] < 0:
+            raise ValueError(f"{name}: {p} must not be negative")
+
+
 def default_registry() -> OperatorRegistry:
-    """The named operators and the metrics of the drill-down."""
-    from weftgraph import drilldown
-    from weftgraph.operators import semantic
+    """The named operators, the inspections of graph and ontology, staleness, the quality report and the drill-down."""
+    from weftgraph import drilldown, quality
+    from weftgraph.operators import graph, semantic
 
     registry = OperatorRegistry()
     for name in (
@@ -75,5 +94,18 @@ def default_registry() -> OperatorRegistry:
         "filter_facts", "filter_segments", "filter_concepts", "semantic_search", "edu_search", "cross_layer_check", "reasoning_chain", "context_facts", "context_segments", "context_evidence",
     ):
         registry.register(name, getattr(semantic, name))
+    for name in ("isolated_nodes", "super_nodes", "degree_distribution", "predicate_concentration"):
+        registry.register(f"graph_inspect.{name}", getattr(semantic, name))
+    registry.register("graph_inspect.cycles", lambda k, relation="DEPENDS_ON", longest=5: graph.cycles(k.edge, relation, longest))
+    registry.register("graph_inspect.components", lambda k: graph.components(k.edge.select("src", "dst")))
+    for name in ("cross_layer_check", "inheritance_stats"):
+        registry.register(f"ontology_inspect.{name}", getattr(semantic, name))
+    registry.register("ontology_inspect.predicate_overlap", lambda k, least=0.3: quality.predicate_overlap(k.edge, least))
+    registry.register("ontology_inspect.similar_nodes", quality.similar_nodes)
+    for name in ("stale_facts", "stale_documents", "weak_evidence"):
+        registry.register(f"stale_knowledge.{name}", getattr(semantic, name))
+    registry.register("ontology_quality", quality.report)
+    registry.register("evolution_gate", lambda candidates, **columns: candidates.withColumn("reasons", semantic.gate_reasons(**columns)))
     registry.register("drilldown", drilldown.drilldown)
+    registry.use(Hooks(before=lambda name, parameters: check_bounds(name, parameters)))
     return registry

@@ -16,6 +16,7 @@ from weftgraph import model
 from weftgraph.functions.vectors import cosine
 from weftgraph.knowledge import Knowledge
 from weftgraph.operators import graph
+from weftgraph.sources import small_side
 
 
 def top(df: DataFrame, order: Sequence[Column | str], n: int, offset: int = 0) -> DataFrame:
@@ -101,7 +102,7 @@ def fuzzy_terms(k: Knowledge, terms: DataFrame, least: float = 0.4, n: int = 5)
     forms = k.alias.select(F.col("folded").alias("form"), F.col("canonical_node_id").alias("node_id")).distinct()
     longest = F.greatest(F.length("t"), F.length("form"))
     # as many edits more than the length difference can't be within the ratio: no distance is computed for those
-    near = forms.join(F.broadcast(asked), F.abs(F.length("t") - F.length("form")) <= (1 - least) * longest)
+    near = forms.join(small_side(asked), F.abs(F.length("t") - F.length("form")) <= (1 - least) * longest)
     best = near.withColumn("ratio", F.round(1 - F.levenshtein("t", "form") / longest, 6)).where(F.col("ratio") > least).groupBy("term", "node_id").agg(F.max("ratio").alias("ratio"))
     order = Window.partitionBy("term").orderBy(F.desc("ratio"), "node_id")
     return best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
@@ -291,9 +292,10 @@ def cross_layer_check(k: Knowledge, gaps: bool = False) -> DataFrame:
     without one."""
     pairs = k.spark.createDataFrame(list(model.LAYER_PAIRS), "layer_a string, layer_b string")
     layer = k.node.select("node_id", "layer").distinct()
-    both = k.edge.select("src", "dst").union(k.edge.select("dst", "src")).distinct()
-    typed = both.join(layer.select(F.col("node_id").alias("src"), F.col("layer").alias("layer_a")), "src").join(layer.select(F.col("node_id").alias("dst"), F.col("layer").alias("layer_b")), "dst")
-    linked = typed.join(F.broadcast(pairs), ["layer_a", "layer_b"]).select("layer_a", "layer_b", F.col("src").alias("node_id")).distinct()
+    # every edge gets its layers once; those of a pair, whichever way, are turned to its first layer
+    typed = k.edge.select("src", "dst").join(layer.select(F.col("node_id").alias("src"), F.col("layer").alias("s")), "src").join(layer.select(F.col("node_id").alias("dst"), F.col("layer").alias("d")), "dst")
+    ends = F.explode(F.array(F.struct(F.col("s").alias("layer_a"), F.col("d").alias("layer_b"), F.col("src").alias("node_id")), F.struct(F.col("d").alias("layer_a"), F.col("s").alias("layer_b"), F.col("dst").alias("node_id"))))
+    linked = typed.where(F.col("s") != F.col("d")).select(ends.alias("e")).select("e.*").join(F.broadcast(pairs), ["layer_a", "layer_b"]).distinct()
     every = layer.withColumnRenamed("layer", "layer_a").join(F.broadcast(pairs), "layer_a")
     if gaps:
         return every.join(linked, ["layer_a", "layer_b", "node_id"], "left_anti").select("layer_a", "layer_b", "node_id")

@@ -33,10 +33,10 @@ CONTEXTS = {
 }
 
 
-def find_terms(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
+def find_terms(segments: DataFrame, dictionary: DataFrame, whole_words: int = 3) -> DataFrame:
     """segments (segment_id, text), dictionary (form, node_id, confidence) -> the best confidence per segment and node.
 
-    Forms of up to 3 characters match whole words only, longer ones anywhere. All forms are sought in one pass over
+    Forms of up to ``whole_words`` characters match whole words only, longer ones anywhere. All forms are sought in one pass over
     each text with an automaton; a dictionary of more than DICTIONARY_ROWS forms goes to the tasks in blocks, a pass each.
     """
     listed = dictionary.where("form is not null and form <> ''").groupBy(F.lower("form").alias("form")).agg(F.collect_set(F.struct("node_id", F.col("confidence").cast("double").alias("confidence"))).alias("meant"))
@@ -45,16 +45,16 @@ def find_terms(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
         if row is not None:
             block[row.form] = [(m.node_id, m.confidence) for m in row.meant]
         if (row is None and (block or out is None)) or len(block) == DICTIONARY_ROWS:
-            part = _block_terms(segments, block)
+            part = _block_terms(segments, block, whole_words)
             out, block = part if out is None else out.union(part), {}
     return out.groupBy("segment_id", "node_id").agg(F.max("confidence").alias("confidence"))
 
 
-def _block_terms(segments: DataFrame, meanings: dict[str, list[tuple[str, float]]]) -> DataFrame:
+def _block_terms(segments: DataFrame, meanings: dict[str, list[tuple[str, float]]], whole_words: int) -> DataFrame:
     shape = pa.schema([("segment_id", pa.int64()), ("node_id", pa.string()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _finder(list(meanings))
+        find = _finder(list(meanings), whole_words)
         for batch in batches:
             best: dict[tuple[int, str], float] = {}
             for s, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -67,7 +67,7 @@ def _block_terms(segments: DataFrame, meanings: dict[str, list[tuple[str, float]
     return segments.select(F.col("segment_id").cast("long"), "text").mapInArrow(run, "segment_id long, node_id string, confidence double")
 
 
-def _finder(forms: list[str]):
+def _finder(forms: list[str], whole_words: int = 3):
     """A function text -> the set of forms that occur in it."""
     import ahocorasick  # there is no other way that reads a text once for all forms
 
@@ -82,7 +82,7 @@ def _finder(forms: list[str]):
     if not forms:
         return lambda text: set()
     machine.make_automaton()
-    return lambda text: {f for end, f in machine.iter(text) if len(f) > 3 or whole(text, end + 1 - len(f), end + 1)}
+    return lambda text: {f for end, f in machine.iter(text) if len(f) > whole_words or whole(text, end + 1 - len(f), end + 1)}
 
 
 def verify_short(matches: DataFrame, segment_vectors: DataFrame, node_vectors: DataFrame, longest: int = 5, least: float = 0.3) -> DataFrame:
@@ -99,9 +99,10 @@ BLOCK_NODES = 20_000
 MATCH_LEAST, MATCH_BASE, MATCH_GAIN, MATCH_MOST = 0.6, 0.55, 1.8, 0.8
 
 
-def nearest_nodes(vectors: DataFrame, nodes: DataFrame, first: int, least: float) -> DataFrame:
+def nearest_nodes(vectors: DataFrame, nodes: DataFrame, first: int | None, least: float) -> DataFrame:
     """vectors (id, vec), nodes (node_id, vec) -> (id, node_id, similarity, place): the ``first`` most similar nodes of each
-    vector, ties by the lesser id, as far as they reach ``least``. Null and zero vectors take no part.
+    vector (None: all of them, without a place), ties by the lesser id, as far as they reach ``least``. Null and zero
+    vectors take no part.
 
     The nodes go to the tasks as matrices of BLOCK_NODES rows, one block after the other, so what is sent at once is
     bounded however many there are; every block gives a vector's ``first`` best, and the best of these are the result."""
@@ -115,11 +116,13 @@ def nearest_nodes(vectors: DataFrame, nodes: DataFrame, first: int, least: float
             out, block = part if out is None else out.union(part), []
     if out is None:
         out = vectors.sparkSession.createDataFrame([], "id long, node_id string, similarity double")
+    if first is None:
+        return out
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "node_id")
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= first)
 
 
-def _block_matches(vectors: DataFrame, block: list, first: int, least: float, shape: pa.Schema) -> DataFrame:
+def _block_matches(vectors: DataFrame, block: list, first: int | None, least: float, shape: pa.Schema) -> DataFrame:
     matrix = np.array([n.vec for n in block], float)
     length = np.linalg.norm(matrix, axis=1)
     ids, matrix = [n.node_id for n, x in zip(block, length) if x > 0], matrix[length > 0] / length[length > 0][:, None]

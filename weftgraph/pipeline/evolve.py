@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph import model
 from weftgraph.functions.scoring import clamped, mapped
 from weftgraph.operators.semantic import attach_score, gate_reasons
+from weftgraph.pipeline import align
 
 
 def source_scores(candidates: DataFrame, documents: DataFrame) -> DataFrame:
@@ -30,10 +31,14 @@ def structural_fit(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def synonym_risk(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
     """(candidate_id, synonym_risk): the greatest ratio of lengths among forms and aliases of which one contains the
-    other. Distinct forms are compared with the dictionary, which is small enough to be broadcast if its size allows."""
+    other. Aliases are sought in the distinct forms, and forms in the aliases, by one automaton each."""
     forms = candidates.select("candidate_id", F.explode("surface_forms").alias("f")).select("candidate_id", F.lower("f").alias("form")).where("form <> ''").distinct()
     dictionary = aliases.select(F.lower("surface_form").alias("alias")).where("alias <> ''").distinct()
-    pairs = forms.select("form").distinct().join(dictionary, F.contains("form", "alias") | F.contains("alias", "form"))
+    asked = forms.select("form").distinct().select(F.xxhash64("form").alias("segment_id"), F.col("form").alias("text"))
+    known = dictionary.select(F.xxhash64("alias").alias("segment_id"), F.col("alias").alias("text"))
+    terms = lambda rows: rows.select(F.col("text").alias("form"), F.col("text").alias("node_id"), F.lit(1.0).alias("confidence"))
+    within = lambda texts, found: align.find_terms(texts, terms(found), whole_words=0).join(texts, "segment_id")
+    pairs = within(asked, known).select(F.col("text").alias("form"), F.col("node_id").alias("alias")).union(within(known, asked).select(F.col("node_id").alias("form"), F.col("text").alias("alias")))
     ratio = F.least(F.length("form"), F.length("alias")) / F.greatest(F.length("form"), F.length("alias"))
     best = pairs.groupBy("form").agg(F.max(ratio).alias("r"))
     risk = forms.join(best, "form").groupBy("candidate_id").agg(F.round(F.max("r"), 4).alias("synonym_risk"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,3 +97,78 @@ def rst_argmax(scores: Column, given: Column) -> Column:
     valid = F.filter(F.map_entries(scores), lambda e: e["key"].isin(known))
     best = F.array_max(F.transform(valid, lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k"))))
     return F.coalesce(best["k"], F.when(given.isin(known), given), F.lit("Elaboration"))
+
+
+#: Nodes a segment needs to be asked about, triples of one question to a verifier, hints on nuclearity.
+LEAST_ANCHORS, VERIFY_CHUNK = 3, 3
+NUCLEARITY = {"NS": "the first paragraph is the main content", "SN": "the second paragraph is the main content", "NN": "both paragraphs carry equal weight"}
+
+
+def merged_contexts(segments: DataFrame, rst: DataFrame, tags: DataFrame) -> DataFrame:
+    """segments (segment_id, raw_text) -> what a model is asked about, (segment_id, text, nodes): segments with at least
+    LEAST_ANCHORS nodes by themselves, and pairs joined by a continuative relation that have as many together, under
+    the second's id and with a line on the relation before the texts."""
+    nodes = tags.groupBy("segment_id").agg(F.array_sort(F.collect_set("ontology_node_id")).alias("nodes"))
+    rows = segments.select("segment_id", F.coalesce("raw_text", F.lit("")).alias("text")).join(nodes, "segment_id", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<string>")))
+    pairs = rst.where(F.col("relation_type").isin(list(model.CONTINUATIVE))).select(F.col("src_edu_id").alias("a"), F.col("dst_edu_id").alias("segment_id"), "relation_type", F.coalesce("nuclearity", F.lit("NN")).alias("nuclearity"))
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in NUCLEARITY.items() for x in kv])[F.col("nuclearity")], F.lit(NUCLEARITY["NN"]))
+    hint = F.concat(F.lit("[These two paragraphs have a "), "relation_type", F.lit(" relation: "), weight, F.lit(".]\n\n"))
+    both = pairs.join(rows.toDF("a", "text_a", "nodes_a"), "a").join(rows, "segment_id")
+    both = both.select("segment_id", F.concat(hint, "text_a", F.lit("\n"), "text").alias("text"), F.array_sort(F.array_union("nodes_a", "nodes")).alias("nodes"))
+    return rows.union(both).where(F.size("nodes") >= LEAST_ANCHORS)
+
+
+def model_triples(contexts: DataFrame, extractor: Callable[[str, list[str]], list[dict]] | None) -> DataFrame:
+    """contexts (segment_id, text, nodes) -> (segment_id, subject, predicate, object, quote) as ``extractor(text, nodes)``
+    gives them, batch by batch in the tasks; what it raises leaves the context without triples. Without an extractor
+    there are none. Check the outcome with `filter_triples` and `quote_supported`."""
+    shape = "segment_id long, subject string, predicate string, object string, quote string"
+    if extractor is None:
+        return contexts.sparkSession.createDataFrame([], shape)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for segment, text, nodes in zip(pdf["segment_id"], pdf["text"], pdf["nodes"]):
+                try:
+                    given = extractor(text, list(nodes))
+                except Exception:  # noqa: BLE001 - a model's failure is no failure of the job
+                    given = []
+                out += [(segment, *(t.get(c) for c in ("subject", "predicate", "object", "quote"))) for t in given or []]
+            yield pd.DataFrame(out, columns=["segment_id", "subject", "predicate", "object", "quote"])
+
+    return contexts.select("segment_id", "text", "nodes").mapInPandas(run, shape).distinct()
+
+
+def verified_triples(triples: DataFrame, texts: DataFrame, verifier: Callable[[str, list[dict]], list[bool] | None] | None, chunk: int = VERIFY_CHUNK) -> DataFrame:
+    """triples (segment_id, subject, predicate, object, quote) without those ``verifier(text, triples)`` denies. A segment's
+    triples are asked about in chunks; a chunk whose answer fails twice, or is no list of its length, stays."""
+    if verifier is None:
+        return triples
+    names = ["subject", "predicate", "object", "quote"]
+    order = Window.partitionBy("segment_id").orderBy(*names)
+    rows = triples.withColumn("_c", F.floor((F.row_number().over(order) - 1) / chunk))
+    asked = rows.groupBy("segment_id", "_c").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("t")).join(texts.select("segment_id", "text"), "segment_id", "left")
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for segment, listed, text in zip(pdf["segment_id"], pdf["t"], pdf["text"]):
+                listed = [dict(t) for t in listed]
+                verdict = None
+                for _ in range(2):
+                    try:
+                        verdict = verifier(text or "", listed)
+                    except Exception:  # noqa: BLE001
+                        verdict = None
+                    if verdict is not None and len(verdict) == len(listed):
+                        break
+                    verdict = None
+                out += [(segment, *(t[c] for c in names)) for t, ok in zip(listed, verdict or [True] * len(listed)) if ok]
+            yield pd.DataFrame(out, columns=["segment_id", *names])
+
+    return asked.select("segment_id", "t", "text").mapInPandas(run, triples.select("segment_id", *names).schema)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph import model
 from weftgraph.functions.vectors import cosine
 from weftgraph.knowledge import Knowledge
-from weftgraph.operators import graph
+from weftgraph.operators import graph, semantic
 from weftgraph.sources import stage
 
 
@@ -174,9 +178,129 @@ def _second_eigenvalue(n: int, ends: np.ndarray, close: float = 1e-9, block: int
     raise ValueError("the second eigenvalue was not reached")
 
 
-def score_granularity(gini_: float, isolation: float, issues: int) -> float:
-    return max(0.0, 1 - min(0.15 * issues, 0.6) - (0.1 if gini_ > 0.7 else 0) - (0.1 if isolation > 0.3 else 0))
+def layer_connectivity(k: Knowledge, layers: Sequence[str] = model.LAYERS) -> DataFrame:
+    """`connectivity` of the active nodes of each layer over the typed edges within it, and of all layers together as
+    ``global``: one row each, with the layer first."""
+    typed = k.edge.where("predicate is not null").select("src", "dst")
+    active = k.node.where("lifecycle_state = 'active'")
+    out = None
+    for name in [*layers, "global"]:
+        nodes = active.where(F.col("layer").isin(list(layers)) if name == "global" else F.col("layer") == name)
+        one = connectivity(nodes, typed).select(F.lit(name).alias("layer"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@dataclass(frozen=True)
+class Measured:
+    """The figures a report is made from."""
+
+    gini: float
+    super_ratio: float
+    isolation: float
+    tags_per_segment: float
+    ubiquitous: int
+    overlaps: list[tuple[str, str, float]]
+    top3_share: float
+    concentrated: int
+    used_in_facts: int
+    used: int
+    defined: int
+    similar: int
+    coverage: dict[str, float]
+    alias_coverage: float
+    tag_rate: float
+    largest_share: dict[str, float]
+    fiedler: dict[str, float | None]
+    cycles: int
+
+
+def measure(k: Knowledge, defined: int, similar_least: float = 0.3) -> Measured:
+    """The figures over a whole graph; ``defined`` is the number of relations the ontology defines. All of them are
+    aggregates; only what a report names by itself (predicates, layers) comes to the driver."""
+    g = granularity(k).first()
+    tagged = k.segment_tag.where("tag_type = 'canonical'")
+    segments = k.segment_tag.select("segment_id").distinct().count()
+    everywhere = tagged.groupBy("ontology_node_id").agg(F.count_distinct("segment_id").alias("n")).where(F.col("n") > 0.8 * segments).count()
+    facts = k.fact.where("lifecycle_state = 'active'")
+    uses = sorted((r["n"] for r in facts.groupBy("predicate").agg(F.count("*").alias("n")).collect()), reverse=True)
+    overlaps = predicate_overlap(facts.select(F.col("subject").alias("src"), F.col("object").alias("dst"), "predicate"), 0.5).where("jaccard > 0.5").orderBy(F.desc("jaccard"), "a", "b").limit(5).collect()
+    per = facts.groupBy("subject", "predicate").agg(F.count("*").alias("n")).groupBy("subject").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    concentrated = per.where("n >= 5 and top / n > 0.9").count()
+    active = k.node.where("lifecycle_state = 'active'").select("node_id").distinct()
+    n_active = max(active.count(), 1)
+    aliased = active.join(k.alias.select(F.col("canonical_node_id").alias("node_id")), "node_id", "left_semi").count()
+    # the report asks for active nodes and typed edges
+    covered = semantic.cross_layer_check(_Sound(k)).collect()
+    connected = {r.layer: r for r in layer_connectivity(k).collect()}
+    typed, fiedler = k.edge.where("predicate is not null"), {}
+    for name, r in connected.items():
+        nodes = k.node.where("lifecycle_state = 'active'")
+        nodes = nodes if name == "global" else nodes.where(F.col("layer") == name)
+        # a graph that isn't connected has 0, whatever its size
+        fiedler[name] = None if r.n_nodes < 2 else 0.0 if r.n_components > 1 else fiedler_value(nodes, typed)
+    return Measured(
+        gini=g.gini, super_ratio=g.super_ratio, isolation=g.isolation, tags_per_segment=float(g.tags_per_segment or 0), ubiquitous=everywhere,
+        overlaps=[(r.a, r.b, r.jaccard) for r in overlaps], top3_share=sum(uses[:3]) / max(sum(uses), 1), concentrated=concentrated,
+        used_in_facts=len(uses), used=k.fact.select("predicate").distinct().count(), defined=defined, similar=similar_nodes(k, least=similar_least).count(),
+        coverage={f"{r.layer_a}-{r.layer_b}": r.coverage for r in covered}, alias_coverage=aliased / n_active, tag_rate=tagged.select("ontology_node_id").distinct().count() / n_active,
+        largest_share={n: r.largest_share for n, r in connected.items()}, fiedler=fiedler, cycles=graph.cycles(k.edge, "DEPENDS_ON").count(),
+    )
+
+
+class _Sound:
+    """A view of a `Knowledge` with active nodes and typed edges only."""
+
+    def __init__(self, k: Knowledge):
+        self.spark, self.node, self.edge = k.spark, k.node.where("lifecycle_state = 'active'"), k.edge.where("predicate is not null")
+
+
+def issues(m: Measured) -> list[tuple[str, str, float]]:
+    """What is wrong, as (dimension, issue, value), in a fixed order."""
+    out: list[tuple[str, str, float]] = []
+    found = lambda dimension, wrong, name, value: out.append((dimension, name, float(value))) if wrong else None
+    used = m.used_in_facts / max(m.defined, 1)
+    found("granularity", m.gini > 0.8, "high_gini", m.gini)
+    found("granularity", m.super_ratio > 0.1, "super_node_ratio", m.super_ratio)
+    found("granularity", m.isolation > 0.4, "high_isolation", m.isolation)
+    found("granularity", m.tags_per_segment > 8, "tag_overload", m.tags_per_segment)
+    found("granularity", m.ubiquitous > 5, "ubiquitous_nodes", m.ubiquitous)
+    for a, b, jaccard in m.overlaps:
+        found("orthogonality", True, f"predicate_overlap:{a}/{b}", jaccard)
+    found("orthogonality", m.top3_share > 0.8, "predicate_skew", m.top3_share)
+    found("orthogonality", m.concentrated > 5, "predicate_concentration", m.concentrated)
+    found("orthogonality", used < 0.3, "low_utilization", used)
+    found("orthogonality", m.similar > 3, "similar_nodes", m.similar)
+    for pair in sorted(m.coverage):
+        found("cross_layer", m.coverage[pair] < 0.1, f"layer_gap:{pair}", m.coverage[pair])
+    found("discoverability", m.alias_coverage < 0.5, "low_alias_coverage", m.alias_coverage)
+    found("discoverability", m.used / max(m.defined, 1) < 0.3, "low_relation_utilization", m.used / max(m.defined, 1))
+    found("discoverability", m.tag_rate < 0.3, "low_tag_rate", m.tag_rate)
+    for layer, share in m.largest_share.items():
+        found("structural", share < 0.5, f"fragmented_layer:{layer}", share)
+        value = m.fiedler.get(layer)
+        found("structural", value is not None and value < 0.01 and share > 0.5, f"low_algebraic_connectivity:{layer}", value or 0)
+    found("structural", m.cycles > 0, "dependency_cycle", m.cycles)
+    return out
+
+
+def scores(m: Measured) -> dict[str, float]:
+    """The score of each dimension (0..1, higher is healthier) and of all, ``overall``."""
+    listed = [d for d, _, _ in issues(m)]
+    penalty = lambda d: min(0.15 * listed.count(d), 0.6)
+    out = {
+        "granularity": max(0.0, 1 - penalty("granularity") - 0.1 * (m.gini > 0.7) - 0.1 * (m.isolation > 0.3)),
+        "orthogonality": max(0.0, 1 - penalty("orthogonality") - 0.2 * (m.top3_share > 0.7)),
+        "cross_layer": min(1.0, 2 * sum(m.coverage.values()) / max(len(m.coverage), 1)),
+        "discoverability": 0.4 * m.alias_coverage + 0.3 * m.used / max(m.defined, 1) + 0.3 * m.tag_rate,
+        "structural": max(0.0, 0.8 - 0.3 * (m.cycles > 0) - 0.2 * (m.largest_share.get("global", 0.0) < 0.5)),
+    }
+    out = {d: round(v, 4) for d, v in out.items()}
+    return {**out, "overall": round(sum(out.values()) / len(out), 4)}
 
 
-def overall(scores: dict[str, float]) -> float:
-    return round(sum(scores.values()) / len(scores), 4) if scores else 0.0
+def report(k: Knowledge, defined: int) -> DataFrame:
+    """The report as rows (dimension, entry, value): a ``score`` for each dimension and ``overall``, then the issues."""
+    m = measure(k, defined)
+    rows = [(d, "score", float(v)) for d, v in scores(m).items()] + issues(m)
+    return k.spark.createDataFrame(rows, "dimension string, entry string, value double")

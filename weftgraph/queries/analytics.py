@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from weftgraph import governance as G
 from weftgraph import quality as Q
+from weftgraph import showcase as W
+from weftgraph.drilldown import METRICS, drilldown
 from weftgraph.functions.vectors import mean_vector
+from weftgraph.queries.algebra import walk_sql
 from weftgraph.queries.registry import Registry
 from weftgraph.queries.semantic import _DEGREE, _TYPED
 from weftgraph.queries.stages import AS_OF, EVIDENCE_VECTORS
@@ -41,6 +46,41 @@ add(
        SELECT cluster_id, arg_min(candidate_id, (-coalesce(source_count, 0), candidate_id)) AS primary_id, array_to_string(list_sort(list_distinct(flatten(list(coalesce(surface_forms, []))))), '|') AS forms, cast(sum(source_count) AS bigint) AS source_count, count(*) AS n_merged FROM g GROUP BY cluster_id""",
 )
 add("maint_cleanup", lambda k: G.stale_candidates(k.candidate, F.lit(AS_OF).cast("date")).select("candidate_id"), f"SELECT candidate_id FROM {{v_candidate}} WHERE coalesce(source_count, 0) <= 1 AND date_diff('day', cast(last_seen_at AS date), date '{AS_OF}') > 30")
+# notes as a maintenance run leaves them behind: by a parent's id, by a name, or without a node
+_NOTED = """SELECT candidate_id, surface_forms, CASE WHEN review_status = 'rejected' THEN 'auto_rejected' ELSE review_status END AS review_status,
+    CASE WHEN review_status <> 'rejected' THEN NULL WHEN candidate_type = 'relation' THEN 'llm:noise' WHEN candidate_parent_id IS NOT NULL THEN concat('embedding_variant:', candidate_parent_id, ':0.934') WHEN source_count > 3 THEN concat('llm:variant:', normalized_form) ELSE 'llm: variant' END AS review_note,
+    source_count, last_seen_at, seen_source_doc_ids AS example_segments FROM {v_candidate}"""
+_CLEANED = f"""WITH c AS ({_NOTED}), a AS (SELECT name, p, node FROM (SELECT lower(canonical_name) AS name, 1 AS p, node_id AS node FROM {{v_node}} UNION ALL SELECT folded, 2, canonical_node_id FROM {{v_alias}}) x QUALIFY row_number() OVER (PARTITION BY name ORDER BY p, node) = 1),
+    t AS (SELECT c.*, coalesce(CASE WHEN starts_with(review_note, 'embedding_variant:') THEN split_part(review_note, ':', 2) END, CASE WHEN starts_with(review_note, 'llm:variant:') THEN a.node END) AS node FROM c LEFT JOIN a ON a.name = lower(trim(substr(review_note, 13), ' ')) AND starts_with(review_note, 'llm:variant:'))"""
+add(
+    "maint_clean_up",
+    lambda k: G.clean_up(k.sql(_NOTED), k.node, k.alias, F.lit(AS_OF).cast("date")).candidates.select("candidate_id", "review_status", "review_note"),
+    _CLEANED + f" SELECT candidate_id, CASE WHEN node IS NOT NULL THEN 'variant_merged' ELSE review_status END AS review_status, CASE WHEN node IS NOT NULL THEN concat('merged_into:', node) ELSE review_note END AS review_note FROM t WHERE NOT coalesce(review_note = 'llm:noise', false) AND NOT (review_note IS NOT NULL AND review_note <> 'llm:noise' AND node IS NULL) AND NOT coalesce(review_status = 'discovered' AND source_count = 1 AND date_diff('day', cast(last_seen_at AS date), date '{AS_OF}') > 30, false)",
+)
+add(
+    "maint_clean_up_aliases",
+    lambda k: G.clean_up(k.sql(_NOTED), k.node, k.alias, F.lit(AS_OF).cast("date")).aliases,
+    _CLEANED + " SELECT DISTINCT surface_form, node AS canonical_node_id FROM (SELECT unnest(surface_forms) AS surface_form, node FROM t WHERE node IS NOT NULL) x WHERE trim(surface_form, ' ') <> ''",
+)
+# a reviewer merges candidates whose forms are equal but for case and blanks, the newest being the primary
+_PICKED = "SELECT lower(trim(normalized_form)) AS group_id, candidate_id, candidate_id = max(candidate_id) OVER (PARTITION BY lower(trim(normalized_form))) AS is_primary FROM {v_candidate} WHERE normalized_form IS NOT NULL"
+add(
+    "review_merge",
+    lambda k: G.review_merge(k.candidate.select("candidate_id", "surface_forms", "source_count"), k.sql(_PICKED)).select("candidate_id", F.array_join(F.array_sort("surface_forms"), "|").alias("forms"), F.col("source_count").cast("long").alias("source_count")),
+    f"""WITH g AS ({_PICKED}), m AS (SELECT g.group_id, max(CASE WHEN g.is_primary THEN g.candidate_id END) AS candidate_id, list_sort(list_distinct(flatten(list(coalesce(c.surface_forms, []))))) AS f, cast(sum(coalesce(c.source_count, 0)) AS bigint) AS n FROM g JOIN {{v_candidate}} c ON c.candidate_id = g.candidate_id GROUP BY 1 HAVING count(*) > 1)
+        SELECT candidate_id, array_to_string(f, '|') AS forms, n AS source_count FROM m UNION ALL SELECT candidate_id, array_to_string(list_sort(surface_forms), '|'), cast(source_count AS bigint) FROM {{v_candidate}} WHERE candidate_id NOT IN (SELECT g.candidate_id FROM g JOIN m ON m.group_id = g.group_id)""",
+)
+_EXAMPLES = "SELECT predicate AS normalized_form, {0} AS examples FROM (SELECT predicate, subject, object, cast(l_orderkey AS string) AS segment_id, cast(l_linenumber AS string) AS source_doc_id FROM {v_fact} WHERE lifecycle_state = 'conflicted') x GROUP BY predicate"
+add(
+    "review_retro_facts",
+    lambda k: G.retro_facts(k.sql(_EXAMPLES.replace("{0}", "collect_list(named_struct('subject', subject, 'object', object, 'segment_id', segment_id, 'source_doc_id', source_doc_id))")))[0],
+    "SELECT DISTINCT md5(concat_ws('|', subject, predicate, object)) AS fact_id, subject, predicate, object, cast(0.65 AS double) AS confidence, 'active' AS lifecycle_state FROM {v_fact} WHERE lifecycle_state = 'conflicted'",
+)
+add(
+    "maint_cosine_links",
+    lambda k: G.cosine_links(mean_vector(k.sql(_SEEN), "candidate_id")),
+    f"WITH c AS ({_CV}) SELECT x.candidate_id AS a, y.candidate_id AS b FROM c x JOIN c y ON x.candidate_id < y.candidate_id WHERE list_sum(list_transform(x.vec, lambda v: abs(v))) > 0 AND list_sum(list_transform(y.vec, lambda v: abs(v))) > 0 AND list_cosine_similarity(x.vec, y.vec) >= 0.9",
+)
 add(
     "maint_too_generic",
     lambda k: G.too_generic(k.alias.where("length(surface_form) > 3"), k.segment),
@@ -106,7 +146,7 @@ shared("quality_direct_concept_scenario", "SELECT count(*) AS n FROM {v_edge} e
 add("quality_complete_concepts", lambda k: Q.complete_concepts(k), "SELECT count(DISTINCT a.src) AS complete_concepts FROM {v_edge} a JOIN {v_edge} b ON b.src = a.dst AND b.rel_type = 'IMPLEMENTED_BY' WHERE a.rel_type = 'EXPLAINS' AND b.dst IN (SELECT src FROM {v_edge} WHERE rel_type = 'APPLIES_TO') AND b.dst IN (SELECT dst FROM {v_edge} WHERE rel_type = 'COMPOSED_OF')")
 shared(
     "quality_dictionary",
-    "SELECT round((SELECT count(DISTINCT canonical_node_id) FROM {v_alias}) / (SELECT count(*) FROM {v_node} WHERE lifecycle_state = 'active'), 6) AS alias_coverage, round((SELECT count(DISTINCT predicate) FROM {v_edge}) / 77, 6) AS relation_utilization, round((SELECT count(DISTINCT segment_id) FROM {v_segment_tag}) / (SELECT count(*) FROM {v_segment}), 6) AS tag_hit_rate",
+    "SELECT round((SELECT count(DISTINCT canonical_node_id) FROM {v_alias}) / (SELECT count(*) FROM {v_node} WHERE lifecycle_state = 'active'), 6) AS alias_coverage, round((SELECT count(DISTINCT predicate) FROM {v_edge}) / (SELECT count(DISTINCT rel_type) FROM {v_edge}), 6) AS relation_utilization, round((SELECT count(DISTINCT segment_id) FROM {v_segment_tag}) / (SELECT count(*) FROM {v_segment}), 6) AS tag_hit_rate",
 )
 _MECH = "SELECT node_id FROM {v_node} WHERE layer IN ('method', 'condition', 'scenario')"
 add(
@@ -140,3 +180,45 @@ shared("showcase_multi_source", "SELECT fact_id, n, CASE WHEN n >= 2 AND s >= 1
 shared("showcase_knowledge_gap", "SELECT n.layer, count(*) AS nodes, count(t.id) AS tagged, count(a.id) AS with_alias FROM {v_node} n LEFT JOIN (SELECT DISTINCT ontology_node_id AS id FROM {v_segment_tag}) t ON t.id = n.node_id LEFT JOIN (SELECT DISTINCT canonical_node_id AS id FROM {v_alias}) a ON a.id = n.node_id GROUP BY n.layer")
 shared("copilot_alias_scan", "SELECT d.source_doc_id, a.canonical_node_id AS node_id, max(a.confidence) AS confidence FROM {v_document} d JOIN {v_alias} a ON length(a.folded) > 3 AND contains(lower(d.title), a.folded) GROUP BY 1, 2")
 shared("ontology_summary", "SELECT layer, count(*) AS n, FIRST_FIVE(node_id) AS first_ids FROM {v_node} GROUP BY layer")
+
+# ---- the report, compositions, retrieval
+add("quality_layer_connectivity", lambda k: Q.layer_connectivity(k))
+add("quality_report", lambda k: Q.report(k, k.edge.select("rel_type").distinct().count()))
+_FAULT_RELATIONS = ("DEPENDS_ON", "IMPLEMENTED_BY")
+add(
+    "showcase_fault_impact",
+    lambda k: W.fault_impact(k, "MECH.5", "policy timer", _FAULT_RELATIONS)["affected"].select("node_id", "layer", F.col("hop").cast("int").alias("hop")),
+    f"""WITH RECURSIVE {walk_sql("SELECT 'MECH.5' AS node_id", _FAULT_RELATIONS, 2, "both")} SELECT n.node_id, n.layer, cast(r.hop AS int) AS hop FROM reached r JOIN {{v_node}} n ON n.node_id = r.node_id""",
+)
+_SIDE = lambda name, direction: f"SELECT node_id, '{name}' AS side, cast(hop AS int) AS hop FROM (WITH RECURSIVE {walk_sql(chr(39).join(['SELECT ', 'MECH.9', ' AS node_id']), ('DEPENDS_ON', 'REQUIRES'), 3, direction)} SELECT * FROM reached) x"
+add(
+    "showcase_dependency_closure",
+    lambda k: W.dependency_report(k, "MECH.9", "policy timer")["nodes"].select("node_id", "side", F.col("hop").cast("int").alias("hop")),
+    _SIDE("dependency", "outbound") + " UNION ALL " + _SIDE("dependent", "inbound"),
+)
+add("showcase_related_facts", lambda k: W.related_facts(k, "METHOD.1"), "SELECT fact_id, subject, predicate, object, confidence FROM {v_fact} WHERE lifecycle_state = 'active' AND (starts_with(subject, 'METHOD.1') OR starts_with(object, 'METHOD.1')) ORDER BY confidence DESC NULLS LAST, fact_id LIMIT 15")
+add(
+    "showcase_cross_layer",
+    lambda k: W.cross_layer_chains(k),
+    """WITH b AS (SELECT DISTINCT * FROM (SELECT src, dst FROM {v_edge} UNION ALL SELECT dst, src FROM {v_edge}) x), l AS (SELECT b.src, b.dst, n.layer FROM b JOIN {v_node} n ON n.node_id = b.dst),
+       f AS (SELECT DISTINCT c.node_id AS concept, m.dst AS mechanism, t.dst AS method FROM {v_node} c JOIN l m ON m.src = c.node_id AND m.layer = 'mechanism' JOIN l t ON t.src = m.dst AND t.layer = 'method' WHERE c.layer = 'concept' AND c.lifecycle_state = 'active' ORDER BY 1, 2, 3 LIMIT 10),
+       g AS (SELECT DISTINCT f.*, o.dst AS condition, s.dst AS scenario FROM f LEFT JOIN l o ON o.src = f.method AND o.layer = 'condition' LEFT JOIN l s ON s.src = o.dst AND s.layer = 'scenario' ORDER BY 1, 2, 3, 4 NULLS LAST, 5 NULLS LAST LIMIT 10),
+       p AS (SELECT g.concept, s.segment_id, row_number() OVER (PARTITION BY g.concept ORDER BY s.token_count DESC NULLS LAST, s.segment_id) AS n FROM (SELECT DISTINCT concept FROM g) g JOIN (SELECT DISTINCT segment_id, ontology_node_id FROM {v_segment_tag}) t ON t.ontology_node_id = g.concept JOIN {v_segment} s ON s.segment_id = t.segment_id WHERE s.lifecycle_state = 'active'),
+       q AS (SELECT concept, string_agg(cast(segment_id AS string), ',' ORDER BY n) AS segments FROM p WHERE n <= 2 GROUP BY 1)
+       SELECT g.*, coalesce(q.segments, '') AS segments FROM g LEFT JOIN q ON q.concept = g.concept""",
+)
+_QUESTION, _ASKED = "why does the kixwick session guard drop what drismar sends", ["Drismar", "Morbex Prefix", "fault"]
+_QUESTION_TERMS = str([t.lower() for t in _ASKED])
+add(
+    "copilot_retrieve",
+    lambda k: W.retrieve(k, _QUESTION, _ASKED),
+    f"""WITH e AS (SELECT DISTINCT canonical_node_id AS node_id FROM {{v_alias}} WHERE length(folded) > 3 AND contains('{_QUESTION}', folded)), t AS (SELECT unnest({_QUESTION_TERMS}) AS term), n AS (SELECT DISTINCT t.term, a.canonical_node_id AS node_id FROM t JOIN {{v_alias}} a ON a.folded = t.term),
+        p AS (SELECT t.term, a.canonical_node_id AS node_id, round(least(length(t.term), length(a.folded)) / greatest(length(t.term), length(a.folded)), 2) AS score FROM t JOIN {{v_alias}} a ON contains(t.term, a.folded) OR contains(a.folded, t.term) WHERE a.folded <> '' AND t.term NOT IN (SELECT term FROM n)),
+        q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY term ORDER BY score DESC, node_id) = 1),
+        u AS (SELECT node_id, cast(1 AS double) AS score, 'alias_exact' AS source FROM e UNION ALL SELECT node_id, 0.95, 'alias_term' FROM n UNION ALL SELECT node_id, score, 'alias_partial' FROM q WHERE score > 0.4)
+        SELECT node_id, score, source FROM u QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY score DESC, source DESC) = 1 ORDER BY score DESC, node_id LIMIT 15""",
+)
+add(
+    "drilldown_all",
+    lambda k: reduce(lambda a, b: a.union(b), [drilldown(k, m).agg(F.lit(m).alias("metric"), F.count("*").alias("n")) for m in sorted(METRICS)]),
+)

@@ -77,8 +77,10 @@ add("token_count", lambda k: k.segment.select("segment_id", text.token_count(F.c
 add("text_normalize", lambda k: k.segment.select("segment_id", text.normalize(F.col("raw_text")).alias("t")))
 add(
     "text_truncate",
-    lambda k: k.segment.select("segment_id", text.truncate_words(F.col("raw_text"), 40).alias("t")),
-    "SELECT segment_id, CASE WHEN len(w) <= 40 THEN raw_text ELSE array_to_string(w[1:40], ' ') END AS t FROM (SELECT segment_id, raw_text, list_filter(regexp_split_to_array(raw_text, '\\s+'), lambda x: x <> '') AS w FROM {v_segment}) x",
+    lambda k: k.segment.select("segment_id", text.truncate(F.col("raw_text"), 40).alias("t")),
+    f"""WITH s AS (SELECT segment_id, raw_text, {tokens("raw_text")} AS n, list_filter(regexp_split_to_array(raw_text, '\\s+'), lambda x: x <> '') AS w FROM {{v_segment}}), u AS (SELECT segment_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM s WHERE n > 40),
+        c AS (SELECT *, sum(greatest(1, len(regexp_extract_all(x, '{CJK}')))) OVER (PARTITION BY segment_id ORDER BY i) AS c FROM u), j AS (SELECT segment_id, string_agg(x, ' ' ORDER BY i) AS t FROM c WHERE c <= 40 GROUP BY 1)
+        SELECT s.segment_id, CASE WHEN s.n <= 40 THEN s.raw_text ELSE coalesce(j.t, '') END AS t FROM s LEFT JOIN j ON j.segment_id = s.segment_id""",
 )
 add(
     "text_sliding_window",
@@ -156,6 +158,14 @@ add(
     """WITH r AS (SELECT normalized_form, surface_forms, seen_source_doc_ids AS d, first_seen_at, last_seen_at FROM {v_candidate} WHERE trim(normalized_form, ' ') <> '')
        SELECT normalized_form, array_to_string(list_sort(list_distinct(flatten(list(coalesce(surface_forms, []))))), '|') AS forms, cast(len(list_distinct(flatten(list(coalesce(d, []))))) AS int) AS source_count, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at FROM r GROUP BY normalized_form""",
 )
+# a classifier's answers stand in for a model: relations are noise, those with a parent variants
+_TERMED = "SELECT candidate_id AS doc_id, candidate_id AS segment_id, normalized_form AS term, CASE WHEN candidate_type = 'relation' THEN 'noise' WHEN candidate_parent_id IS NOT NULL THEN 'variant' ELSE 'new_concept' END AS classification, cast(NULL AS string) AS layer FROM {v_candidate}"
+_STOP = "SELECT lower(name) AS word FROM (SELECT DISTINCT canonical_name AS name FROM {ontology_nodes}) x"
+add(
+    "align_new_concepts",
+    lambda k: align.new_concepts(k.sql(_TERMED), k.alias, k.sql(_STOP)).select("term", "layer", "doc_id"),
+    f"SELECT trim(term, ' ') AS term, 'concept' AS layer, doc_id FROM ({_TERMED}) x WHERE classification = 'new_concept' AND trim(term, ' ') <> '' AND lower(trim(term, ' ')) NOT IN (SELECT folded FROM {{v_alias}}) AND lower(trim(term, ' ')) NOT IN ({_STOP})",
+)
 # ---- evolve
 add("evolve_source_diversity", lambda k: evolve.source_scores(k.candidate, k.document).distinct(), "WITH c AS (SELECT candidate_id, unnest(seen_source_doc_ids) AS d FROM {v_candidate}), r AS (SELECT c.candidate_id, least(1.0, count(DISTINCT x.site_key) / 3) AS v, max(CASE x.source_rank WHEN 'S' THEN cast(1.0 AS double) WHEN 'A' THEN 0.8 WHEN 'B' THEN 0.6 ELSE 0.4 END) AS a FROM c JOIN {v_document} x ON x.source_doc_id = c.d GROUP BY 1) SELECT DISTINCT k.candidate_id, round(coalesce(r.v, 0), 4) AS source_diversity, coalesce(r.a, 0.4) AS authority FROM {v_candidate} k LEFT JOIN r ON r.candidate_id = k.candidate_id")
 add("evolve_temporal_stability", lambda k: k.candidate.select("candidate_id", evolve.temporal_stability(F.col("first_seen_at"), F.lit(AS_OF).cast("date")).alias("s")), f"SELECT candidate_id, round(greatest(0.0, least(1.0, coalesce(date_diff('day', cast(first_seen_at AS date), date '{AS_OF}'), 0) / 14)), 4) AS s FROM {{v_candidate}}")
@@ -211,6 +221,15 @@ add(
     """WITH s AS (SELECT segment_id, substr(concat('  ', upper(raw_text)), 1, 60) AS q, regexp_replace(lower(raw_text), '\\s+', ' ', 'g') AS t FROM {v_segment} WHERE raw_text IS NOT NULL), w AS (SELECT *, trim(regexp_replace(lower(q), '\\s+', ' ', 'g'), ' ') AS n, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS tw FROM s)
        SELECT segment_id, length(q) >= 8 AND (contains(t, n) OR len(list_intersect(list_distinct(list_filter(string_split(n, ' '), lambda x: x <> '')), tw)) / greatest(len(list_distinct(list_filter(string_split(n, ' '), lambda x: x <> ''))), 1) >= 0.8) AS exact, contains(t, 'the policy of a cookie and the timer') OR len(list_intersect(['the', 'policy', 'of', 'a', 'cookie', 'and', 'timer'], tw)) / 7 >= 0.8 AS fuzzy FROM w""",
 )
+_CONTINUE = str(model.CONTINUATIVE)
+_HINTS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in extract.NUCLEARITY.items())
+add(
+    "extract_contexts",
+    lambda k: extract.merged_contexts(k.segment, k.rst, k.segment_tag).select("segment_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.array_join("nodes", ",").alias("nodes")),
+    f"""WITH n AS (SELECT segment_id, list_sort(list(DISTINCT ontology_node_id)) AS nodes FROM {{v_segment_tag}} GROUP BY 1), s AS (SELECT s.segment_id, coalesce(s.raw_text, '') AS t, coalesce(n.nodes, []) AS nodes FROM {{v_segment}} s LEFT JOIN n ON n.segment_id = s.segment_id),
+        c AS (SELECT segment_id, t, nodes FROM s UNION ALL SELECT r.dst_edu_id, concat('[These two paragraphs have a ', r.relation_type, ' relation: ', CASE r.nuclearity {_HINTS} END, '.]', chr(10), chr(10), a.t, chr(10), b.t), list_sort(list_distinct(list_concat(a.nodes, b.nodes))) FROM {{v_rst}} r JOIN s a ON a.segment_id = r.src_edu_id JOIN s b ON b.segment_id = r.dst_edu_id WHERE r.relation_type IN {_CONTINUE})
+        SELECT segment_id, md5(t) AS digest, array_to_string(nodes, ',') AS nodes FROM c WHERE len(nodes) >= 3""",
+)
 _TRIPLES = "SELECT a.segment_id, a.ontology_node_id AS subject, CASE a.tag_id % 4 WHEN 0 THEN ' Depends-On ' WHEN 1 THEN 'requires' WHEN 2 THEN 'is next to' ELSE '' END AS predicate, b.ontology_node_id AS object FROM {v_segment_tag} a JOIN {v_segment_tag} b ON b.segment_id = a.segment_id"
 _ALLOWED = "SELECT segment_id, ontology_node_id AS node_id FROM {v_segment_tag} WHERE tag_type = 'canonical'"
 _CLEAN = f"t AS (SELECT segment_id, subject, regexp_replace(regexp_replace(lower(trim(predicate, ' ')), '[\\s\\-]+', '_', 'g'), '[^a-z0-9_]', '', 'g') AS predicate, object FROM ({_TRIPLES}) x WHERE subject <> object), a AS ({_ALLOWED}), k AS (SELECT * FROM t WHERE predicate <> '' AND (segment_id, subject) IN (SELECT segment_id, node_id FROM a) AND (segment_id, object) IN (SELECT segment_id, node_id FROM a))"

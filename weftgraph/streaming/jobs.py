@@ -38,15 +38,18 @@ def ingest_documents(documents: DataFrame) -> DataFrame:
     return rows.select("source_doc_id", "content_hash", "token_count", F.when(reason.isNull(), "cleaned").otherwise("low_quality").alias("new_status"))
 
 
-def candidate_pool(folder: str) -> Callable[[DataFrame, int], None]:
+def candidate_pool(folder: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: merges a batch of candidates into the pool under ``folder``. Pools are numbered by batch, so a
-    batch that is run again starts from the same pool and writes the same one."""
+    batch that is run again starts from the same pool and writes the same one; the last ``keep`` pools stay."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("normalized_form", "surface_forms", F.col("seen_source_doc_ids").alias("doc_ids"), "first_seen_at", "last_seen_at")
         old = spark.read.parquet(f"{folder}/pool-{number - 1}").drop("source_count") if number else rows.limit(0)
         align.pool_candidates(old, rows).write.mode("overwrite").parquet(f"{folder}/pool-{number}")
+        if number >= keep:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/pool-{number - keep}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     return merge
 
