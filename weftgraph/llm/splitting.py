@@ -65,7 +65,7 @@ def pieces(segments: DataFrame, limit: int = 1024, overlap: int = 64) -> DataFra
     segment_index.
 
     Only texts over the limit go through Python. Segments delivered twice count once; null ids are left out; a null
-    or empty text is one piece of no tokens. Segments with a null document are numbered together.
+    or empty text is one piece of no tokens. A segment with a null document is numbered by itself.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be at least 0 and below half the limit")
@@ -86,7 +86,9 @@ def pieces(segments: DataFrame, limit: int = 1024, overlap: int = 64) -> DataFra
     large = rows.where(over)
     cut = map_batches(large.select("segment_id", "raw_text"), work, shape).join(large.select("segment_id", "doc_id", "segment_index"), "segment_id")
     small = rows.where(~over).select("segment_id", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.coalesce("n_tokens", token_count(F.col("raw_text"))).alias("n_tokens"), F.lit(0).alias("first_token"), F.col("raw_text").alias("text"), "doc_id", "segment_index")
-    order = Window.partitionBy("doc_id").orderBy(F.col("segment_index").asc_nulls_last(), "segment_id", "piece_no")
+    # however many segments have no document, they make no common window
+    alone = F.when(F.col("doc_id").isNull(), F.col("segment_id"))
+    order = Window.partitionBy("doc_id", alone).orderBy(F.col("segment_index").asc_nulls_last(), "segment_id", "piece_no")
     every = cut.unionByName(small).withColumn("chunk_no", F.row_number().over(order) - 1)
     return every.select("segment_id", "doc_id", "segment_index", "piece_no", "n_pieces", "n_tokens", "first_token", "text", "chunk_no")
 
