@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from weftgraph import governance as G
 from weftgraph import quality as Q
 from weftgraph.functions import hashing, text
+from weftgraph.functions.vectors import embedded
 from weftgraph.operators.registry import default_registry
-from weftgraph.pipeline import align, extract
+from weftgraph.pipeline import align, extract, ingest, segment
 from weftgraph.sources import scope, stage
 from weftgraph.sources.readers import read_files, read_json_lines, read_yaml
 from weftgraph.streaming import event_windows, run_once
@@ -178,3 +179,37 @@ def test_scope_removes_what_was_staged_in_it(spark):
         where = inner.inputFiles()[0].removeprefix("file://")
         assert os.path.exists(where) and inner.count() == 5
     assert not os.path.exists(where) and kept.count() == 3
+
+
+def test_classified_paragraphs(spark):
+    assert segment.checked_types(["fault", "odd", None], 5) == ["fault", "unknown", "unknown", "unknown", "unknown"] and segment.checked_types(None, 1) == ["unknown"]
+    long_ = lambda w: " ".join([w] * 20)
+    df = spark.createDataFrame([(1, f"{long_('menu')}\n\n{long_('fault')}\n\n{long_('fault')}\n\n{long_('other')}"), (2, None)], "source_doc_id long, text string")
+    rows = segment.segment_documents(df, lambda texts: [{"menu": "noise", "fault": "fault"}.get(t.split()[0], "odd") for t in texts]).collect()
+    assert [(r.segment_type, r.raw_text.split()[0]) for r in rows] == [("fault", "fault"), ("unknown", "other")] and rows[0].raw_text.count("fault") == 40
+
+    def failing(texts):
+        raise RuntimeError
+
+    assert {r.segment_type for r in segment.segment_documents(df, failing).collect()} == {"unknown"}
+
+
+def test_extractors_and_embedders(spark):
+    pages = spark.createDataFrame([(1, "<p>one</p>"), (2, "<b>two</b>"), (3, None)], "page_id long, html string")
+
+    def never(html):
+        raise ValueError
+
+    def second(html):
+        return "x" * 300 if "two" in html else "short"
+
+    assert {(r.page_id, r.extracted_by) for r in ingest.extracted_text(pages, [never, second]).collect()} == {(1, "rules"), (2, "second"), (3, "rules")}
+    assert {r.page_id: r.text for r in ingest.extracted_text(pages).collect()} == {1: "one", 2: "two", 3: None}
+    texts = spark.createDataFrame([(1, "abc"), (2, None), (3, " "), (4, "bad")], "id long, text string")
+
+    def embedder(given):
+        if "bad" in given:
+            raise RuntimeError
+        return [[float(len(t)), 1.0] for t in given]
+
+    assert [(r.id, r.vec) for r in embedded(texts, embedder, batch=1).collect()] == [(1, [3.0, 1.0])] and embedded(texts, None).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftgraph import model
 from weftgraph.functions.scoring import clamped, mapped
@@ -62,3 +63,17 @@ def scored(candidates: DataFrame, documents: DataFrame, nodes: DataFrame, aliase
     decision = F.when((F.col("reasons") != "") | ~old_enough, F.col("review_status")).when((F.col("composite") >= model.AUTO_ACCEPT) & F.col("parent_id").isNotNull(), "auto_accepted").otherwise("pending_review")
     return rows.withColumn("decision", decision)
 
+
+
+def enrichment_requests(candidates: DataFrame, segments: DataFrame, per_document: int = 5, examples: int = 3, characters: int = 400) -> DataFrame:
+    """candidates (candidate_id, normalized_form, candidate_type, composite_score, description, doc_ids, example_segments)
+    and segments (segment_id, raw_text) -> what a model is asked to describe: (candidate_id, normalized_form,
+    candidate_type, texts), at most ``per_document`` candidates of a document that have a score and no description, with
+    the beginnings of their first examples; candidates without a text of an example are left out."""
+    open_ = candidates.where("composite_score > 0 and coalesce(description, '') = ''")
+    first = Window.partitionBy("doc_id").orderBy("candidate_id")
+    picked = open_.select("candidate_id", F.explode("doc_ids").alias("doc_id")).distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_document).select("candidate_id").distinct()
+    listed = open_.join(picked, "candidate_id", "left_semi").select("candidate_id", "normalized_form", "candidate_type", F.posexplode(F.slice("example_segments", 1, examples)).alias("place", "segment_id"))
+    texts = segments.where("coalesce(raw_text, '') <> ''").select("segment_id", F.substring("raw_text", 1, characters).alias("text"))
+    held = listed.join(texts, "segment_id").groupBy("candidate_id", "normalized_form", "candidate_type").agg(F.array_sort(F.collect_set(F.struct("place", "text"))).alias("t"))
+    return held.select("candidate_id", "normalized_form", "candidate_type", F.transform("t", lambda x: x["text"]).alias("texts"))

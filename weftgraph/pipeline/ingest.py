@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,34 @@ def html_to_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def extracted_text(pages: DataFrame, extractors: Sequence[Callable[[str], str | None]] = (), least: int = 200) -> DataFrame:
+    """pages (page_id, html) -> (page_id, text, extracted_by): the answer of the first extractor (a library's function of
+    the page) that gives at least ``least`` characters, else `html_to_text`, marked ``rules``. An extractor that raises
+    has no answer. Null pages have a null text."""
+    plain = pages.select("page_id", "html", F.when(F.col("html").isNotNull(), html_to_text(preprocess_html(F.col("html")))).alias("rules"))
+    if not extractors:
+        return plain.select("page_id", F.col("rules").alias("text"), F.lit("rules").alias("extracted_by"))
+
+    def run(batches):
+        for pdf in batches:
+            texts, by = [], []
+            for html, rules in zip(pdf["html"], pdf["rules"]):
+                text, name = rules, "rules"
+                for i, extract in enumerate(extractors if html else ()):
+                    try:
+                        given = extract(html)
+                    except Exception:  # noqa: BLE001 - the next one is asked
+                        given = None
+                    if given and len(given) >= least:
+                        text, name = given, getattr(extract, "__name__", str(i))
+                        break
+                texts.append(text)
+                by.append(name)
+            yield pdf[["page_id"]].assign(text=texts, extracted_by=by)
+
+    return plain.mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, text string, extracted_by string")
+
+
 def html_title(html: Column) -> Column:
     tag = lambda t: F.regexp_replace(F.regexp_extract(html, rf"(?is)<{t}[^>]*>(.*?)</{t}>", 1), r"<[^>]+>", "")
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -25,6 +25,11 @@ _TURNS = re.compile(
     re.I,
 )
 _IDEOGRAPH = re.compile(r"[㐀-䶿一-鿿]")
+# The types a classifier may give; noise is dropped.
+TYPES = (
+    "definition", "mechanism", "scenario", "config", "procedure", "prerequisite", "constraint", "compatibility", "best_practice",
+    "performance", "comparison", "fault", "troubleshooting", "table", "code", "noise", "unknown",
+)
 
 
 def count_tokens(text: str) -> int:
@@ -126,10 +131,17 @@ def merged(parts: list[tuple[list[str], str, str, str]]) -> list[tuple[list[str]
     return out
 
 
+def checked_types(given: list[str] | None, expected: int) -> list[str]:
+    """A classifier's answer as one known type a paragraph: what is missing or not known is ``unknown``."""
+    given = list(given or [])[:expected]
+    return [t if t in TYPES else "unknown" for t in given] + ["unknown"] * (expected - len(given))
+
+
 def segment_documents(documents: DataFrame, classify: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
     """documents (source_doc_id, text) -> (source_doc_id, segment_index, section_path, section_title, segment_type,
-    raw_text): sections, paragraphs of at least LEAST_TOKENS, merged by type, cut to size. Without a classifier every
-    paragraph's type is ``unknown`` and nothing is merged. Null texts have no segment."""
+    raw_text): sections, paragraphs of at least LEAST_TOKENS, noise dropped, merged by type, cut to size. Without a
+    classifier, or where it raises, every paragraph's type is ``unknown`` and nothing is merged. Null texts have no
+    segment."""
     shape = pa.schema([("source_doc_id", pa.int64()), ("segment_index", pa.int32()), ("section_path", pa.list_(pa.string())), ("section_title", pa.string()), ("segment_type", pa.string()), ("raw_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +149,12 @@ def segment_documents(documents: DataFrame, classify: Callable[[list[str]], list
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 units = [(path, title, p) for path, title, body in sections(text or "") for p in paragraphs(body) if count_tokens(p) >= LEAST_TOKENS]
-                kinds = classify([u[2] for u in units]) if classify and units else ["unknown"] * len(units)
-                pieces = [(path, title, kind, x) for path, title, kind, body in merged([(p, t, k, x) for (p, t, x), k in zip(units, kinds)]) for x in controlled(body)]
+                try:
+                    kinds = classify([u[2] for u in units]) if classify and units else None
+                except Exception:  # noqa: BLE001 - a model's failure is no failure of the job
+                    kinds = None
+                typed = [(p, t, k, x) for (p, t, x), k in zip(units, checked_types(kinds, len(units))) if k != "noise"]
+                pieces = [(path, title, kind, x) for path, title, kind, body in merged(typed) for x in controlled(body)]
                 rows += [(doc, i, *p) for i, p in enumerate(pieces)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(shape)], schema=shape)
 

@@ -11,6 +11,7 @@ from weftgraph import quality as Q
 from weftgraph import showcase as W
 from weftgraph.drilldown import METRICS, drilldown
 from weftgraph.functions.vectors import mean_vector
+from weftgraph.pipeline import evolve
 from weftgraph.queries.algebra import walk_sql
 from weftgraph.queries.registry import Registry
 from weftgraph.queries.semantic import _DEGREE, _TYPED
@@ -179,9 +180,19 @@ shared("candidate_distribution", "SELECT bucket, count(*) AS n, min(source_count
 shared("showcase_multi_source", "SELECT fact_id, n, CASE WHEN n >= 2 AND s >= 1 THEN 'confirmed' WHEN n >= 2 THEN 'supported' ELSE 'single' END AS verdict FROM (SELECT fact_id, count(*) AS n, count(CASE WHEN source_rank IN ('S', 'A') THEN 1 END) AS s FROM {v_evidence} GROUP BY fact_id) x")
 shared("showcase_knowledge_gap", "SELECT n.layer, count(*) AS nodes, count(t.id) AS tagged, count(a.id) AS with_alias FROM {v_node} n LEFT JOIN (SELECT DISTINCT ontology_node_id AS id FROM {v_segment_tag}) t ON t.id = n.node_id LEFT JOIN (SELECT DISTINCT canonical_node_id AS id FROM {v_alias}) a ON a.id = n.node_id GROUP BY n.layer")
 shared("copilot_alias_scan", "SELECT d.source_doc_id, a.canonical_node_id AS node_id, max(a.confidence) AS confidence FROM {v_document} d JOIN {v_alias} a ON length(a.folded) > 3 AND contains(lower(d.title), a.folded) GROUP BY 1, 2")
-shared("ontology_summary", "SELECT layer, count(*) AS n, FIRST_FIVE(node_id) AS first_ids FROM {v_node} GROUP BY layer")
+shared("ontology_summary", "SELECT layer, count(*) AS n, FIRST_EIGHT(node_id) AS first_ids FROM {v_node} GROUP BY layer UNION ALL SELECT 'relations', count(DISTINCT lower(rel_type)), SORTED_LIST(lower(rel_type)) FROM {v_edge}")
 
 # ---- the report, compositions, retrieval
+_ENRICH = "SELECT candidate_id, normalized_form, candidate_type, composite_score, cast(NULL AS string) AS description, seen_source_doc_ids AS doc_ids, seen_source_doc_ids AS example_segments FROM {v_candidate}"
+_FIRST_OF = "SELECT source_doc_id AS segment_id, min(raw_text) AS raw_text FROM {v_segment} GROUP BY source_doc_id"
+add(
+    "candidate_enrichment",
+    lambda k: evolve.enrichment_requests(k.sql(_ENRICH), k.sql(_FIRST_OF)).select("candidate_id", F.size("texts").alias("n"), F.md5(F.array_join("texts", "|").cast("binary")).alias("digest")),
+    f"""WITH c AS ({_ENRICH}), o AS (SELECT * FROM c WHERE composite_score > 0), p AS (SELECT DISTINCT candidate_id FROM (SELECT candidate_id, row_number() OVER (PARTITION BY doc ORDER BY candidate_id) AS n FROM (SELECT DISTINCT candidate_id, unnest(doc_ids) AS doc FROM o) x) y WHERE n <= 5),
+        e AS (SELECT candidate_id, unnest(example_segments[1:3]) AS segment_id, generate_subscripts(example_segments[1:3], 1) AS i FROM o WHERE candidate_id IN (SELECT candidate_id FROM p)), s AS ({_FIRST_OF}),
+        t AS (SELECT e.candidate_id, e.i, substr(s.raw_text, 1, 400) AS t FROM e JOIN s ON s.segment_id = e.segment_id WHERE coalesce(s.raw_text, '') <> '')
+        SELECT candidate_id, cast(count(*) AS int) AS n, md5(string_agg(t, '|' ORDER BY i)) AS digest FROM t GROUP BY candidate_id""",
+)
 add("quality_layer_connectivity", lambda k: Q.layer_connectivity(k))
 add("quality_report", lambda k: Q.report(k, k.edge.select("rel_type").distinct().count()))
 _FAULT_RELATIONS = ("DEPENDS_ON", "IMPLEMENTED_BY")

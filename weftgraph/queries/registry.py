@@ -11,6 +11,7 @@ from weftgraph.knowledge import Knowledge, frame, portable
 #: Aggregates that the engines spell differently: (here, elsewhere), with {0} the argument.
 _MACROS = {
     "SORTED_LIST": ("array_join(array_sort(collect_set({0})), ',')", "string_agg(DISTINCT {0}, ',' ORDER BY {0})"),
+    "FIRST_EIGHT": ("array_join(slice(array_sort(collect_set({0})), 1, 8), ',')", "array_to_string(list_sort(list(DISTINCT {0}))[1:8], ',')"),
     "FIRST_FIVE": ("array_join(slice(array_sort(collect_set({0})), 1, 5), ',')", "array_to_string(list_sort(list(DISTINCT {0}))[1:5], ',')"),
     "FIRST_THREE": ("array_join(slice(array_sort(collect_set({0})), 1, 3), ',')", "array_to_string(list_sort(list(DISTINCT {0}))[1:3], ',')"),
     "MEDIAN_OF": ("percentile({0}, 0.5)", "quantile_cont({0}, 0.5)"),
