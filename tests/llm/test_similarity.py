@@ -6,12 +6,14 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftgraph.llm import history, hyperminhash, near_duplicates, nearest_vectors, shared_spans, shingles
+from weftgraph.llm import history, hyperminhash, near_duplicates, nearest_vectors, queries, shared_spans, shingles
 from weftgraph.sources import stage
 
 HOW = near_duplicates.Similarity(threshold=0.6, words=3)
@@ -182,6 +184,64 @@ def test_nearest_vectors_recall_and_order(spark):
     assert all(a != b for _, a, b in got)
 
 
+def test_no_near_pair_is_left_out(spark, tmp_path):
+    # pairs just above the least cosine that have no near vector in common with anything else
+    n, order = 5000, np.random.default_rng(21)
+    x, y = (order.standard_normal((n, 64)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    cosine = np.linspace(0.8501, 0.86, n)[:, None]
+    x = np.concatenate([x, cosine * x + (1 - cosine**2) ** 0.5 * y]).astype(np.float32)
+    rows = [(i, v, None, v if i % 10 == 0 else None) for i, v in enumerate(x.tolist())]
+    rows += [rows[5], (20000, [0.0] * 64, None, None), (20001, None, None, [1.0, 2.0]), (20002, None, None, [2.0, 4.0]), (20003, (7 * x[9]).tolist(), None, None), (20004, x[9].tolist(), None, None)]
+    vectors = pa.list_(pa.float32())
+    shape = pa.schema([("segment_id", pa.int64()), ("embedding", vectors), ("title_vec", vectors), ("content_vec", vectors)])
+    (tmp_path / "segments.parquet").mkdir()
+    for part in range(3):
+        pq.write_table(pa.Table.from_pylist([dict(zip(shape.names, r)) for r in rows[part::3]], shape), tmp_path / f"segments.parquet/{part}.parquet")
+    got = {tuple(r) for r in queries.p4_found(spark, f"file://{tmp_path}").collect()}
+    want = {(f, a, b) for i in range(n) for a, b in ((i, n + i), (n + i, i)) for f in ("embedding", "content_vec") if f == "embedding" or i % 10 == 0}
+    want |= {("embedding", a, b) for s in [(9, n + 9, 20003, 20004)] for a in s for b in s if a != b} | {("content_vec", 20001, 20002), ("content_vec", 20002, 20001)}
+    assert got == want
+
+
+def test_blocks_hold_every_vector_once(monkeypatch):
+    monkeypatch.setattr(nearest_vectors, "BLOCK_BYTES", 3 * 4 * 2)
+    monkeypatch.setattr(nearest_vectors, "BEGUN_BYTES", 30)
+    rows = [("fg"[i % 2], i, [1.0 * i] * (1 + i % 3)) for i in range(50)]
+    shape = pa.schema([("field", pa.string()), ("id", pa.int64()), ("vec", pa.list_(pa.float32()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in rows[at : at + 9]], shape) for at in range(0, 50, 9)]
+    got = []
+    for block in nearest_vectors._packed(iter(batches)):
+        (b,) = block.to_pylist()
+        ids, vecs = np.frombuffer(b["ids"], "<i8").tolist(), np.frombuffer(b["vecs"], "<f4").reshape(-1, b["size"]).tolist()
+        assert len(ids) == len(vecs) <= 6 // b["size"] and ids[0] == b["first"]
+        got += zip([b["field"]] * len(ids), ids, vecs)
+    assert sorted(got) == sorted(rows)
+
+
+@pytest.mark.parametrize("most", [1, 10**6])
+def test_near_rows_keep_the_best_of_every_row_and_column(monkeypatch, most):
+    monkeypatch.setattr(nearest_vectors, "PRODUCT", (7, 11))
+    monkeypatch.setattr(nearest_vectors, "EXACT_PAIRS", most)
+    order = np.random.default_rng(6)
+    x = order.standard_normal(8) + 0.5 * order.standard_normal((50, 8))
+    x[30:34] = x[3]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for a, b in ((x, None), (x[:20], x[20:])):
+        cosine = np.triu(x @ x.T, 1) if b is None else a @ b.T
+        i, j, found = nearest_vectors.near_rows(a, b, 0.85, 2)
+        got = set(zip(i.tolist(), j.tolist()))
+        every = {(p, q) for p, q in zip(*map(np.ndarray.tolist, np.nonzero(cosine >= 0.85)))}
+        assert len(got) == len(i) and got <= every and np.allclose(found, cosine[i, j])
+        assert got == every or most == 1
+        for lines, at in ((cosine, 0), (cosine.T, 1)):
+            for p, line in enumerate(lines):
+                least = sorted(line)[-2]
+                assert {pair for pair in every if pair[at] == p and cosine[pair] > least - 1e-12} <= got
+
+
 def test_refinement_finds_what_no_table_brought_together(spark):
     order = np.random.default_rng(11)
     x = order.standard_normal((120, 32))

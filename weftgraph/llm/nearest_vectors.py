@@ -1,4 +1,9 @@
-"""The most similar vectors of every vector: multiprobe p-stable hashing, then exact distances.
+"""The most similar vectors of every vector: all of them by blocks, or most of them by multiprobe p-stable hashing.
+
+`nearest_pairs` compares every vector of a field with every other, block by block: products of matrices in single
+precision with an allowance for their rounding, then exact cosines of what may be near enough. Nothing is left out; the
+time grows with the square of the number of vectors. `similar_pairs` is the way whose time grows with the number of
+vectors, and which leaves out what its tables do not bring together:
 
 Vectors are scaled to unit length, so that the cosine is a function of the Euclidean distance.  Each of ``tables``
 tables hashes a vector to the cells of ``functions`` random projections of width ``width``; a vector is stored in
@@ -13,7 +18,10 @@ have a near one in common.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.arrow import array, map_batches, record
+from weftgraph.llm.arrow import array, column, map_batches, record
 from weftgraph.llm.shingles import mix
 from weftgraph.sources import small_side, stage
 
@@ -30,6 +38,10 @@ _U = np.uint64
 SIGNS = 128
 #: Bits of a bucket key that are kept (they are what the shuffle is made of).
 KEY_BITS = 48
+#: Bytes of the vectors of one block, and of all blocks that a task has begun.
+BLOCK_BYTES, BEGUN_BYTES = 2 << 20, 64 << 20
+#: Rows and columns of one product of matrices, and pairs whose exact cosines are computed at a time.
+PRODUCT, EXACT_PAIRS = (512, 4096), 50_000
 
 
 @dataclass(frozen=True)
@@ -139,6 +151,113 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.where("id is not null and vec is not null").where(~bad & F.exists("vec", lambda x: x != 0)).dropDuplicates(["field", "id"])
 
 
+def _plain(vectors: DataFrame) -> DataFrame:
+    return unit_vectors(vectors).select("field", F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows with vec -> the same, staged, with the two hashes p and q that equal vectors share."""
+    return stage(rows.withColumn("p", F.xxhash64("vec")).withColumn("q", F.xxhash64(F.lit(3), F.reverse("vec"))))
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows told apart -> members (field, head, id), equal vectors under their smallest id; and the rows of the heads."""
+    # copies by a partial minimum and a join of narrow rows: a vector with very many copies is no task of its own
+    ids = rows.select("field", "p", "q", "id")
+    members = stage(ids.join(ids.groupBy("field", "p", "q").agg(F.min("id").alias("head")), ["field", "p", "q"]).select("field", "head", "id"))
+    copies = stage(members.where("id <> head").select("field", "id"))
+    return members, rows.join(small_side(copies), ["field", "id"], "left_anti")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(field, id, vec) -> blocks (field, size, first, ids, vecs) of vectors of one field and length."""
+    begun: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def block(key: tuple[str, int]) -> pa.RecordBatch:
+        ids, vecs = (np.concatenate(x) for x in zip(*begun.pop(key)))
+        return record(field=[key[0]], size=pa.array([key[1]], pa.int32()), first=pa.array([ids[0]], pa.int64()), ids=[ids.astype("<i8").tobytes()], vecs=[vecs.astype("<f4").tobytes()])
+
+    for batch in batches:
+        fields, ids, sizes = np.array(column(batch, "field"), object), array(batch, "id"), _lengths(batch, "vec")
+        for key in dict.fromkeys(zip(fields.tolist(), sizes.tolist())):
+            rows, most = np.flatnonzero((fields == key[0]) & (sizes == key[1])), max(1, BLOCK_BYTES // (4 * key[1]))
+            while len(rows):
+                own = begun.setdefault(key, [])
+                now, rows = np.split(rows, [most - sum(len(x) for x, _ in own)])
+                own.append((ids[now], _column(batch.take(pa.array(now)), "vec").flatten().to_numpy(zero_copy_only=False).reshape(len(now), -1)))
+                if sum(len(x) for x, _ in own) == most:
+                    yield block(key)
+        if sum(x.nbytes for own in begun.values() for _, x in own) > BEGUN_BYTES:
+            yield from [block(key) for key in list(begun)]
+    yield from [block(key) for key in list(begun)]
+
+
+def _unit_rows(block: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(block, "<f4").reshape(-1, size).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def near_rows(a: np.ndarray, b: np.ndarray | None, least_cosine: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i of ``a``, j of ``b`` (without it: rows i < j of ``a``), unit vectors, and their exact cosine where it is at
+    least ``least_cosine``. Of a product with very many of them only what may be among the k best of its row or column."""
+    same = b is None
+    b = a if same else b
+    left, right = a.astype(np.float32), b.astype(np.float32)
+    # a sum of ``size`` products in single precision is off by less than that, in whatever order it is taken
+    slack = np.float32((a.shape[1] + 4) * np.finfo(np.float32).eps)
+    least, parts, room = np.float32(least_cosine) - slack, [], np.empty(PRODUCT[0] * PRODUCT[1], np.float32)
+    for r in range(0, len(a), PRODUCT[0]):
+        for c in range(r if same else 0, len(b), PRODUCT[1]):
+            x, y = left[r : r + PRODUCT[0]], right[c : c + PRODUCT[1]]
+            cosine = np.matmul(x, y.T, out=room[: len(x) * len(y)].reshape(len(x), len(y)))
+            if same and c < r + len(x):
+                cosine[np.arange(r, r + len(x))[:, None] >= np.arange(c, c + len(y))] = -2
+            rows = np.flatnonzero(cosine.max(axis=1) >= least)
+            if not len(rows):
+                continue
+            cosine = cosine[rows]
+            near = cosine >= least
+            if np.count_nonzero(near) > EXACT_PAIRS:
+                of_row, of_column = (np.partition(cosine, max(0, cosine.shape[x] - k), axis=x).take([max(0, cosine.shape[x] - k)], axis=x) for x in (1, 0))
+                near &= (cosine >= of_row - 2 * slack) | (cosine >= of_column - 2 * slack)
+            i, j = np.nonzero(near)
+            for at in range(0, len(i), EXACT_PAIRS):
+                x, y = rows[i[at : at + EXACT_PAIRS]] + r, j[at : at + EXACT_PAIRS] + c
+                exact = (a[x] * b[y]).sum(axis=1)
+                kept = exact >= least_cosine
+                parts.append((x[kept], y[kept], exact[kept]))
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def nearest_pairs(vectors: DataFrame, least_cosine: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """(field, id, vec) -> members as in `similar_pairs`; and pairs (field, a, b, cosine) of heads with a cosine of at
+    least ``least_cosine``, among them all that are one of the ``k`` best of either head. No such pair is left out.
+
+    Every block of a field meets every other once, in a Cartesian product that reads the staged blocks and shuffles
+    nothing; of the products with very many near pairs only each vector's best are kept.
+    """
+    members, heads = _classes(_told_apart(_plain(vectors)))
+    blocks = stage(heads.select("field", "id", "vec").mapInArrow(_packed, "field string, size int, first long, ids binary, vecs binary"))
+    side = lambda x: blocks.toDF(*[f"{c}_{x}" for c in blocks.columns])
+    # said as inequalities: as equalities they would shuffle every block to the few keys there are
+    like = [F.col(f"{c}_a") <= F.col(f"{c}_b") for c in ("field", "size", "first")] + [F.col(f"{c}_a") >= F.col(f"{c}_b") for c in ("field", "size")]
+    met = side("a").hint("shuffle_replicate_nl").join(side("b"), reduce(and_, like))
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        parts = []
+        for row in range(batch.num_rows):
+            field, size, first_a, first_b, *packed = (_column(batch, c)[row].as_py() for c in ("field_a", "size_a", "first_a", "first_b", "ids_a", "ids_b", "vecs_a", "vecs_b"))
+            ids_a, ids_b = (np.frombuffer(x, "<i8") for x in packed[:2])
+            i, j, cosine = near_rows(_unit_rows(packed[2], size), None if first_a == first_b else _unit_rows(packed[3], size), least_cosine, k)
+            parts.append((np.full(len(i), field, object), ids_a[i], ids_b[j], cosine))
+        field, x, y, cosine = (np.concatenate(p) for p in zip(*parts))
+        return record(field=pa.array(field, pa.string()), a=np.minimum(x, y), b=np.maximum(x, y), cosine=np.minimum(cosine, 1.0))
+
+    return members, stage(map_batches(met, compare, "field string, a long, b long, cosine double"))
+
+
 def similar_pairs(vectors: DataFrame, least_cosine: float, how: Probing | None = None) -> tuple[DataFrame, DataFrame]:
     """(field, id, vec) -> members (field, head, id): equal vectors under their smallest id; and pairs (field, a, b,
     cosine) of heads with a cosine of at least ``least_cosine``.
@@ -155,16 +274,12 @@ def similar_pairs(vectors: DataFrame, least_cosine: float, how: Probing | None =
             out[rows] = signs(unit, signed)
         return record(field=_column(batch, "field"), id=array(batch, "id"), vec=_column(batch, "vec"), sign_a=out[:, 0], sign_b=out[:, 1])
 
-    plain = unit_vectors(vectors).select("field", F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
-    rows = stage(map_batches(plain, sketch, shape).withColumn("p", F.xxhash64("vec")).withColumn("q", F.xxhash64(F.lit(3), F.reverse("vec"))))
-    # copies by a partial minimum and a join of narrow rows: a vector with very many copies is no task of its own
-    ids = rows.select("field", "p", "q", "id")
-    members = stage(ids.join(ids.groupBy("field", "p", "q").agg(F.min("id").alias("head")), ["field", "p", "q"]).select("field", "head", "id"))
-    copies = stage(members.where("id <> head").select("field", "id"))
+    rows = _told_apart(map_batches(_plain(vectors), sketch, shape))
+    members, heads = _classes(rows)
     if how is None:
         largest = members.where("id = head").groupBy("field").count().agg(F.max("count")).first()[0]
         how = planned(largest or 1)
-    heads = rows.join(small_side(copies), ["field", "id"], "left_anti").select("field", "id", "vec", "sign_a", "sign_b")
+    heads = heads.select("field", "id", "vec", "sign_a", "sign_b")
 
     def work(probing: bool):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
