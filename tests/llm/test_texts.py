@@ -52,6 +52,18 @@ def test_repeated_lines_match_brute_force(spark):
     assert site_lines.repeated_lines(df.limit(0)).count() == 0 and site_lines.templates(df.limit(0)).count() == 0
 
 
+def test_only_lines_on_paths_that_cover_enough_are_counted(spark, monkeypatch):
+    pick, counted, count = random.Random(5), [], site_lines.leaves
+    # one wording, cut apart differently in each document; bodies whose paths cover one line; and a path of six lines
+    # (equal number of letters and equal ends) of two wordings, neither of which is in six documents
+    cuts = ["All rights are reserved by us", "ALL RIGHTS are reserved by us 2024", "All-rights-are-reserved-by-us", "Allrights arereserved byus", "1 All 2 rights 3 are reserved by us", "* A l l rights are reserved b y u s!"]
+    rows = [(d, d, "a", "\n".join([" ".join(pick.choice("abcdefgh") * 5 for _ in range(9)), cut, ["beginning then some ending here", "beginning then more ending here"][d % 2]])) for d, cut in enumerate(cuts)]
+    df = spark.createDataFrame(rows, "segment_id long, doc_id long, site_key string, raw_text string")
+    monkeypatch.setattr(site_lines, "leaves", lambda lines: (counted.append({(r.segment_id, r.line_no) for r in lines.collect()}), count(lines))[1])
+    assert {tuple(r) for r in site_lines.repeated_lines(df, 6, 20).collect()} == {(d, 1) for d in range(6)}
+    assert counted == [{(d, n) for d in range(6) for n in (1, 2)}]
+
+
 def test_templates_come_from_merged_trees(spark):
     names, pick = [f"name{chr(97 + i)}{chr(97 + i)}" for i in range(24)], random.Random(2)
     rows = []
