@@ -73,5 +73,20 @@ def test_similar_nodes_gather_no_sets_and_chance_meetings_make_no_pairs(spark, m
     found = quality.similar_nodes(graph_of(spark, edges, []))
     assert "collect_set" not in found._jdf.queryExecution().toString()
     assert ("m0", "m1") in {(r.a, r.b) for r in found.collect()}
-    pairs = next(t for t in staged if t.columns == ["a", "b"])
-    assert pairs.count() < 2_000  # nine in ten of the 19 900 pairs of n share items
+    pairs = next(t for t in staged if t.columns == ["a", "b"]).where("a like 'n%' and b like 'n%'")
+    assert pairs.count() < 2_000  # of 19 900, nine in ten of which share items
+
+
+def test_layers_are_connected_as_each_by_itself_in_one_search(spark, monkeypatch):
+    draw, layers = random.Random(11), ("one", "two", "three", "none")
+    nodes = [(f"n{i}", layers[i % 3], "active" if i % 7 else "deprecated") for i in range(60)] + [(None, "one", "active"), ("n4", "one", "active"), ("n4", "two", "active"), ("z", "other", "active"), ("y", None, "active")]
+    edges = [(f"n{draw.randrange(60)}", f"n{draw.randrange(60)}", "requires" if draw.random() < 0.9 else None) for _ in range(90)] + [("n4", "n4", "requires"), ("n1", None, "requires"), ("z", "n1", "requires")]
+    node = spark.createDataFrame(nodes, "node_id string, layer string, lifecycle_state string")
+    k = SimpleNamespace(spark=spark, node=node, edge=spark.createDataFrame(edges, "src string, dst string, predicate string"))
+    searches, components = [], quality.graph.components
+    active, typed = node.where("lifecycle_state = 'active'"), k.edge.where("predicate is not null")
+    of = {name: active.where(active.layer.isin([name] if name in layers else list(layers))) for name in (*layers, "global")}
+    want = {name: tuple(quality.connectivity(own, typed).first()) for name, own in of.items()}
+    monkeypatch.setattr(quality.graph, "components", lambda e: searches.append(e) or components(e))
+    assert {r.layer: tuple(r)[1:] for r in quality.layer_connectivity(k, layers).collect()} == want
+    assert len(searches) == 1
