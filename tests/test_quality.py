@@ -90,3 +90,13 @@ def test_layers_are_connected_as_each_by_itself_in_one_search(spark, monkeypatch
     monkeypatch.setattr(quality.graph, "components", lambda e: searches.append(e) or components(e))
     assert {r.layer: tuple(r)[1:] for r in quality.layer_connectivity(k, layers).collect()} == want
     assert len(searches) == 1
+
+
+def test_cycles_beside_a_long_chain_take_few_rounds(spark, monkeypatch):
+    edges = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)] + [("c020", "a"), ("a", "b"), ("b", "a"), ("b", "d"), ("d", "c018"), ("x", "y"), ("y", "z"), ("z", "x")]
+    edge = spark.createDataFrame([(a, "DEPENDS_ON", b) for a, b in edges], "src string, rel_type string, dst string")
+    staged, stage = [], quality.graph.stage
+    monkeypatch.setattr(quality.graph, "stage", lambda df: staged.append(df) or stage(df))
+    found = {tuple(r.node_ids) for r in quality.graph.cycles(edge, "DEPENDS_ON").collect()}
+    assert found == {("a", "b"), ("x", "y", "z")}  # the one through c018 has six edges
+    assert len(staged) < 10
